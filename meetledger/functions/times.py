@@ -13,6 +13,9 @@ _ISO = (
     r"(?:(Z)|([+-]\d{2})(?::?(\d{2}))?)?)?\z"
 )
 
+# the usual spelling, which the timestamp cast reads as it is
+_USUAL = r"\A\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}(?::\d{2})?)?)?)?\z"
+
 
 def iso_timestamp(value: Column | str) -> Column:
     """Timestamp of an ISO-8601 text, NULL when it is not one.
@@ -31,7 +34,7 @@ def iso_timestamp(value: Column | str) -> Column:
         F.lit("."), F.left(part(7, "0"), F.lit(6)),
         part(9, "+00"), F.lit(":"), part(10, "00"),
     )
-    return F.when(value.rlike(_ISO), F.try_to_timestamp(rebuilt))
+    return F.when(value.rlike(_USUAL), F.try_to_timestamp(value)).when(value.rlike(_ISO), F.try_to_timestamp(rebuilt))
 
 
 def event_time(value: Column, default: Column) -> Column:

@@ -8,13 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the operators rely on. Naive times are UTC; a JSON object that
-# repeats a key keeps the last one; the skewed side of a lookup join is split.
+# repeats a key keeps the last one; the skewed side of a lookup join is split. The
+# extraction of facts makes for long generated methods, which the JVM would not compile
+# if they were fused into one; the limit makes Spark generate it in smaller pieces.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
