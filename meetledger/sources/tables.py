@@ -1,14 +1,14 @@
 """Table storage with atomic multi-table commits, on plain parquet.
 
 Every commit writes its tables under ``<table>/commit=<n>``; readers see only commits
-listed in a small manifest file, which is replaced in one rename. A commit that is run
-again (after a failure) overwrites its own folders and changes nothing else.
+listed in a small manifest file, which is replaced in one rename. A commit that failed
+half way is not listed, and the next attempt overwrites its folders. A commit may name
+the stream and batch it stands for, so that a batch delivered again is recognised.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -16,12 +16,43 @@ from pyspark.sql import types as T
 MANIFEST = "_manifest.json"
 
 
+class Commit:
+    """Tables written together; nothing is visible before :meth:`publish`."""
+
+    def __init__(self, store: TableStore, manifest: dict, source: str | None, batch: int | None) -> None:
+        self.store = store
+        self.number = manifest["commit"] + 1
+        self._manifest = {**manifest, "commit": self.number, "tables": dict(manifest["tables"])}
+        if source is not None:
+            self._manifest["batches"] = {**manifest["batches"], source: batch}
+
+    def append(self, table: str, frame: DataFrame) -> DataFrame:
+        """Write the rows and return them as stored."""
+        return self._write(table, frame, keep=True)
+
+    def replace(self, table: str, frame: DataFrame) -> DataFrame:
+        """Write the rows in place of what the table holds."""
+        return self._write(table, frame, keep=False)
+
+    def _write(self, table: str, frame: DataFrame, keep: bool) -> DataFrame:
+        folder = self.store.folder(table, self.number)
+        frame.write.mode("overwrite").parquet(folder)
+        entry = self._manifest["tables"].get(table)
+        before = entry["commits"] if entry and keep else []
+        self._manifest["tables"][table] = {"commits": [*before, self.number], "schema": json.loads(frame.schema.json())}
+        return self.store.spark.read.schema(frame.schema).parquet(folder)
+
+    def publish(self) -> int:
+        self.store.swap_manifest(self._manifest)
+        return self.number
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    # --- manifest: {"commit": last commit, "tables": {name: {"commits": [...], "schema": ...}}} ---
+    # --- manifest: last commit, last batch by stream, and commits and schema by table ---
 
     def _context(self, path: str):
         jvm = self.spark._jvm
@@ -32,14 +63,14 @@ class TableStore:
     def manifest(self) -> dict:
         jvm, path, context = self._context(f"{self.root}/{MANIFEST}")
         if not context.util().exists(path):
-            return {"commit": -1, "tables": {}}
+            return {"commit": -1, "batches": {}, "tables": {}}
         stream = context.open(path)
         try:
             return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _swap_manifest(self, manifest: dict) -> None:
+    def swap_manifest(self, manifest: dict) -> None:
         jvm, path, context = self._context(f"{self.root}/{MANIFEST}")
         _, draft, _ = self._context(f"{self.root}/{MANIFEST}.{manifest['commit']}")
         flags = jvm.java.util.EnumSet.of(
@@ -57,39 +88,30 @@ class TableStore:
 
     # --- reading and writing ---
 
-    def last_commit(self) -> int:
-        return self.manifest()["commit"]
+    def folder(self, table: str, number: int) -> str:
+        return f"{self.root}/{table}/commit={number}"
 
     def tables(self) -> list[str]:
         return sorted(self.manifest()["tables"])
 
     def read(self, table: str) -> DataFrame | None:
+        """The published rows of a table, or None when it was never written."""
         entry = self.manifest()["tables"].get(table)
         if entry is None:
             return None
         schema = T.StructType.fromJson(entry["schema"])
-        paths = [f"{self.root}/{table}/commit={n}" for n in entry["commits"]]
-        return self.spark.read.schema(schema).parquet(*paths)
-
-    def commit(
-        self,
-        number: int,
-        append: Mapping[str, DataFrame] | None = None,
-        replace: Mapping[str, DataFrame] | None = None,
-    ) -> bool:
-        """Write tables as commit ``number``; all become visible together.
-
-        Returns False, without writing, for a number that is already committed.
-        """
+        return self.spark.read.schema(schema).parquet(*[self.folder(table, n) for n in entry["commits"]])
+
+    def begin(self, source: str | None = None, batch: int | None = None) -> Commit | None:
+        """A new commit, or None when this batch of this stream is published already."""
         manifest = self.manifest()
-        if number <= manifest["commit"]:
-            return False
-        for mode, frames in (("append", append or {}), ("replace", replace or {})):
-            for table, frame in frames.items():
-                frame.write.mode("overwrite").parquet(f"{self.root}/{table}/commit={number}")
-                entry = manifest["tables"].get(table, {"commits": []})
-                kept = entry["commits"] if mode == "append" else []
-                manifest["tables"][table] = {"commits": [*kept, number], "schema": json.loads(frame.schema.json())}
-        manifest["commit"] = number
-        self._swap_manifest(manifest)
-        return True
+        if source is not None and batch <= manifest["batches"].get(source, -1):
+            return None
+        return Commit(self, manifest, source, batch)
+
+    def save(self, tables: dict[str, DataFrame]) -> int:
+        """Replace several tables in one commit."""
+        commit = self.begin()
+        for name, frame in tables.items():
+            commit.replace(name, frame)
+        return commit.publish()
