@@ -77,54 +77,44 @@ def last_with_role(people: Column, role: str) -> Column:
     return F.try_element_at(F.filter(people, lambda p: p["role"] == role), F.lit(-1))["email"]
 
 
-def booking_time(doc: Column, name: str) -> Column:
-    return iso_timestamp(J.text(doc, f"$.normalized.booking.{name}"))
-
-
-def message_id(doc: Column) -> Column:
-    return F.coalesce(J.text(doc, "$.message_id"), J.text(doc, "$.message.id"))
-
-
 def text_preview(doc: Column, length: int = S.TEXT_PREVIEW_LENGTH) -> Column:
     return F.left(J.text(doc, "$.message.text"), F.lit(length))
 
 
-def acting_email(doc: Column, decode: Column, secret: str | None) -> Column:
+def bad_first_user(doc: Column) -> Column:
+    """``users`` is a filled array whose first entry is no object: such an event fails."""
+    return J.type_name(doc, "$.users[0]").isNotNull() & ~J.is_object(doc, "$.users[0]")
+
+
+def acting_email(user_email: Column, user_id: Column, decoded_id: Column) -> Column:
     """Who acts in a chat event: first user, then user_id, then the (decoded) user.id."""
-    address = lambda value: F.when(F.contains(value, F.lit("@")), value)
-    raw = J.filled_text(doc, "$.user.id")
-    user = F.when(decode, decode_user_id(raw, secret)).otherwise(raw)
-    return F.coalesce(J.filled_text(doc, "$.users[0].email"), address(J.text(doc, "$.user_id")), address(user))
 
+    def address(value: Column) -> Column:
+        return F.when(F.contains(value, F.lit("@")), value)
 
-def recipient_email(doc: Column, role: Column, client_too: bool) -> Column:
-    choices = [
-        J.filled_text(doc, "$.email"),
-        F.when(role == S.ROLE_ORGANIZER, F.coalesce(J.filled_text(doc, "$.user.email"), J.filled_text(doc, "$.organizer.email"))),
-    ]
-    if client_too:
-        choices.append(F.when(role == S.ROLE_CLIENT, J.filled_text(doc, "$.client.email")))
-    return F.coalesce(*choices)
+    return F.coalesce(user_email, address(user_id), address(decoded_id))
 
 
-def bad_first_user(doc: Column) -> Column:
-    """``users`` is a filled array whose first entry is no object: such an event fails."""
-    return J.is_array(doc, "$.users") & ~J.is_object(doc, "$.users[0]") & (
-        F.coalesce(F.size(J.elements(doc, "$.users")), F.lit(0)) > 0
+def recipient_email(role: Column, direct: Column, user: Column, organizer: Column, client: Column) -> Column:
+    return F.coalesce(
+        direct,
+        F.when(role == S.ROLE_ORGANIZER, F.coalesce(user, organizer)).when(role == S.ROLE_CLIENT, client),
     )
 
 
-def pruned_video_payload(doc: Column, action: Column, payload_json: Column) -> Column:
-    """The part of a video payload worth keeping for its action, as JSON."""
-    empty = F.lit("{}")
-    kept = lambda name: F.concat(F.lit(f'{{"{name}":'), J.json_text(doc, f"$.{name}"), F.lit("}"))
+def pruned_video_payload(action: Column, muted: Column, devices: Column, payload_json: Column) -> Column:
+    """The part of a video payload worth keeping for its action, as JSON.
+
+    ``muted`` and ``devices`` are the JSON texts of fields of the right kind, else NULL.
+    """
+
+    def kept(name: str, value: Column) -> Column:
+        return F.coalesce(F.concat(F.lit(f'{{"{name}":'), value, F.lit("}")), F.lit("{}"))
+
     return (
-        F.when(
-            action.isin("audioMuteStatusChanged", "videoMuteStatusChanged"),
-            F.when(J.is_boolean(doc, "$.muted"), kept("muted")).otherwise(empty),
-        )
-        .when(action == "deviceListChanged", F.when(J.is_object(doc, "$.devices"), kept("devices")).otherwise(empty))
-        .when(action.isin("videoConferenceJoined", "videoConferenceLeft"), empty)
+        F.when(action.isin("audioMuteStatusChanged", "videoMuteStatusChanged"), kept("muted", muted))
+        .when(action == "deviceListChanged", kept("devices", devices))
+        .when(action.isin("videoConferenceJoined", "videoConferenceLeft"), F.lit("{}"))
         .otherwise(payload_json)
     )
 
@@ -132,84 +122,120 @@ def pruned_video_payload(doc: Column, action: Column, payload_json: Column) -> C
 FACT_BASE = ["event_id", "booking_id", "event_type", "source", "occurred_at", "received_at", "queue"]
 
 
+def _raw_reads(doc: Column) -> dict[str, Column]:
+    """Every field read, once, and only for events of its kind."""
+    chat, read, meeting, video = is_chat(), is_chat_read(), is_meeting(), is_video()
+    sent, status, telegram = F.col("event_type") == S.EMAIL_SENT, is_mail_status(), is_telegram()
+    mail = sent | telegram
+    typed = classify.uses_payload_type(F.col("queue"), F.col("source")) & (chat | video)
+    fields = {
+        "participants": (None, participants(doc)),
+        "_start": (None, J.text(doc, "$.normalized.booking.start_time")),
+        "_end": (None, J.text(doc, "$.normalized.booking.end_time")),
+        "booking_status": (None, J.text(doc, "$.normalized.booking.status")),
+        "first_user_role": (mail | chat, J.text(doc, "$.users[0].role")),
+        "_bad_user": (mail, bad_first_user(doc)),
+        "meeting_url": (meeting, J.text(doc, "$.meeting_url")),
+        "_job": (sent, J.text(doc, "$.job_id")),
+        "trigger_event": (mail, J.text(doc, "$.trigger_event")),
+        "_email": (mail, J.filled_text(doc, "$.email")),
+        "_user_email": (mail, J.filled_text(doc, "$.user.email")),
+        "_organizer_email": (mail, J.filled_text(doc, "$.organizer.email")),
+        "_client_email": (sent, J.filled_text(doc, "$.client.email")),
+        "_status_email": (status, J.text(doc, "$.event_data.email")),
+        "_status_job": (status, J.text(doc, "$.event_data.job_id")),
+        "status": (status, J.text(doc, "$.event_data.status")),
+        "clicked_url": (status, J.text(doc, "$.event_data.url")),
+        "_status_time": (status, J.text(doc, "$.event_data.event_time")),
+        "_type": (typed, J.text(doc, "$.type")),
+        "_type_set": (typed, J.is_truthy(doc, "$.type")),
+        "_first_email": (chat, J.filled_text(doc, "$.users[0].email")),
+        "_user_id": (chat, J.text(doc, "$.user_id")),
+        "_chat_id": (chat, J.filled_text(doc, "$.user.id")),
+        "_message_id": (chat, J.text(doc, "$.message_id")),
+        "_inner_id": (chat, J.text(doc, "$.message.id")),
+        "text_preview": (chat, text_preview(doc)),
+        "last_read_message_id": (read, J.text(doc, "$.last_read_message_id")),
+        "_last_read_set": (read, J.is_present(doc, "$.last_read_message_id")),
+        "video_role": (video, J.text(doc, "$.context.user.role")),
+        "_video_time": (video, J.text(doc, "$.time")),
+        "_muted": (video & J.is_boolean(doc, "$.muted"), J.json_text(doc, "$.muted")),
+        "_devices": (video & J.is_object(doc, "$.devices"), J.json_text(doc, "$.devices")),
+    }
+    return {name: value if gate is None else F.when(gate, value) for name, (gate, value) in fields.items()}
+
+
 def extract_facts(log: DataFrame, secret: str | None = None) -> DataFrame:
     """Typed facts of every stored event that belongs to a booking."""
-    doc = F.col("_doc")
     parsed = log.filter(has_booking()).select(*FACT_BASE, "payload_json", J.parse("payload_json").alias("_doc"))
+    # two steps: reads from the document, then what follows from them, so that no read is
+    # repeated where its value is used more than once
+    raw = parsed.select(*FACT_BASE, "payload_json", *[c.alias(n) for n, c in _raw_reads(F.col("_doc")).items()])
 
-    chat, read, meeting, video = is_chat(), is_chat_read(), is_meeting(), is_video()
+    chat, video = is_chat(), is_video()
     sent, status, telegram = F.col("event_type") == S.EMAIL_SENT, is_mail_status(), is_telegram()
+    col = F.col
 
     def action(source: Column) -> Column:
-        by_payload = classify.uses_payload_type(F.col("queue"), source)
-        return classify.action(F.col("queue"), source, F.col("event_type"), F.when(by_payload, J.text(doc, "$.type")))
+        return classify.action(col("queue"), source, col("event_type"), col("_type"))
 
     def bad_type(source: Column) -> Column:
-        return F.when(
-            classify.uses_payload_type(F.col("queue"), source) & J.text(doc, "$.type").isNull() & J.is_truthy(doc, "$.type"),
-            "type_not_text",
-        )
+        decides = classify.uses_payload_type(col("queue"), source)
+        return F.when(decides & col("_type").isNull() & col("_type_set"), "type_not_text")
 
     # a video event is classified as one whatever its source says
     video_source = F.lit(S.SOURCE_VIDEO)
-    shared = parsed.select(
-        *FACT_BASE,
-        "payload_json",
-        "_doc",
-        participants(doc).alias("participants"),
-        F.when(sent | telegram | chat, J.text(doc, "$.users[0].role")).alias("first_user_role"),
-        F.when(chat, action(F.col("source"))).alias("chat_action"),
-        F.when(video, action(video_source)).alias("video_action"),
-    ).withColumns(
+    chat_id = F.when(col("source") == S.SOURCE_CHAT, decode_user_id(col("_chat_id"), secret)).otherwise(col("_chat_id"))
+    combined = raw.withColumns(
         {
-            "organizer": last_with_role(F.col("participants"), S.ROLE_ORGANIZER),
-            "client": last_with_role(F.col("participants"), S.ROLE_CLIENT),
+            "organizer": last_with_role(col("participants"), S.ROLE_ORGANIZER),
+            "client": last_with_role(col("participants"), S.ROLE_CLIENT),
+            "chat_action": F.when(chat, action(col("source"))),
+            "video_action": F.when(video, action(video_source)),
+            "_decoded_id": chat_id,
         }
     )
-    role = F.col("first_user_role")
-    url = J.text(doc, "$.meeting_url")
-    sent_job = J.text(doc, "$.job_id")
-    last_read = J.text(doc, "$.last_read_message_id")
-    return shared.select(
+    recipient = recipient_email(
+        col("first_user_role"), col("_email"), col("_user_email"), col("_organizer_email"), col("_client_email")
+    )
+    return combined.select(
         *FACT_BASE,
         "participants",
         "organizer",
         "client",
-        booking_time(doc, "start_time").alias("start_time"),
-        booking_time(doc, "end_time").alias("end_time"),
-        J.text(doc, "$.normalized.booking.status").alias("booking_status"),
+        iso_timestamp("_start").alias("start_time"),
+        iso_timestamp("_end").alias("end_time"),
+        "booking_status",
         "first_user_role",
-        # meeting
-        F.when(meeting, url).alias("meeting_url"),
+        "meeting_url",
         # e-mail and telegram
-        F.when(sent, sent_job).when(status, J.text(doc, "$.event_data.job_id")).alias("job_id"),
-        F.when(sent | telegram, J.text(doc, "$.trigger_event")).alias("trigger_event"),
-        F.when(sent, recipient_email(doc, role, True))
-        .when(telegram, recipient_email(doc, role, False))
-        .when(status, J.text(doc, "$.event_data.email"))
-        .alias("recipient_email"),
-        F.when(status, J.text(doc, "$.event_data.status")).alias("status"),
-        F.when(status, J.text(doc, "$.event_data.url")).alias("clicked_url"),
-        F.when(status, iso_timestamp(J.text(doc, "$.event_data.event_time"))).alias("status_time"),
+        F.coalesce("_job", "_status_job").alias("job_id"),
+        "trigger_event",
+        F.when(status, col("_status_email")).when(sent | telegram, recipient).alias("recipient_email"),
+        "status",
+        "clicked_url",
+        iso_timestamp("_status_time").alias("status_time"),
         # chat
         "chat_action",
-        F.when(chat, acting_email(doc, F.col("source") == S.SOURCE_CHAT, secret)).alias("acting_email"),
-        F.when(chat, message_id(doc)).alias("message_id"),
-        F.when(chat, text_preview(doc)).alias("text_preview"),
-        F.when(read, last_read).alias("last_read_message_id"),
+        acting_email(col("_first_email"), col("_user_id"), col("_decoded_id")).alias("acting_email"),
+        F.coalesce("_message_id", "_inner_id").alias("message_id"),
+        "text_preview",
+        "last_read_message_id",
         # video
         "video_action",
-        F.when(video, J.text(doc, "$.context.user.role")).alias("video_role"),
-        F.when(video, iso_timestamp(J.text(doc, "$.time"))).alias("video_time"),
-        F.when(video, pruned_video_payload(doc, F.col("video_action"), F.col("payload_json"))).alias("video_payload"),
-        # what makes a projection fail for this event
-        F.when(meeting & F.coalesce("organizer", "client").isNotNull() & url.isNull(), "meeting_url_not_text").alias(
-            "meeting_error"
+        "video_role",
+        iso_timestamp("_video_time").alias("video_time"),
+        F.when(video, pruned_video_payload(col("video_action"), col("_muted"), col("_devices"), col("payload_json"))).alias(
+            "video_payload"
         ),
-        F.when(((sent & sent_job.isNotNull()) | telegram) & bad_first_user(doc), "first_user_not_object").alias("notification_error"),
-        F.when(chat, bad_type(F.col("source"))).alias("chat_error"),
+        # what makes a projection fail for this event
+        F.when(
+            is_meeting() & F.coalesce("organizer", "client").isNotNull() & col("meeting_url").isNull(), "meeting_url_not_text"
+        ).alias("meeting_error"),
+        F.when(col("_bad_user") & (telegram | col("_job").isNotNull()), "first_user_not_object").alias("notification_error"),
+        F.when(chat, bad_type(col("source"))).alias("chat_error"),
         F.when(video, bad_type(video_source)).alias("video_error"),
-        F.when(read & last_read.isNull() & J.is_present(doc, "$.last_read_message_id"), "last_read_not_text").alias("read_error"),
+        F.when(col("_last_read_set") & col("last_read_message_id").isNull(), "last_read_not_text").alias("read_error"),
     )
 
 
