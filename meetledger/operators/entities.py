@@ -136,13 +136,12 @@ def organizer_history(candidates: DataFrame, chunk: str = "day") -> DataFrame:
     What is left is walked in order, one stretch after the other, with one entry of
     state; no group is ever held in memory.
     """
-    at = F.date_trunc(chunk, "received_at")
     keys, order = ["booking_id"], S.SEQ
     scanned = running_max(
-        candidates,
+        candidates.withColumn("_chunk", F.date_trunc(chunk, "received_at")),
         keys,
         order,
-        at,
+        "_chunk",
         before={
             "_prev": F.struct(*S.SEQ, "organizer", "occurred_at"),
             "_top": F.col("occurred_at"),
@@ -151,6 +150,7 @@ def organizer_history(candidates: DataFrame, chunk: str = "day") -> DataFrame:
     starts = F.col("_prev").isNull()
     flagged = scanned.select(
         *_CANDIDATE,
+        "_chunk",
         (starts | (F.col("occurred_at") >= F.col("_top"))).alias("_record"),
         (starts | (F.col("_prev")["organizer"] != F.col("organizer"))).alias("_change"),
         (starts | (F.col("_prev")["occurred_at"] == F.col("_top"))).alias("_after_record"),
@@ -159,7 +159,7 @@ def organizer_history(candidates: DataFrame, chunk: str = "day") -> DataFrame:
         flagged,
         keys,
         order,
-        at,
+        "_chunk",
         before={"_last_record": F.when(F.col("_record"), seq())},
         upto={"_run": F.when(F.col("_change"), seq()), "_stretch": F.when(F.col("_reset"), seq())},
     )

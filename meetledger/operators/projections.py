@@ -232,9 +232,8 @@ def _reads_by_time(chat: DataFrame, reads: DataFrame, chunk: str) -> DataFrame:
         allowMissingColumns=True,
     )
     keys, order = ["booking_id"], ["received_at", "raw_event_id", "_is_read"]
-    at = F.date_trunc(chunk, "received_at")
-    both = both.withColumn("_is_read", F.col("_read").isNotNull())
-    newest = running_max(both, keys, order, at, before={"_top": F.col("_read")}, descending=True)
+    both = both.withColumns({"_is_read": F.col("_read").isNotNull(), "_chunk": F.date_trunc(chunk, "received_at")})
+    newest = running_max(both, keys, order, "_chunk", before={"_top": F.col("_read")}, descending=True)
 
     # the newest read by anybody but the reader of _top: what was the top until another
     # reader took over, or a later read by someone who did not
@@ -244,7 +243,7 @@ def _reads_by_time(chat: DataFrame, reads: DataFrame, chunk: str) -> DataFrame:
         F.col("_is_read"),
         F.when(took_over, F.col("_top")["at"]).when(F.col("_read")["reader"] != leader["reader"], F.col("_read")["at"]),
     )
-    runners_up = running_max(newest.withColumn("_other", other), keys, order, at, before={"_second": F.col("_other")}, descending=True)
+    runners_up = running_max(newest.withColumn("_other", other), keys, order, "_chunk", before={"_second": F.col("_other")}, descending=True)
 
     author = F.col("participant")
     bound = F.when(author != F.col("_top")["reader"], F.col("_top")["at"]).when(

@@ -21,7 +21,7 @@ def running_max(
     rows: DataFrame,
     keys: list[str],
     order: list[str],
-    chunk: Column,
+    chunk: str,
     before: dict[str, Column] | None = None,
     upto: dict[str, Column] | None = None,
     descending: bool = False,
@@ -29,31 +29,27 @@ def running_max(
     """Add running maxima per ``keys``; NULLs do not count.
 
     ``before`` holds maxima over the rows ahead of the current one, ``upto`` those that
-    include it. ``chunk`` must never decrease along ``order`` and ``keys`` must not be NULL.
+    include it. ``chunk`` names a column that never decreases along ``order``; it and
+    ``keys`` must not be NULL. A second scan over the same chunk column finds its input
+    partitioned already, so a chain of scans moves the rows once.
     """
     before, upto = before or {}, upto or {}
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    piece = Window.partitionBy(*keys, "_chunk").orderBy(*[direction(c) for c in order])
+    piece = Window.partitionBy(*keys, chunk).orderBy(*[direction(c) for c in order])
     values = {**before, **upto}
 
-    cut = rows.withColumn("_chunk", chunk)
-    scanned = cut.select(
+    scanned = rows.select(
         "*",
         *[F.max(v).over(piece.rowsBetween(Window.unboundedPreceding, -1)).alias(n) for n, v in before.items()],
         *[F.max(v).over(piece.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n, v in upto.items()],
     )
-    totals = cut.groupBy(*keys, "_chunk").agg(*[F.max(v).alias(f"_t_{n}") for n, v in values.items()])
-    chunks_before = Window.partitionBy(*keys).orderBy(direction("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, chunk).agg(*[F.max(v).alias(f"_t_{n}") for n, v in values.items()])
+    chunks_before = Window.partitionBy(*keys).orderBy(direction(chunk)).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
-        *[F.col(k).alias(f"_c_{k}") for k in keys],
-        F.col("_chunk").alias("_c_chunk"),
+        *[F.col(k).alias(f"_c_{k}") for k in (*keys, chunk)],
         *[F.max(f"_t_{n}").over(chunks_before).alias(f"_c_{n}") for n in values],
     )
-    same_piece = reduce(
-        lambda a, b: a & b,
-        [scanned[k] == carried[f"_c_{k}"] for k in keys],
-        scanned["_chunk"].eqNullSafe(carried["_c_chunk"]),
-    )
+    same_piece = reduce(lambda a, b: a & b, [scanned[k] == carried[f"_c_{k}"] for k in (*keys, chunk)])
     return scanned.join(carried, same_piece).select(
         *rows.columns, *[F.greatest(F.col(n), F.col(f"_c_{n}")).alias(n) for n in values]
     )

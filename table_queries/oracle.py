@@ -442,3 +442,8 @@ UNION ALL SELECT 'telegram_notifications', count(*) FROM telegrams
 UNION ALL SELECT 'email_status_history', count(*) FROM (SELECT DISTINCT job, k % 5 FROM fx WHERE event_type = '{STATUS}')
 UNION ALL SELECT 'chat_events', count(*) FROM fx WHERE is_chat
 UNION ALL SELECT 'video_events', count(*) FROM video""")
+sql("stream_log", f"""{_DECODED}, valid AS (
+  SELECT event_id, booking_id, event_type, source, CASE WHEN damage = 5 THEN received_at ELSE occurred_at END AS occurred_at, received_at,
+    md5(CASE WHEN damage = 7 THEN '{{}}' ELSE body END) AS payload_hash, idempotency_key FROM r WHERE reject_reason IS NULL),
+{DEDUP.replace('FROM ev', 'FROM valid')}
+SELECT * FROM log""")

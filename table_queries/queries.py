@@ -15,10 +15,12 @@ from meetledger.operators import projections as P
 from meetledger.operators.routing import DEFAULT_RULES, Rule, destinations, effective_queues, route
 from meetledger.plans import normalize as N
 from meetledger.plans import pipeline
-from meetledger.session import materialize
 from meetledger.plans.registry import Projection, Registry
+from meetledger.schemas import MESSAGE_SCHEMA
+from meetledger.session import fresh_path, materialize
 from meetledger.sources import messages as M
 from meetledger.sources.publish import outgoing_messages
+from meetledger.streaming.ingest import StreamIngest
 from table_queries.adapters import conversation_log, event_headers, event_log, mail_log, order_log, plain, raw_events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -697,7 +699,21 @@ def iso_times(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", times.iso_timestamp(spelled).alias("at"))
 
 
-# --- the whole plan ---
+# --- streaming and the whole plan ---
+
+
+@query
+def stream_log(spark, sf_dir):
+    """SRC1, SNK1, SNK3, SNK4, STM1-5: the log built by a stream from three arrivals of messages"""
+    messages = event_headers(spark, sf_dir).select(*MESSAGE_SCHEMA.fieldNames())
+    inbox, checkpoint = fresh_path(spark, "inbox"), fresh_path(spark, "stream")
+    ingest = StreamIngest(spark, fresh_path(spark, "store"), compact_every=2)
+    arrived = F.col("received_at")
+    first, second = F.lit("2024-01-11 00:00:00").cast("timestamp"), F.lit("2024-01-21 00:00:00").cast("timestamp")
+    for part in (arrived < first, (arrived >= first) & (arrived < second), arrived >= second):
+        messages.filter(part).write.mode("append").parquet(inbox)
+        ingest.start(M.stream_messages(spark, inbox), checkpoint, availableNow=True).awaitTermination()
+    return ingest.table("events").select(*ID, "occurred_at", "received_at", "payload_hash", "idempotency_key")
 
 
 @query

@@ -118,7 +118,8 @@ def test_running_max_equals_a_plain_window(spark, descending):
     rng = random.Random(7)
     rows = [(rng.choice("aab"), n, rng.choice([None, rng.randrange(1000)])) for n in range(800)]
     df = spark.createDataFrame(rows, "k string, n int, v int")
-    got = running_max(df, ["k"], ["n"], F.floor(F.col("n") / 50), before={"lo": F.col("v")}, upto={"hi": F.col("v")}, descending=descending)
+    df = df.withColumn("piece", F.floor(F.col("n") / 50))
+    got = running_max(df, ["k"], ["n"], "piece", before={"lo": F.col("v")}, upto={"hi": F.col("v")}, descending=descending)
     expected = {}
     best = {}
     for k, n, v in sorted(rows, key=lambda r: r[1], reverse=descending):
