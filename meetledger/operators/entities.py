@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meetledger import schemas as S
@@ -208,7 +207,16 @@ def latest_organizer(history: DataFrame) -> DataFrame:
     )(history)
 
 
-def organizer_periods(history: DataFrame) -> DataFrame:
+def organizer_periods(history: DataFrame, chunk: str = "day") -> DataFrame:
     """History with the end of each period, where the next entry begins."""
-    ordered = Window.partitionBy("booking_id").orderBy("effective_from", "received_at", "source_event_id")
-    return history.withColumn("effective_to", F.lead("effective_from").over(ordered))
+    # entries are ordered by their begin, so the next begin is the smallest one ahead
+    begin = F.unix_micros("effective_from")
+    ahead = running_max(
+        history.withColumn("_chunk", F.date_trunc(chunk, "effective_from")),
+        ["booking_id"],
+        ["effective_from", "received_at", "source_event_id"],
+        "_chunk",
+        before={"_next": -begin},
+        descending=True,
+    )
+    return ahead.withColumn("effective_to", F.timestamp_micros(-F.col("_next"))).drop("_chunk", "_next")
