@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -22,16 +23,24 @@ class Result:
         return self.tables[name]
 
 
-def entity_tables(facts: DataFrame) -> dict[str, DataFrame]:
-    participants = entities.participants(facts)
-    bookings = entities.bookings(facts)
-    history = entities.organizer_history(entities.organizer_candidates(facts, bookings))
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def as_is(frame: DataFrame, name: str) -> DataFrame:
+    return frame
+
+
+def entity_tables(facts: DataFrame, keep: Keep = as_is) -> dict[str, DataFrame]:
+    """``keep`` stores a frame that is read several times, or passes it through."""
+    participants = keep(entities.participants(facts), "participants")
+    bookings = keep(entities.bookings(facts), "bookings")
+    history = entities.organizer_history(keep(entities.organizer_candidates(facts, bookings), "candidates"))
     return {"participants": participants, "bookings": bookings, "organizer_history": history}
 
 
-def projection_tables(facts: DataFrame, participants: DataFrame) -> dict[str, DataFrame]:
-    chat = projections.chat_events(facts, participants)
-    reads = projections.chat_reads(facts, participants)
+def projection_tables(facts: DataFrame, participants: DataFrame, keep: Keep = as_is) -> dict[str, DataFrame]:
+    chat = keep(projections.chat_events(facts, participants), "chat")
+    reads = keep(projections.chat_reads(facts, participants), "reads")
     return {
         "meeting_links": projections.meeting_links(facts),
         "email_notifications": projections.email_notifications(facts, participants),
@@ -44,11 +53,9 @@ def projection_tables(facts: DataFrame, participants: DataFrame) -> dict[str, Da
 
 def build_tables(log: DataFrame, facts: DataFrame, registry: Registry | None = None, persist: bool = True) -> dict[str, DataFrame]:
     """Entities and projections from a deduplicated log and its facts."""
-    keep = materialize if persist else (lambda df, _name: df)
-    tables = entity_tables(facts)
-    # looked up by several projections
-    tables["participants"] = keep(tables["participants"], "participants")
-    tables.update(projection_tables(facts, tables["participants"]))
+    keep = materialize if persist else as_is
+    tables = entity_tables(facts, keep)
+    tables.update(projection_tables(facts, tables["participants"], keep))
     if registry:
         tables.update(registry.run(Context(log, facts, tables["participants"], tables["bookings"])))
     return tables
@@ -63,10 +70,10 @@ def run(
 ) -> Result:
     """All tables of a set of envelopes.
 
-    With ``persist`` the log, the facts and the participants are written once to the
-    shared folder, since several tables read them; the payload is parsed once.
+    With ``persist`` whatever several tables read (the log, the facts, participants and
+    the like) is written once to the shared folder; the payload is parsed once.
     """
-    keep = materialize if persist else (lambda df, _name: df)
+    keep = materialize if persist else as_is
     unique, conflicts = dedup.split_id_conflicts(dedup.deduplicate(envelopes, legacy_scope))
     log = keep(unique, "log")
     facts = keep(extract.extract_facts(log, secret), "facts")

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from meetledger.operators import dedup, entities, extract, projections
 from meetledger.operators.folds import Fold
 from meetledger.plans.registry import Context, Registry
-from meetledger.session import prepare
+from meetledger.session import materialize, prepare
 from meetledger.sources.messages import decode_messages, rejected_messages, valid_envelopes
 from meetledger.sources.tables import Commit, TableStore
 
@@ -135,7 +135,8 @@ class StreamIngest:
         if name == "chat_events":
             return projections.apply_reads(stored, self.store.read("chat_reads"))
         if name == "organizer_history":
-            return entities.organizer_history(entities.organizer_candidates(self.store.read("facts"), self.table("bookings")))
+            candidates = entities.organizer_candidates(self.store.read("facts"), self.table("bookings"))
+            return entities.organizer_history(materialize(candidates, "candidates"))
         if name == "projection_rejects":
             return extract.projection_rejects(self.store.read("facts"))
         return stored

@@ -330,7 +330,14 @@ def bookings_upsert(spark, sf_dir):
 
 def _history(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame:
     facts = _facts_of(order_log(spark, sf_dir, late=late))
-    return entities.organizer_history(entities.organizer_candidates(facts, entities.bookings(facts)))
+    candidates = entities.organizer_candidates(facts, entities.bookings(facts))
+    return entities.organizer_history(materialize(candidates, "candidates"))
+
+
+def _read_chat(facts: DataFrame) -> DataFrame:
+    people = materialize(entities.participants(facts), "participants")
+    chat = materialize(P.chat_events(facts, people), "chat")
+    return P.apply_reads(chat, materialize(P.chat_reads(facts, people), "reads"))
 
 
 HISTORY = ["booking_id", "organizer", "source_event_id", "effective_from"]
@@ -357,7 +364,7 @@ def latest_organizer(spark, sf_dir):
 @query
 def organizer_periods(spark, sf_dir):
     """RD4"""
-    return entities.organizer_periods(_history(spark, sf_dir)).select(*HISTORY, "effective_to")
+    return entities.organizer_periods(materialize(_history(spark, sf_dir), "history")).select(*HISTORY, "effective_to")
 
 
 # --- projections from events ---
@@ -385,9 +392,7 @@ def video_events(spark, sf_dir):
 @query
 def event_chat(spark, sf_dir):
     """PRJ5, PRJ6, JON3, JON5 over events of many bookings"""
-    facts = _facts(spark, sf_dir)
-    people = entities.participants(facts)
-    return P.apply_reads(P.chat_events(facts, people), P.chat_reads(facts, people)).select(
+    return _read_chat(_facts(spark, sf_dir)).select(
         "raw_event_id", "booking_id", "provider", "chat_event_type", "message_id", "participant", "is_read", "occurred_at"
     )
 
@@ -450,9 +455,7 @@ def email_status_events(spark, sf_dir):
 
 
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = _facts_of(conversation_log(spark, sf_dir))
-    people = entities.participants(facts)
-    return P.apply_reads(P.chat_events(facts, people), P.chat_reads(facts, people))
+    return _read_chat(_facts_of(conversation_log(spark, sf_dir)))
 
 
 @query
@@ -499,7 +502,7 @@ def recent_bookings(spark, sf_dir):
 @query
 def history_of_booking(spark, sf_dir):
     """RD4 for one booking"""
-    periods = entities.organizer_periods(_history(spark, sf_dir))
+    periods = entities.organizer_periods(materialize(_history(spark, sf_dir), "history"))
     return readers.organizer_history_of(periods, "b5").select(*HISTORY, "effective_to")
 
 
