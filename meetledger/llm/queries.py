@@ -6,19 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetledger.llm import mixing
+from meetledger.llm import divergence, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of each text, and whether its histograms are near those of its language."""
+    return divergence.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed to weighted source targets; taken words by pivotal rounding."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_divergence": op2_divergence,
     "op10_mixing": op10_mixing,
 }
 
