@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetledger.llm import divergence, mixing
+from meetledger.llm import divergence, factorization, licenses, mixing, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,23 @@ def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every text by a factorisation machine."""
+    return factorization.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host rules, and association rules mined from the labelled pages, for each url."""
+    pages = table(spark, sf_dir, "pages")
+    rules = url_rules.mine(url_rules.labelled_pages(pages, table(spark, sf_dir, "labels")))
+    return url_rules.judge(pages, rules)
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and the labels of the signature rules, for each text."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed to weighted source targets; taken words by pivotal rounding."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("key")
@@ -25,6 +42,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_divergence": op2_divergence,
+    "op4_factorization": op4_factorization,
+    "op7_url_rules": op7_url_rules,
+    "op8_licenses": op8_licenses,
     "op10_mixing": op10_mixing,
 }
 
