@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetledger.llm import divergence, factorization, licenses, mixing, url_rules
+from meetledger.llm import divergence, factorization, licenses, mixing, token_store, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,17 @@ def op4_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorization.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text, written as compressed blocks and read back."""
+    return token_store.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host rules, and association rules mined from the labelled pages, for each url."""
     pages = table(spark, sf_dir, "pages")
@@ -43,6 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_divergence": op2_divergence,
     "op4_factorization": op4_factorization,
+    "op5_token_store": op5_token_store,
     "op7_url_rules": op7_url_rules,
     "op8_licenses": op8_licenses,
     "op10_mixing": op10_mixing,
