@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetledger.llm import divergence, factorization, licenses, mixing, token_store, url_rules
+from meetledger.llm import divergence, factorization, licenses, mixing, site_style, token_store, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op6_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, without the branches that its host's style tree rates low."""
+    return site_style.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host rules, and association rules mined from the labelled pages, for each url."""
     pages = table(spark, sf_dir, "pages")
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_divergence": op2_divergence,
     "op4_factorization": op4_factorization,
     "op5_token_store": op5_token_store,
+    "op6_site_style": op6_site_style,
     "op7_url_rules": op7_url_rules,
     "op8_licenses": op8_licenses,
     "op10_mixing": op10_mixing,
