@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetledger.llm import divergence, factorization, licenses, mixing, site_style, token_store, url_rules
+from meetledger.llm import divergence, factorization, licenses, mixing, site_style, templates, token_store, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, also with other numbers, names or units."""
+    return templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("a", "b")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed to weighted source targets; taken words by pivotal rounding."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("key")
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_site_style": op6_site_style,
     "op7_url_rules": op7_url_rules,
     "op8_licenses": op8_licenses,
+    "op9_templates": op9_templates,
     "op10_mixing": op10_mixing,
 }
 
