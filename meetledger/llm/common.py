@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,3 +51,26 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 def empty(spark, schema: str) -> DataFrame:
     return spark.createDataFrame([], T._parse_datatype_string(schema))
+
+
+def bitmap_of(hashes: DataFrame, bits_range: tuple[int, int], spare: int = 64) -> tuple[np.ndarray, int]:
+    """A bitmap of the column ``hash`` by its leading bits.
+
+    Places grow with the number of rows (``spare`` for each), within the range of bits; a
+    fuller bitmap lets more through and never holds back what it should let through.
+    """
+    n = hashes.count()
+    bits = int(np.clip(np.ceil(np.log2(max(n, 1) * spare)), *bits_range))
+    place = F.shiftrightunsigned("hash", 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1), F.pmod(place, F.lit(8)).cast("int"))
+    # At most 2**(bits - 3) rows, however many hashes there are.
+    filled = hashes.select(F.shiftright(place, 3).alias("byte"), bit.alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("value")).toPandas()
+    bitmap = np.zeros(1 << (bits - 3), np.uint8)
+    bitmap[filled["byte"].to_numpy(np.int64)] = filled["value"].to_numpy(np.uint8)
+    return bitmap, bits
+
+
+def in_bitmap(hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    place = hashes.view(np.uint64) >> np.uint64(64 - bits)
+    byte = bitmap[(place >> np.uint64(3)).astype(np.int64)]
+    return (byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1

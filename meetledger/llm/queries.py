@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetledger.llm import divergence, factorization, licenses, mixing, site_style, templates, token_store, url_rules
+from meetledger.llm import divergence, factorization, jaccard, licenses, mixing, site_style, templates, token_store, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets are similar to three quarters."""
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of each text, and whether its histograms are near those of its language."""
     return divergence.judge(table(spark, sf_dir, "documents"))
@@ -62,6 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard": op1_jaccard,
     "op2_divergence": op2_divergence,
     "op4_factorization": op4_factorization,
     "op5_token_store": op5_token_store,

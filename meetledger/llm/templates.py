@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meetledger.llm.common import narrow, row_key, store
+from meetledger.llm.common import bitmap_of, in_bitmap, narrow, row_key, store
 
 WINDOW, LEAST_WORDS, COVERAGE = 8, 5, 0.3
 FILTER_BITS = (20, 25)
@@ -137,24 +137,11 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return store(items.mapInPandas(cut, schema), "benchmark-windows")
 
 
-def _bitmap(hashes: DataFrame) -> tuple[np.ndarray, int]:
-    """A bitmap of the hashes with 2**bits places; bits grow with their number, up to a bound."""
-    n = hashes.count()
-    bits = int(np.clip(np.ceil(np.log2(max(n, 1) * 64)), *FILTER_BITS))
-    place = F.shiftrightunsigned("hash", 64 - bits)
-    bit = F.call_function("shiftleft", F.lit(1), F.pmod(place, F.lit(8)).cast("int"))
-    # At most 2**(bits - 3) rows, whatever the benchmark's size.
-    filled = hashes.select(F.shiftright(place, 3).alias("byte"), bit.alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("value")).toPandas()
-    bitmap = np.zeros(1 << (bits - 3), np.uint8)
-    bitmap[filled["byte"].to_numpy(np.int64)] = filled["value"].to_numpy(np.uint8)
-    return bitmap, bits
-
-
 def document_windows(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """doc_id, key, width, place, hash and slots of the windows that may be in the benchmark."""
     # As many rows as there are widths: WINDOW at most.
     widths = sorted(r["width"] for r in bench.select("width").distinct().collect())
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(bench.select("hash")))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(bench.select("hash"), FILTER_BITS))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap, bits = shared.value
@@ -164,9 +151,7 @@ def document_windows(docs: DataFrame, bench: DataFrame) -> DataFrame:
             rows = []
             for doc, a, b, text in zip(batch["doc_id"].astype("object"), batch["a"], batch["b"], batch["text"], strict=True):
                 for width, hashes, words, template in windows(text, widths, known):
-                    place = hashes >> np.uint64(64 - bits)
-                    hit = bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1
-                    for at in np.flatnonzero(hit):
+                    for at in np.flatnonzero(in_bitmap(hashes, bitmap, bits)):
                         h = int(hashes[at : at + 1].view(np.int64)[0])
                         rows.append((None if pd.isna(doc) else int(doc), a, b, width, int(at), h, _slots(words, template, at, width)))
                         if len(rows) >= 20_000:
