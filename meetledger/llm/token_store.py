@@ -20,6 +20,7 @@ store; further columns are not read.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,18 +35,18 @@ from meetledger.llm.common import narrow
 from meetledger.session import fresh_path
 
 END_ID = 0
-LEVEL = 3
+LEVEL = 1
 DICTIONARY_BYTES = 64 * 1024
 SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 8_000
 BLOCK_DOCS, BLOCK_BYTES = 256, 4 << 20
 DOCS_PER_SHARD = 8_192
-CACHED_PIECES = 200_000
+KNOWN_WORDS = 700_000
 
-# Around a single blank or line feed between two other characters the tokenizer always
-# splits, so that pieces can be encoded once and reused. Texts with any other white space
-# run are encoded whole.
-_IRREGULAR = re.compile(r"^\s|\s\s|\s$|[\x1c-\x1f\x85᠎​⁠﻿]")
-_PIECE = re.compile(r"\n| ?[^ \n]+")
+# Between two characters that are not white space, the tokenizer always splits before a
+# single blank and around a single line feed; so words can be encoded once and reused.
+# Texts with any other white space, or more of it in a row, are encoded whole.
+_OTHER_WHITE = re.compile("[\\t\\r\\x0b\\f\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
+_RUNS = ("  ", "\n\n", " \n", "\n ")
 
 _FRAMES = "shard int, doc_id long, n_tokens long, frame binary, width int"
 _BLOCKS = (
@@ -55,34 +56,96 @@ _BLOCKS = (
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, remembering the pieces it has met."""
+    """Ids of whole texts by the tokenizers library, remembering the words it has met."""
 
     def __init__(self, tokenizer_file: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        # Words at the start of a line, and words after a blank.
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.end = np.array([END_ID], f"<u{self.width}").tobytes()
+        self.line = self._whole("\n")
+        self.splits = len(self.line) == self.width
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}")
+
+    def _whole(self, text: str) -> bytes:
+        return self._ids(text).tobytes()
+
+    def _learn(self, words: list[str], after_blank: int) -> None:
+        """Encode new words all at once, one on each line, and cut the ids at the line feeds."""
+        known = self.known[after_blank]
+        if len(known) + len(words) > KNOWN_WORDS:
+            # The words met first are the frequent ones.
+            for word in list(known)[KNOWN_WORDS // 2 :]:
+                del known[word]
+        ids = self._ids(("\n " if after_blank else "\n").join(["", *words])[1:])
+        cuts = np.flatnonzero(ids == np.frombuffer(self.line, ids.dtype)[0]) * self.width
+        content = ids.tobytes()
+        at = 0
+        for word, cut in zip(words, [*cuts.tolist(), len(content)], strict=True):
+            known[word] = content[at:cut]
+            at = cut + self.width
+
+    def _regular(self, text: str) -> bool:
+        if not text or not self.splits or text[0] in " \n" or text[-1] in " \n":
+            return False
+        return not any(run in text for run in _RUNS) and not _OTHER_WHITE.search(text)
+
+    def _lookup(self, words: list[str], after_blank: int) -> list[bytes]:
+        known = self.known[after_blank]
+        found = list(map(known.get, words))
+        if None in found:
+            new = [k for k, ids in enumerate(found) if ids is None]
+            self._learn(list({words[k] for k in new}), after_blank)
+            for k in new:
+                found[k] = known[words[k]]
+        return found
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        """Serialized ids of regular texts: all words are looked up together."""
+        lines = [t.split("\n") for t in texts]
+        first, later, counts = [], [], []
+        for text in lines:
+            for line in text:
+                words = line.split(" ")
+                first.append(words[0])
+                later += words[1:]
+                counts.append(len(words) - 1)
+        starts, rest = self._lookup(first, 0), self._lookup(later, 1)
+        out, at, k = [], 0, 0
+        for text in lines:
+            parts = []
+            for _ in text:
+                parts.append(starts[k])
+                parts += rest[at : at + counts[k]]
+                parts.append(self.line)
+                at += counts[k]
+                k += 1
+            parts[-1] = self.end
+            out.append(b"".join(parts))
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The serialized ids of each text, end id included."""
+        regular = [self._regular(t or "") for t in texts]
+        quick = iter(self._batch([t for t, ok in zip(texts, regular, strict=True) if ok]))
+        return [next(quick) if ok else self._whole(t or "") + self.end for t, ok in zip(texts, regular, strict=True)]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, f"<u{self.width}").tobytes() for x in found]
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """The serialized ids of each text, end id included."""
-        for start in range(0, len(texts), 64):
-            part = [t or "" for t in texts[start : start + 64]]
-            pieces = [None if _IRREGULAR.search(t) else _PIECE.findall(t) for t in part]
-            missing = list({p for ps in pieces if ps for p in ps} - self.known.keys())
-            if len(self.known) + len(missing) > CACHED_PIECES:
-                self.known = {}
-                missing = list({p for ps in pieces if ps for p in ps})
-            self.known.update(zip(missing, self._encode(missing), strict=True))
-            whole = iter(self._encode([t for t, ps in zip(part, pieces, strict=True) if ps is None]))
-            for ps in pieces:
-                yield (next(whole) if ps is None else b"".join(map(self.known.__getitem__, ps))) + self.end
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(tokenizer_file: str) -> Encoder:
+    """The Python worker's encoder, which keeps its words from task to task."""
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
+    return _ENCODERS[tokenizer_file]
 
 
 def train_dictionary(docs: DataFrame, tokenizer_file: str) -> bytes:
@@ -92,9 +155,9 @@ def train_dictionary(docs: DataFrame, tokenizer_file: str) -> bytes:
     short = F.length("text").between(1, SAMPLE_CHARS) & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
 
     def serialize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(tokenizer_file)
+        encode = encoder(tokenizer_file)
         for batch in batches:
-            yield pd.DataFrame({"ids": list(encode(batch["text"].tolist()))})
+            yield pd.DataFrame({"ids": encode(batch["text"].tolist())})
 
     # Bounded by the sample, not by the table; ids repeated without end are cut here.
     found = read.where(short).limit(2 * SAMPLE_DOCS).select("text").mapInPandas(serialize, "ids binary").collect()
@@ -129,14 +192,14 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str) -> None:
 
     def compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         content, bounds = shared.value
-        encode = Encoder(tokenizer_file)
+        encode = encoder(tokenizer_file)
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(content)).compress
         for batch in batches:
             ids = batch["doc_id"]
             shard = np.where(ids.isna(), len(bounds) + 1, np.searchsorted(bounds, ids.fillna(0).astype("int64"), side="right"))
-            for start in range(0, len(batch), 256):
-                some = slice(start, start + 256)
-                arrays = list(encode(batch["text"].iloc[some].tolist()))
+            for start in range(0, len(batch), 64):
+                some = slice(start, start + 64)
+                arrays = encode(batch["text"].iloc[some].tolist())
                 yield pd.DataFrame(
                     {
                         "shard": shard[some].astype("int32"),
