@@ -49,6 +49,11 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
+def small_batches(spark, rows: int = 1_000) -> None:
+    """Rows that a Python worker gets at once; whole texts are wide rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def empty(spark, schema: str) -> DataFrame:
     return spark.createDataFrame([], T._parse_datatype_string(schema))
 

@@ -35,11 +35,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def vectors(docs: DataFrame, hashed: int = HASHED) -> DataFrame:
-    """doc_id and the features of every whole text."""
-    df = narrow(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
+    """``row`` (all columns of the frame) and the features of every whole text."""
+    df = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     tokens = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     df = df.select(
-        "doc_id", tokens.alias("tokens"), F.length("text").alias("n"), F.regexp_replace("text", "[a-z]+", "").alias("rest"),
+        "row", tokens.alias("tokens"), F.length("text").alias("n"), F.regexp_replace("text", "[a-z]+", "").alias("rest"),
         F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)) != "").alias("lines"),
     )
     rest, n, size = F.col("rest"), F.col("n"), F.size("tokens")
@@ -59,11 +59,11 @@ def vectors(docs: DataFrame, hashed: int = HASHED) -> DataFrame:
         F.when(size > 0, F.least(n / size / 20, F.lit(1.0))).otherwise(F.lit(0.0)),
         F.least(F.log1p(n.cast("double")) / 15, F.lit(1.0)),
     ]
-    df = df.select("doc_id", "tokens", array_to_vector(F.array(*[c.cast("double") for c in structure])).alias("structure"))
+    df = df.select("row", "tokens", array_to_vector(F.array(*[c.cast("double") for c in structure])).alias("structure"))
     df = HashingTF(inputCol="tokens", outputCol="counts", numFeatures=hashed).transform(df)
     df = Normalizer(inputCol="counts", outputCol="words").transform(df)
     df = VectorAssembler(inputCols=["words", "structure"], outputCol="features").transform(df)
-    return df.select("doc_id", "features")
+    return df.select("row", "features")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> DataFrame:
@@ -73,8 +73,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING)
     known = narrow(docs, doc_id="long").join(marks, "doc_id").dropDuplicates(["doc_id"])
     # Ids only are sorted here, and never more than the bound of them is sent on.
     chosen = store(known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(most), "fm-sample")
-    rows = vectors(narrow(docs, doc_id="long", text="string").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))
-    return store(rows.join(F.broadcast(chosen), "doc_id").select("features", F.col("quality").cast("double").alias("label")), "fm-rows")
+    rows = vectors(narrow(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id"))
+    return store(rows.select("features", F.col("row.quality").cast("double").alias("label")), "fm-rows")
 
 
 def fit(rows: DataFrame):
@@ -89,17 +89,25 @@ def fit(rows: DataFrame):
     return machine.fit(rows)
 
 
-def score(docs: DataFrame, model) -> DataFrame:
-    """doc_id, held_out, score and predicted, for every whole text."""
+def scored(docs: DataFrame, model) -> DataFrame:
+    """``row`` and the score of every whole text."""
     rows = vectors(docs)
     if isinstance(model, float):
-        rows = rows.select("doc_id", F.lit(model).alias("score"))
-    else:
-        rows = model.transform(rows).select("doc_id", vector_to_array("probability")[1].alias("score"))
+        return rows.select("row", F.lit(model).alias("score"))
+    return model.transform(rows).select("row", vector_to_array("probability")[1].alias("score"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> DataFrame:
+    """doc_id, held_out, score and predicted, for every whole text."""
+    model = fit(training_rows(docs, labels, most))
+    rows = scored(narrow(docs, doc_id="long", text="string"), model)
+    doc_id = F.col("row.doc_id")
     return rows.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+        doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
 
 
-def classify(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> DataFrame:
-    return score(docs, fit(training_rows(docs, labels, most)))
+def keep_good(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> DataFrame:
+    """The documents that are predicted to be good, with all their columns."""
+    rows = scored(docs, fit(training_rows(docs, labels, most)))
+    return rows.where(F.col("score") >= THRESHOLD).select("row.*")

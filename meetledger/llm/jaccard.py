@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meetledger.llm.common import bitmap_of, in_bitmap, narrow, store
+from meetledger.llm.common import bitmap_of, in_bitmap, narrow, small_batches, store
 from meetledger.llm.components import components
 
 WORDS = 5
@@ -295,6 +295,7 @@ def _derived(candidates: DataFrame, leaders: DataFrame, docs: DataFrame, classes
 
 def classes_and_labels(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, classes, labels): sets by row, classes by set, and the component of each linked class."""
+    small_batches(docs.sparkSession)
     read = narrow(docs, doc_id="long", text="string")
     sets = store(_sets(read), "sets")
     some = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
@@ -326,11 +327,14 @@ def link(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id; rows without an id stay."""
-    linked = link(docs)
+    linked = store(link(docs).select("doc_id", "component_id"), "linked")
     gone = linked.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     gone = store(gone.select(F.col("doc_id").alias("gone_")), "copies")
     names = [F.col(f"`{n}`") for n in docs.columns]
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["gone_"], "left_anti")
-    # Repeated rows of the kept id are one document.
-    with_id = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return with_id.select(*names).union(kept.where(F.col("doc_id").isNull()).select(*names))
+    kept = docs.join(gone, docs["doc_id"] == gone["gone_"], "left_anti")
+    with_id = linked.where(F.col("doc_id").isNotNull())
+    if with_id.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return kept.select(*names)
+    # Rows that repeat an id are one document.
+    once = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    return once.select(*names).union(kept.where(F.col("doc_id").isNull()).select(*names))

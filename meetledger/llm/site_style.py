@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meetledger.llm.common import LOWER, UPPER, narrow, store
+from meetledger.llm.common import LOWER, UPPER, narrow, small_batches, store
 
 # HTML elements by what they do to a text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -223,6 +223,7 @@ def _assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
+    small_batches(pages.sparkSession)
     read = narrow(pages, page_id="long", url="string", html="string")
     read = read.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
     noise = store(_noise(style_tree(read), min_pages, min_importance), "site-noise")

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meetledger.llm.common import bitmap_of, in_bitmap, narrow, row_key, store
+from meetledger.llm.common import bitmap_of, in_bitmap, narrow, row_key, small_batches, store
 
 WINDOW, LEAST_WORDS, COVERAGE = 8, 5, 0.3
 FILTER_BITS = (20, 25)
@@ -165,6 +165,7 @@ def document_windows(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, window: int = WINDOW) -> DataFrame:
     """One row for each document and item that meet: doc_id, item_id, windows met, coverage, changed slots."""
+    small_batches(docs.sparkSession)
     bench = benchmark_windows(benchmark, window)
     found = document_windows(docs, bench)
     item = bench.select(

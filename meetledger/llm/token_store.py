@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meetledger.llm.common import narrow
+from meetledger.llm.common import narrow, small_batches
 from meetledger.session import fresh_path
 
 END_ID = 0
@@ -183,6 +183,7 @@ def _dictionary(content: bytes) -> zstandard.ZstdCompressionDict | None:
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_file: str) -> None:
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     content = train_dictionary(docs, tokenizer_file)
     digest = hashlib.sha256(content).hexdigest()
