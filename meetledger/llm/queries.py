@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meetledger.llm import divergence, factorization, jaccard, licenses, mixing, site_style, templates, token_store, url_rules
+from meetledger.llm import divergence, factorization, jaccard, licenses, line_runs, mixing, site_style, templates, token_store, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the later copies of line runs that repeat in the corpus."""
+    return line_runs.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every text by a factorisation machine."""
     return factorization.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -69,6 +74,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_divergence": op2_divergence,
+    "op3_line_runs": op3_line_runs,
     "op4_factorization": op4_factorization,
     "op5_token_store": op5_token_store,
     "op6_site_style": op6_site_style,
