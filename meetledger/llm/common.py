@@ -69,9 +69,9 @@ def bitmap_of(hashes: DataFrame, bits_range: tuple[int, int], spare: int = 64) -
     place = F.shiftrightunsigned("hash", 64 - bits)
     bit = F.call_function("shiftleft", F.lit(1), F.pmod(place, F.lit(8)).cast("int"))
     # At most 2**(bits - 3) rows, however many hashes there are.
-    filled = hashes.select(F.shiftright(place, 3).alias("byte"), bit.alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("value")).toPandas()
+    filled = hashes.select(F.shiftright(place, 3).alias("byte"), bit.alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("value")).toArrow()
     bitmap = np.zeros(1 << (bits - 3), np.uint8)
-    bitmap[filled["byte"].to_numpy(np.int64)] = filled["value"].to_numpy(np.uint8)
+    bitmap[filled["byte"].to_numpy()] = filled["value"].to_numpy()
     return bitmap, bits
 
 

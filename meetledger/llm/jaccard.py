@@ -106,9 +106,9 @@ def _rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     counted = docs.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     # At most 2**bits rows, whatever the number of words.
-    found = counted.select("bucket", F.floor(F.log2("n") * 2).cast("byte").alias("level")).toPandas()
+    found = counted.select("bucket", F.floor(F.log2("n") * 2).cast("byte").alias("level")).toArrow()
     levels = np.zeros(1 << bits, np.uint8)
-    levels[found["bucket"].to_numpy(np.int64)] = found["level"].to_numpy(np.uint8)
+    levels[found["bucket"].to_numpy()] = found["level"].to_numpy()
     return levels, bits
 
 
