@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from meetledger.llm.common import UPPER, WHITE, narrow, store
 
 FOLDS, HELD_OUT = 5, 0
-MAX_TRAINING = 6_000
-HASHED, FACTORS, STEPS, STEP_SIZE, PENALTY, SEED = 1 << 12, 8, 120, 0.1, 1e-4, 11
+MAX_TRAINING = 12_000
+HASHED, FACTORS, STEPS, STEP_SIZE, PENALTY, SEED = 1 << 12, 8, 60, 0.2, 0.03, 11
 THRESHOLD = 0.3
 
 
