@@ -49,9 +49,10 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
-def small_batches(spark, rows: int = 1_000) -> None:
-    """Rows that a Python worker gets at once; whole texts are wide rows."""
+def small_batches(spark, rows: int = 1_000, size: str = "8m") -> None:
+    """Rows and bytes that a Python worker gets at once; whole texts are wide rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def empty(spark, schema: str) -> DataFrame:

@@ -24,6 +24,7 @@ empty table gives an empty result; further columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,51 +43,83 @@ UNITS = frozenset(
     "second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur gbp "
     "percent degrees mph kmh stunden minuten tage wochen jahre heures jours semaines ans horas minutos dias semanas".split()
 )
-NUMBER, NAME, UNIT = "\x01num", "\x01name", "\x01unit"
+NUMBER, NAME, UNIT = 1, 2, 3
 _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?]|[€$£%]")
 _MARKS = frozenset(".!?")
 _SIGNS = frozenset("€$£%")
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
+# What a token is, in the lowest bits of its number; _SEVERAL is a word of several tokens.
+_PLAIN, _MARK, _DIGITS, _SIGN, _UNIT_WORD, _CAPITAL, _NOTHING, _SEVERAL = range(8)
+_ENDS = 8
+
+
 class Vocabulary(dict):
-    """64-bit numbers of words, remembered up to a bound."""
+    """Words as 60 bits of a hash of their small letters, a bit for the end of a sentence, and their kind."""
 
-    MOST = 300_000
+    MOST = 500_000
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
         if len(self) > self.MOST:
             self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[word] = value = self._number(_TOKEN.findall(word), xxhash.xxh64_intdigest)
         return value
 
-
-def canonical(text: str) -> tuple[list[str], list[str]]:
-    """The words of a text in small letters, and its template: the same with placeholders."""
-    words, template = [], []
-    start, number = True, False
-    for token in _TOKEN.findall(text):
-        first = token[0]
-        if token in _MARKS:
-            start, number = True, False
-            continue
-        if first.isdigit():
-            words.append(token)
-            template.append(NUMBER)
-            start, number = False, True
-            continue
+    @staticmethod
+    def _number(tokens: list[str], digest) -> int:
+        if not tokens:
+            return _NOTHING
+        token, marks = tokens[0], tokens[1:]
+        if len(tokens) > 1 and (token in _MARKS or any(m not in _MARKS for m in marks)):
+            return _SEVERAL
         small = token.lower()
-        words.append(small)
-        if token in _SIGNS or (number and small in UNITS):
-            template.append(UNIT)
-        elif not start and first != small[0] and token[1:] == small[1:]:
-            template.append(NAME)
+        if token in _MARKS:
+            kind = _MARK
+        elif token[0].isdigit():
+            kind = _DIGITS
+        elif token in _SIGNS:
+            kind = _SIGN
+        elif small in UNITS:
+            kind = _UNIT_WORD
         else:
-            template.append(small)
-        start = number = False
-    return words, template
+            kind = _CAPITAL if token[0] != small[0] and token[1:] == small[1:] else _PLAIN
+        return digest(small.encode("utf-8", "surrogatepass")) & ~15 | (_ENDS if marks else 0) | kind
+
+
+_PLACES = {kind: np.uint64(zlib.crc32(name.encode()) + (1 << 40)) for kind, name in ((NUMBER, "num"), (NAME, "name"), (UNIT, "unit"))}
+
+
+def canonical(text: str, known: Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a text and which of them count; of those, numbers, template, and placeholders.
+
+    A number is a placeholder; so is a unit word after a number or a currency sign, and a
+    capitalised word that does not begin a sentence.
+    """
+    words = text.split()
+    numbers = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    kinds = (numbers & np.uint64(7)).astype(np.int8)
+    if (kinds == _SEVERAL).any():
+        words = _TOKEN.findall(text)
+        numbers = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        kinds = (numbers & np.uint64(7)).astype(np.int8)
+    seen = np.flatnonzero(kinds != _NOTHING)
+    numbers, kinds = numbers[seen], kinds[seen]
+    ends = (kinds == _MARK) | (numbers & np.uint64(_ENDS) > 0)
+    first = np.concatenate((np.array([True]), ends[:-1]))[: len(kinds)]
+    after_number = np.concatenate((np.array([False]), (kinds == _DIGITS)[:-1]))[: len(kinds)] & ~first
+    held = np.zeros(len(kinds), np.int8)
+    held[kinds == _DIGITS] = NUMBER
+    held[(kinds == _SIGN) | ((kinds == _UNIT_WORD) & after_number)] = UNIT
+    held[(kinds == _CAPITAL) & ~first] = NAME
+    plain = numbers >> np.uint64(4)
+    template = plain.copy()
+    for kind, value in _PLACES.items():
+        template[held == kind] = value
+    count = kinds != _MARK
+    return words, seen[count], plain[count], template[count], held[count]
 
 
 def _rolled(ids: np.ndarray, width: int) -> np.ndarray:
@@ -98,24 +131,30 @@ def _rolled(ids: np.ndarray, width: int) -> np.ndarray:
     return total ^ (total >> np.uint64(29))
 
 
-def windows(text: str | None, widths: list[int], known: Vocabulary) -> Iterator[tuple[int, np.ndarray, list[str], list[str]]]:
-    """For each width: the hash of every window of the text, with its words and template."""
-    words, template = canonical(text or "")
-    if not words:
-        return
-    raw = np.array([known[w] for w in words], np.uint64)
-    typed = np.array([known[w] for w in template], np.uint64)
-    held = np.concatenate(([0], np.cumsum([t[0] == "\x01" for t in template])))
+def windows(text: str | None, widths: list[int], known: Vocabulary) -> Iterator[tuple[int, np.ndarray, Slots]]:
+    """For each width: the hash of every window of the text, and what makes a window's slots."""
+    words, at, plain, template, held = canonical(text or "", known)
+    n = len(plain)
+    counted = np.concatenate(([0], np.cumsum(held > 0)))
     for width in widths:
-        if len(words) < width or (width < LEAST_WORDS and len(words) != width):
+        if not width or n < width or (width < LEAST_WORDS and n != width):
             continue
-        mostly = 2 * (held[width:] - held[:-width]) > width
-        hashes = np.where(mostly, _rolled(raw, width), _rolled(typed, width)) ^ np.uint64(width)
-        yield width, hashes, words, template
+        mostly = 2 * (counted[width:] - counted[:-width]) > width
+        hashes = _rolled(template, width)
+        if mostly.any():
+            hashes = np.where(mostly, _rolled(plain, width), hashes)
+        yield width, hashes ^ np.uint64(width), Slots(words, at, held, width)
+
+
+class Slots:
+    """The values behind the placeholders of a window, by its place."""
 
+    def __init__(self, words: list[str], at: np.ndarray, held: np.ndarray, width: int) -> None:
+        self.words, self.at, self.held, self.width = words, at, held, width
 
-def _slots(words: list[str], template: list[str], at: int, width: int) -> list[str]:
-    return [template[k][1] + words[k] for k in range(at, at + width) if template[k][0] == "\x01"]
+    def __call__(self, place: int) -> list[str]:
+        inside = [k for k in range(place, place + self.width) if self.held[k]]
+        return [f"{self.held[k]}{next(t for t in _TOKEN.findall(self.words[self.at[k]])).lower()}" for k in inside]
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -127,10 +166,10 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             rows = []
             for item, text in zip(batch["item_id"].astype("object"), batch["text"], strict=True):
-                n = len(canonical(text or "")[0])
-                for width, hashes, words, template in windows(text, [min(n, window)], known):
+                n = len(canonical(text or "", known)[1])
+                for width, hashes, slots in windows(text, [min(n, window)], known):
                     for at, h in enumerate(hashes.view(np.int64)):
-                        rows.append((None if pd.isna(item) else int(item), width, at, int(h), _slots(words, template, at, width), len(hashes)))
+                        rows.append((None if pd.isna(item) else int(item), width, at, int(h), slots(int(at)), len(hashes)))
             yield pd.DataFrame(rows, columns=["item_id", "width", "place", "hash", "slots", "item_windows"]).astype({"item_id": "Int64"})
 
     schema = "item_id long, width int, place int, hash long, slots array<string>, item_windows int"
@@ -150,10 +189,10 @@ def document_windows(docs: DataFrame, bench: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, a, b, text in zip(batch["doc_id"].astype("object"), batch["a"], batch["b"], batch["text"], strict=True):
-                for width, hashes, words, template in windows(text, widths, known):
+                for width, hashes, slots in windows(text, widths, known):
                     for at in np.flatnonzero(in_bitmap(hashes, bitmap, bits)):
                         h = int(hashes[at : at + 1].view(np.int64)[0])
-                        rows.append((None if pd.isna(doc) else int(doc), a, b, width, int(at), h, _slots(words, template, at, width)))
+                        rows.append((None if pd.isna(doc) else int(doc), a, b, width, int(at), h, slots(int(at))))
                         if len(rows) >= 20_000:
                             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
                             rows = []

@@ -38,9 +38,9 @@ END_ID = 0
 LEVEL = 1
 DICTIONARY_BYTES = 64 * 1024
 SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 8_000
-BLOCK_DOCS, BLOCK_BYTES = 256, 4 << 20
+BLOCK_DOCS, BLOCK_BYTES = 64, 1 << 20
 DOCS_PER_SHARD = 8_192
-KNOWN_WORDS = 700_000
+KNOWN_WORDS, LASTING_WORDS = 600_000, 300_000
 
 # Between two characters that are not white space, the tokenizer always splits before a
 # single blank and around a single line feed; so words can be encoded once and reused.
@@ -81,17 +81,20 @@ class Encoder:
         """Encode new words all at once, one on each line, and cut the ids at the line feeds."""
         known = self.known[after_blank]
         if len(known) + len(words) > KNOWN_WORDS:
-            # The words met first are the frequent ones.
-            for word in list(known)[KNOWN_WORDS // 2 :]:
-                del known[word]
+            self.trim()
         ids = self._ids(("\n " if after_blank else "\n").join(["", *words])[1:])
         cuts = np.flatnonzero(ids == np.frombuffer(self.line, ids.dtype)[0]) * self.width
-        content = ids.tobytes()
-        at = 0
+        content, at = ids.tobytes(), 0
         for word, cut in zip(words, [*cuts.tolist(), len(content)], strict=True):
             known[word] = content[at:cut]
             at = cut + self.width
 
+    def trim(self) -> None:
+        """Keep the words met first, which are the frequent ones."""
+        for table in self.known:
+            for word in list(table)[LASTING_WORDS:]:
+                del table[word]
+
     def _regular(self, text: str) -> bool:
         if not text or not self.splits or text[0] in " \n" or text[-1] in " \n":
             return False
@@ -210,6 +213,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str) -> None:
                         "width": np.int32(encode.width),
                     }
                 )
+        encode.trim()
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
