@@ -12,12 +12,13 @@ Two relations between sets save work:
   their position: a class looks only into blocks whose sizes can reach the threshold, and
   passes over entries after whose position too few shingles are left. Lists whose classes
   are all in one component already are passed over as a whole.
-* *Answer skipping.* Every class that is similar to the first class of its minhash group is
-  compared with that leader first. The overlap of two classes is bounded from both sides
-  by the overlap of their leaders and what each differs from its leader; most answers
-  follow from that, and only the undecided pairs are compared themselves.
+* *Answer skipping.* Every class is compared first with the most central classes of its
+  minhash groups; the most similar of them is its leader. The overlap of two classes is
+  bounded by that of their leaders and what each differs from its leader, which settles
+  whole groups at once. Where it does not, the answer for a follower is derived from the
+  answer for its leader and the few shingles in which the two differ.
 
-Nothing here is approximate: minhash groups only find leaders, and the order of the
+Nothing here is approximate: minhashes only find leaders, and the order of the
 shingles only changes how long lists are. Shingles are compared by 48 bits of a hash.
 
 Cases: a text without words, or a missing one, has an empty set, links with nothing and is
@@ -45,6 +46,7 @@ LEADER_KEYS = 8
 WORD_BITS = (16, 22)
 ID_BITS = (20, 25)
 TOKEN_BYTES = 6
+FOLLOWERS = 256
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 _KEYS = np.array([(k * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64) | 1 for k in range(1, LEADER_KEYS + 1)], np.uint64)
 
@@ -158,15 +160,13 @@ def _reaches(x_n: Column, y_n: Column, overlap: Column) -> Column:
     return DENOMINATOR * overlap >= NUMERATOR * (x_n + y_n - overlap)
 
 
-def _overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """x, y, x_n, y_n and the overlap of pairs of classes, from their whole texts.
+def _named_sets(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, n and tokens of the classes named in the column ``id``, from their whole texts.
 
-    The sets of the classes named in the pairs are made again from the texts; a bitmap of
-    their ids, of bounded size, keeps the others out of the shuffle.
+    The sets are made again from the texts; a bitmap of the ids, of bounded size, keeps the
+    other documents out of the shuffle.
     """
-    pairs = store(pairs.select("x", "y").distinct(), "pairs")
-    ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
-    ids = store(ids.select(F.xxhash64("id").alias("hash"), "id"), "pair-ids")
+    ids = store(ids.distinct().select(F.xxhash64("id").alias("hash"), "id"), "named-ids")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids.select("hash"), ID_BITS, spare=16))
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,30 +185,48 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     hashed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("hash"), "text")
     made = hashed.mapInPandas(make, "id long, a long, tokens binary")
     own = classes.select(F.col("class").alias("id"), "a", "n").join(ids.select("id"), "id", "left_semi")
-    sets = store(made.join(own, ["id", "a"]).dropDuplicates(["id", "a"]).select("id", "n", "tokens"), "pair-sets")
+    return store(made.join(own, ["id", "a"]).dropDuplicates(["id", "a"]).select("id", "n", "tokens"), "named-sets")
+
+
+def _as(sets: DataFrame, name: str) -> DataFrame:
+    return sets.select(F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.col("tokens").alias(f"{name}_tokens"))
+
+
+def _common(x: bytes, y: bytes) -> int:
+    return len(np.intersect1d(_unpack(x), _unpack(y), assume_unique=True))
+
+
+def _overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """x, y, x_n, y_n and the overlap of pairs of classes."""
+    pairs = store(pairs.select("x", "y").distinct(), "pairs")
+    sets = _named_sets(pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))), docs, classes)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [
-                len(np.intersect1d(_unpack(x), _unpack(y), assume_unique=True))
-                for x, y in zip(batch["x_tokens"], batch["y_tokens"], strict=True)
-            ]
+            found = [_common(x, y) for x, y in zip(batch["x_tokens"], batch["y_tokens"], strict=True)]
             yield batch[["x", "y", "x_n", "y_n"]].assign(overlap=np.array(found, np.int64))
 
-    x = sets.select(F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("tokens").alias("x_tokens"))
-    y = sets.select(F.col("id").alias("y"), F.col("n").alias("y_n"), F.col("tokens").alias("y_tokens"))
-    both = pairs.join(x, "x").join(y, "y").select("x", "y", "x_n", "y_n", "x_tokens", "y_tokens")
+    both = pairs.join(_as(sets, "x"), "x").join(_as(sets, "y"), "y").select("x", "y", "x_n", "y_n", "x_tokens", "y_tokens")
     return store(both.mapInPandas(count, "x long, y long, x_n long, y_n long, overlap long"), "overlaps")
 
 
 def _leader_pairs(classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Each class with the first class of every minhash group that it is in, sizes permitting."""
+    """Each class with the most central class of every minhash group that it is in, sizes permitting.
+
+    Central is a class that shares its minhashes with many others: the text that a group of
+    near copies was made from, or one close to it, to which all of them are most similar.
+    """
     own = sets.select("doc_id", "a", "b", "keys").join(classes, ["a", "b"]).where(F.col("doc_id") == F.col("class"))
     keyed = own.select("class", "n", F.posexplode("keys").alias("k", "key"))
-    heads = keyed.groupBy("k", "key").agg(F.min(F.struct("class", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    met = keyed.join(heads, ["k", "key"]).where(F.col("class") != F.col("head.class"))
-    near = NUMERATOR * F.greatest("n", "head.n") <= DENOMINATOR * F.least("n", "head.n")
-    return met.where(near).select(F.col("class").alias("x"), F.col("head.class").alias("y")).distinct()
+    shared = store(keyed.groupBy("k", "key").agg(F.count("*").alias("size")).where("size > 1"), "minhashes")
+    keyed = store(keyed.join(shared, ["k", "key"]), "minhash-groups")
+    central = keyed.groupBy("class").agg(F.sum("size").alias("score"))
+    scored = store(keyed.join(central, "class"), "minhash-scores")
+    heads = scored.groupBy("k", "key").agg(F.max(F.struct("score", (-F.col("class")).alias("order"), "n")).alias("head"))
+    heads = store(heads.select("k", "key", (-F.col("head.order")).alias("head"), F.col("head.n").alias("head_n")), "minhash-heads")
+    met = scored.join(heads, ["k", "key"]).where(F.col("class") != F.col("head"))
+    near = NUMERATOR * F.greatest("n", "head_n") <= DENOMINATOR * F.least("n", "head_n")
+    return met.where(near).select(F.col("class").alias("x"), F.col("head").alias("y")).distinct()
 
 
 def _lists(classes: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -240,57 +258,115 @@ def _lists(classes: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     return store(mixed.dropDuplicates(["token", "class"]), "lists")
 
 
-def _candidates(lists: DataFrame) -> DataFrame:
-    """Pairs of classes of two components that share an index entry and may reach the threshold."""
-    block = F.floor(F.log(F.col("n").cast("double")) / math.log(DENOMINATOR / NUMERATOR))
-    seen = lists.withColumn("block", block)
-    # The smaller class of a pair is found by a shorter prefix; it stands in the block of the larger or the one below.
-    index = seen.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (2 * NUMERATOR / (NUMERATOR + DENOMINATOR)) - 1e-9))
-    probe = seen.withColumn("block", F.explode(F.array("block", F.col("block") - 1)))
-    x, y = probe.alias("x"), index.alias("y")
-    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block"))
-    smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.class") < F.col("x.class")))
-    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    enough = (NUMERATOR + DENOMINATOR) * left >= NUMERATOR * (F.col("x.n") + F.col("y.n"))
-    fits = smaller & (DENOMINATOR * F.col("y.n") >= NUMERATOR * F.col("x.n")) & enough
-    met = x.join(y, same & fits & (F.col("x.component") != F.col("y.component")))
-    found = met.select(
-        F.col("x.class").alias("x"), F.col("y.class").alias("y"), F.col("x.n").cast("long").alias("x_n"), F.col("y.n").cast("long").alias("y_n"),
-        F.col("x.component").alias("x_component"), F.col("y.component").alias("y_component"),
+def _with_heads(lists: DataFrame, leaders: DataFrame) -> DataFrame:
+    """The index entries with each class's leader (itself if it has none), and how far it is from it.
+
+    ``own`` counts what the class has and its leader lacks.
+    """
+    best = F.max(F.struct(F.col("overlap") / (F.col("x_n") + F.col("y_n")), "y", "y_n", "x_n", "overlap")).alias("best")
+    lead = leaders.groupBy(F.col("x").alias("class")).agg(best)
+    lead = lead.select(
+        "class", F.col("best.y").alias("head"),
+        (F.col("best.x_n") - F.col("best.overlap")).alias("own"),
     )
-    return store(found.distinct(), "candidates")
+    both = lists.join(store(lead, "leaders"), "class", "left")
+    return store(
+        both.select(
+            "token", "class", "component", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place"),
+            F.coalesce("head", "class").alias("head"), F.coalesce("own", F.lit(0)).alias("own"),
+            F.floor(F.log(F.col("n").cast("double")) / math.log(DENOMINATOR / NUMERATOR)).alias("block"),
+        ),
+        "led-lists",
+    )
+
 
+def _head_pairs(entries: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of leaders whose followers may link, with their overlap: x_head, y_head, overlap.
 
-def _derived(candidates: DataFrame, leaders: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The candidates that link: answers that follow from the leaders' first, the rest compared."""
-    lead = leaders.groupBy("x").agg(F.max(F.struct(F.col("overlap") / (F.col("x_n") + F.col("y_n")), "y", "y_n", "overlap")).alias("best"))
-    lead = store(lead.select(F.col("x").alias("own"), "best.y", "best.y_n", "best.overlap"), "leaders")
-    pairs = candidates
+    All followers of a leader are passed over at once where the leaders' overlap, with all
+    that any follower has beyond its leader, stays too small.
+    """
+    lists = entries.groupBy("token", "head").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("left"),
+        F.min("block").alias("first_block"), F.max("block").alias("last_block"),
+    )
+    x = lists.withColumn("block", F.explode(F.sequence(F.col("first_block") - 1, F.col("last_block") + 1))).alias("x")
+    y = lists.withColumn("block", F.explode(F.sequence("first_block", "last_block"))).alias("y")
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.head") < F.col("y.head"))
+    sizes = (DENOMINATOR * F.col("x.high") >= NUMERATOR * F.col("y.low")) & (DENOMINATOR * F.col("y.high") >= NUMERATOR * F.col("x.low"))
+    left = F.least("x.left", "y.left")
+    enough = (NUMERATOR + DENOMINATOR) * left >= NUMERATOR * (F.col("x.low") + F.col("y.low"))
+    met = x.join(y, same & sizes & enough).select(F.col("x.head").alias("x"), F.col("y.head").alias("y"))
+    known = _overlaps(met, docs, classes).select("x", "y", "overlap")
+    group = store(entries.groupBy("head").agg(F.min("n").alias("low"), F.max("own").alias("own")), "leader-groups")
     for side in ("x", "y"):
-        mine = lead.select(
-            F.col("own").alias(side), F.col("y").alias(f"{side}_head"), (F.col("y_n") - F.col("overlap")).alias(f"{side}_lost"),
-            F.col("overlap").alias(f"{side}_kept"), F.col("y_n").alias(f"{side}_head_n"),
-        )
-        pairs = pairs.join(mine, side, "left")
-        pairs = pairs.withColumn(f"{side}_head", F.coalesce(f"{side}_head", side)).withColumn(f"{side}_lost", F.coalesce(f"{side}_lost", F.lit(0)))
-        pairs = pairs.withColumn(f"{side}_own", F.col(f"{side}_n") - F.coalesce(f"{side}_kept", f"{side}_n"))
-        pairs = pairs.withColumn(f"{side}_head_n", F.coalesce(f"{side}_head_n", f"{side}_n"))
-    pairs = store(pairs, "candidate-heads")
-    heads = pairs.where("x_head <> y_head").select(F.least("x_head", "y_head").alias("x"), F.greatest("x_head", "y_head").alias("y"))
-    known = _overlaps(heads, docs, classes).select(F.col("x").alias("low"), F.col("y").alias("high"), "overlap")
-    pairs = pairs.withColumn("low", F.least("x_head", "y_head")).withColumn("high", F.greatest("x_head", "y_head"))
-    pairs = pairs.join(known, ["low", "high"], "left").withColumn("overlap", F.coalesce("overlap", "x_head_n"))
-    most = F.least(F.col("overlap") + F.col("x_own") + F.col("y_own"), "x_n", "y_n")
-    least = F.greatest(F.col("overlap") - F.col("x_lost") - F.col("y_lost"), F.lit(0))
-    n = (F.col("x_n"), F.col("y_n"))
-    exact = (F.col("x") == F.col("x_head")) & (F.col("y") == F.col("y_head"))
-    judged = pairs.withColumn(
-        "answer", F.when(exact, _reaches(*n, F.col("overlap"))).when(_reaches(*n, least), True).when(~_reaches(*n, most), False)
-    )
-    judged = store(judged.select("x", "y", "x_component", "y_component", "answer"), "derived")
-    open_pairs = judged.where(F.col("answer").isNull())
-    compared = _overlaps(open_pairs, docs, classes).where(_reaches(F.col("x_n"), F.col("y_n"), F.col("overlap"))).select("x", "y")
-    return judged.where("answer").union(open_pairs.join(compared, ["x", "y"], "left_semi"))
+        known = known.join(group.select(F.col("head").alias(side), F.col("low").alias(f"{side}_low"), F.col("own").alias(f"{side}_own")), side)
+    most = F.col("overlap") + F.col("x_own") + F.col("y_own")
+    known = known.where((NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (F.col("x_low") + F.col("y_low")))
+    return store(known.select(F.col("x").alias("x_head"), F.col("y").alias("y_head"), "overlap"), "open-leaders")
+
+
+def _links_between(entries: DataFrame, heads: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (as pairs of components) between the followers of open pairs of leaders.
+
+    Each class of the smaller group meets the followers of the other leader in chunks. Of a
+    follower only the difference from its leader is kept: its answer is the leader's, less
+    the shared shingles that it lost, and with those that it has of its own.
+    """
+    members = store(entries.select("class", "head", "n", "component", "own").distinct(), "members")
+    size = members.groupBy("head").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("own").alias("most"))
+    size = store(size, "member-counts")
+    for side in ("x", "y"):
+        sized = size.select(*[F.col(c).alias(f"{side}_{c}") for c in ("head", "size", "low", "most")])
+        heads = heads.join(sized, f"{side}_head")
+    smaller = F.col("x_size") <= F.col("y_size")
+    pick = lambda c, one, other: F.when(smaller, F.col(f"{one}_{c}")).otherwise(F.col(f"{other}_{c}"))
+    sides = heads.select(
+        pick("head", "x", "y").alias("head"), pick("head", "y", "x").alias("met"), pick("low", "y", "x").alias("low"),
+        pick("most", "y", "x").alias("most"), "overlap",
+    )
+    single = members.join(store(sides, "sides"), "head")
+    bound = F.col("overlap") + F.col("own") + F.col("most")
+    single = single.where((NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (F.col("n") + F.col("low")))
+    single = store(single.select(F.col("class").alias("x"), F.col("component").alias("x_component"), F.col("met").alias("head")), "singles")
+    followed = store(members.join(single.select("head").distinct(), "head", "left_semi").join(size.select("head", "size"), "head"), "followers")
+    ids = [single.select(F.col("x").alias("id")), followed.select("class"), followed.select("head")]
+    sets = _named_sets(ids[0].union(ids[1]).union(ids[2]), docs, classes)
+
+    def differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own, lost = [], []
+            for y, head in zip(batch["class_tokens"], batch["head_tokens"], strict=True):
+                mine, theirs = _unpack(y), _unpack(head)
+                own.append(_pack(np.setdiff1d(mine, theirs, assume_unique=True)))
+                lost.append(_pack(np.setdiff1d(theirs, mine, assume_unique=True)))
+            yield batch[["head", "class", "n", "component", "size"]].assign(own=own, lost=lost)
+
+    pair = followed.join(_as(sets, "class"), "class").join(_as(sets, "head"), "head")
+    pair = pair.select("head", "class", "n", "component", "size", "class_tokens", "head_tokens")
+    differing = pair.mapInPandas(differ, "head long, class long, n long, component long, size long, own binary, lost binary")
+    bucket = F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / FOLLOWERS))
+    one = F.struct("class", "n", "component", "own", "lost")
+    chunks = store(differing.groupBy("head", bucket.alias("chunk")).agg(F.collect_list(one).alias("followers")), "follower-chunks")
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                x, near = _unpack(row.x_tokens), _common(row.x_tokens, row.head_tokens)
+                for f in row.followers:
+                    if f["component"] == row.x_component:
+                        continue
+                    gained = np.isin(_unpack(f["own"]), x, assume_unique=True).sum() if f["own"] else 0
+                    missed = np.isin(_unpack(f["lost"]), x, assume_unique=True).sum() if f["lost"] else 0
+                    both = int(near + gained - missed)
+                    if DENOMINATOR * both >= NUMERATOR * (row.x_n + f["n"] - both):
+                        out.append((row.x_component, f["component"]))
+            yield pd.DataFrame(sorted(set(out)), columns=["x", "y"]).astype("int64")
+
+    met = single.join(_as(sets, "x"), "x").join(_as(sets, "head").drop("head_n"), "head").join(chunks, "head")
+    met = met.select("x_component", "x_n", "x_tokens", "head_tokens", "followers")
+    return store(met.mapInPandas(answer, "x long, y long"), "links-between")
 
 
 def classes_and_labels(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -303,8 +379,8 @@ def classes_and_labels(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     leaders = _overlaps(_leader_pairs(classes, sets), read, classes)
     leaders = store(leaders.where(_reaches(F.col("x_n"), F.col("y_n"), F.col("overlap"))), "leader-links")
     labels = components(leaders)
-    found = _derived(_candidates(_lists(classes, sets, labels)), leaders, read, classes)
-    joined = components(found.select(F.col("x_component").alias("x"), F.col("y_component").alias("y")))
+    entries = _with_heads(_lists(classes, sets, labels), leaders)
+    joined = components(_links_between(entries, _head_pairs(entries, read, classes), read, classes))
     labels = labels.select("node", F.col("component").alias("first"))
     nodes = labels.select("node").union(joined.select("node")).distinct()
     labels = nodes.join(labels, "node", "left").withColumn("first", F.coalesce("first", "node"))
@@ -331,7 +407,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = linked.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     gone = store(gone.select(F.col("doc_id").alias("gone_")), "copies")
     names = [F.col(f"`{n}`") for n in docs.columns]
-    kept = docs.join(gone, docs["doc_id"] == gone["gone_"], "left_anti")
+    kept = docs.join(gone.hint("merge"), docs["doc_id"] == gone["gone_"], "left_anti")
     with_id = linked.where(F.col("doc_id").isNotNull())
     if with_id.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return kept.select(*names)

@@ -138,7 +138,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, the text without later copies of repeated runs, and what was removed."""
     gone = removed_lines(docs, min_words).withColumnRenamed("doc_id", "d").withColumnRenamed("key", "k")
     read = narrow(docs, doc_id="long", text="string").withColumn("key", _key())
-    both = read.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
+    # The same plan at every size: a small run must not hide what the join moves.
+    both = read.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.exists("ranges", lambda r: (r["start"] <= i) & (i <= r["end"])))
     text = F.when(F.col("ranges").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))

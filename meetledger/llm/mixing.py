@@ -180,7 +180,7 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     decided = store(decided.where("copies_ > 0").select(F.col("doc_id").alias("id_"), F.col("key").alias("key_"), "copies_"), "copies")
     names = [F.col(f"`{n}`") for n in docs.columns]
     keyed = docs.withColumn("key_", F.xxhash64(*[p for n in ("doc_id", "source", "text") for p in (F.col(n).isNull(), F.col(n))]))
-    both = keyed.join(decided, keyed["key_"].eqNullSafe(decided["key_"]) & keyed["doc_id"].eqNullSafe(decided["id_"]))
+    both = keyed.join(decided.hint("merge"), keyed["key_"].eqNullSafe(decided["key_"]) & keyed["doc_id"].eqNullSafe(decided["id_"]))
     both = both.drop(decided["key_"])
     # Rows that are equal in full share one number of copies.
     first = F.row_number().over(Window.partitionBy("key_", "doc_id").orderBy("key_"))

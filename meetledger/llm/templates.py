@@ -236,4 +236,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     bad = store(contaminated(docs, benchmark, **options).select(F.struct("a", "b").alias("key_")).distinct(), "contaminated")
     names = [F.col(f"`{n}`") for n in docs.columns]
     keyed = docs.withColumn("key_", row_key("doc_id", "text"))
-    return keyed.join(bad, "key_", "left_anti").select(*names)
+    return keyed.join(bad.hint("merge"), "key_", "left_anti").select(*names)
