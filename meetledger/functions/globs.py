@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"\*+|\?|\[!?\]?[^\]]*\]|.", re.S)
+# A bracket that comes first in a class, after the optional mark, belongs to it; without another one there is no class.
+_TOKEN = re.compile(r"\*+|\?|\[!?+\]?+[^\]]*\]|.", re.S)
 
 
 def _escape(char: str) -> str:

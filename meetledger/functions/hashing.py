@@ -44,10 +44,8 @@ def encode_user_id(user_id: Column, secret: str) -> Column:
     return F.rtrim(F.translate(F.regexp_replace(F.base64(body), r"\s", ""), "+/=", "-_ "))
 
 
-def decode_user_id(encoded: Column, secret: str | None) -> Column:
-    """Reverse of :func:`encode_user_id`; input unchanged without a secret or on any failure."""
-    if not secret:
-        return encoded
+def open_user_id(encoded: Column, secret: str) -> Column:
+    """Reverse of :func:`encode_user_id`; NULL for what cannot be opened."""
     padded = F.rpad(
         F.translate(encoded, "-_", "+/"),
         (F.ceil(F.length(encoded) / 4) * 4).cast("int"),
@@ -56,4 +54,9 @@ def decode_user_id(encoded: Column, secret: str | None) -> Column:
     # the decrypt function expects the IV in front of the data
     sealed = F.concat(F.unhex(F.lit(_ZERO_IV)), F.try_to_binary(padded, F.lit("base64")))
     opened = F.try_aes_decrypt(sealed, _aes_key(secret), F.lit("CBC"), F.lit("PKCS"))
-    return F.coalesce(F.try_validate_utf8(opened.cast("string")), encoded)
+    return F.try_validate_utf8(opened.cast("string"))
+
+
+def decode_user_id(encoded: Column, secret: str | None) -> Column:
+    """Reverse of :func:`encode_user_id`; input unchanged without a secret or on any failure."""
+    return F.coalesce(open_user_id(encoded, secret), encoded) if secret else encoded

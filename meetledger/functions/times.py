@@ -1,4 +1,4 @@
-"""ISO-8601 reading. The session time zone must be UTC, so naive times are UTC."""
+"""ISO-8601 reading. Naive times are UTC, whatever the session's time zone."""
 
 from __future__ import annotations
 
@@ -14,7 +14,8 @@ _ISO = (
 )
 
 # the usual spelling, which the timestamp cast reads as it is
-_USUAL = r"\A\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}(?::\d{2})?)?)?)?\z"
+_USUAL = r"\A\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}(?::\d{2})?)?\z"
+_ZONED = r"(?:Z|[+-]\d{2}(?::\d{2})?)\z"
 
 
 def iso_timestamp(value: Column | str) -> Column:
@@ -34,7 +35,8 @@ def iso_timestamp(value: Column | str) -> Column:
         F.lit("."), F.left(part(7, "0"), F.lit(6)),
         part(9, "+00"), F.lit(":"), part(10, "00"),
     )
-    return F.when(value.rlike(_USUAL), F.try_to_timestamp(value)).when(value.rlike(_ISO), F.try_to_timestamp(rebuilt))
+    zoned = F.when(value.rlike(_ZONED), value).otherwise(F.concat(value, F.lit("Z")))
+    return F.when(value.rlike(_USUAL), F.try_to_timestamp(zoned)).when(value.rlike(_ISO), F.try_to_timestamp(rebuilt))
 
 
 def event_time(value: Column, default: Column) -> Column:

@@ -126,6 +126,35 @@ def split_id_conflicts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, _conflict(later)
 
 
+def accept(rows: DataFrame, legacy_scope: str, keep) -> tuple[DataFrame, DataFrame]:
+    """The rows of one batch that are stored, and those rejected because their id is taken.
+
+    A rejected row claims neither its key nor its content: once it is out, the rules are
+    applied again, until no row is rejected any more. ``keep`` stores a frame.
+    """
+    rejected = None
+    while True:
+        unique, conflicts = split_id_conflicts(keep(deduplicate(rows, legacy_scope), "deduplicated"))
+        conflicts = keep(conflicts, "conflicts")
+        rejected = conflicts if rejected is None else rejected.unionByName(conflicts)
+        if conflicts.isEmpty():
+            return unique, rejected
+        gone = conflicts.select(_identity(conflicts).alias("_gone")).distinct()
+        rows = rows.withColumn("_gone", _identity(rows)).join(gone, "_gone", "left_anti").drop("_gone")
+
+
+def unclaimed(rows: DataFrame, log: DataFrame) -> DataFrame:
+    """Rejected rows that no earlier row of the log makes a duplicate."""
+    order = F.struct("received_at", "event_id")
+    keys = log.filter(has_key()).groupBy("idempotency_key").agg(F.min(order).alias("_first"))
+    by_key = (rows["idempotency_key"] == keys["idempotency_key"]) & has_key_of(rows) & (keys["_first"] < F.struct(rows["received_at"], rows["event_id"]))
+    return drop_blocked(rows.join(keys, by_key, "left_anti"), log, earlier_only=True)
+
+
+def has_key_of(rows: DataFrame) -> Column:
+    return F.coalesce(rows["idempotency_key"], F.lit("")) != ""
+
+
 def split_stored_ids(rows: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose id the stored log does not know, and the rows that reuse a stored id."""
     new_ids = rows.select("event_id").distinct()

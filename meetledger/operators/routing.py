@@ -6,15 +6,16 @@ narrow projection whatever the size of the log.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meetledger import schemas as S
-from meetledger.functions.globs import glob_match
+from meetledger.functions.globs import glob_match, glob_regex
 
 
 @dataclass(frozen=True)
@@ -44,9 +45,6 @@ DEFAULT_RULES = [
     Rule("events.chat", "getstream", "getstream.*"),
 ]
 
-MAX_RULES = 5_000
-
-
 def rule_predicate(rule: Rule, source: Column, event_type: Column) -> Column:
     tests = [glob_match(source, rule.source_pattern), glob_match(event_type, rule.type_pattern)]
     return reduce(lambda a, b: a & b, [t for t in tests if t is not None], F.lit(True))
@@ -65,15 +63,32 @@ def route(events: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, default: str
     return events.withColumn(column, destination(F.col("source"), F.col("event_type"), rules, default))
 
 
-def rules_from_table(rules: DataFrame) -> list[Rule]:
-    """Rules kept as a table (rule_no, destination, source_pattern, type_pattern).
+def route_by_table(events: DataFrame, rules: DataFrame, default: str = S.QUEUE_DEFAULT, column: str = "routing_key") -> DataFrame:
+    """Route by rules kept as a table (rule_no, destination, source_pattern, type_pattern), however many.
 
-    The list becomes part of the plan, so its size is checked.
+    Only the distinct (source, type) pairs of the log meet the rules: those with plain type
+    names by the name, the others by their patterns. The first rule of a pair is then
+    joined back to the events.
     """
-    rows = rules.orderBy("rule_no").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} routing rules")
-    return [Rule(r["destination"], r["source_pattern"], r["type_pattern"]) for r in rows]
+
+    def compile_patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for side in ("source", "type"):
+                batch[f"{side}_regex"] = batch[f"{side}_pattern"].map(glob_regex)
+            yield batch
+
+    schema = "rule_no long, destination string, source_pattern string, type_pattern string"
+    read = rules.select(F.col("rule_no").cast("long"), "destination", "source_pattern", "type_pattern")
+    compiled = read.mapInPandas(compile_patterns, f"{schema}, source_regex string, type_regex string")
+    plain = ~F.col("type_pattern").rlike(r"[*?\[]")
+    pairs = events.select("source", "event_type").where(F.col("source").isNotNull() & F.col("event_type").isNotNull()).distinct()
+    fits = F.regexp_like("source", F.col("source_regex"))
+    by_name = pairs.join(compiled.where(plain), F.col("event_type") == F.col("type_pattern")).where(fits)
+    by_pattern = pairs.join(compiled.where(~plain), fits & F.regexp_like("event_type", F.col("type_regex")))
+    met = by_name.select("source", "event_type", "rule_no", "destination").union(by_pattern.select("source", "event_type", "rule_no", "destination"))
+    first = met.groupBy("source", "event_type").agg(F.min(F.struct("rule_no", "destination")).alias("_rule"))
+    routed = events.join(first, ["source", "event_type"], "left").withColumn(column, F.coalesce("_rule.destination", F.lit(default)))
+    return routed.select(*[c for c in events.columns if c != column], column)
 
 
 def destinations(spark: SparkSession, rules: Sequence[Rule] = DEFAULT_RULES, default: str = S.QUEUE_DEFAULT) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from meetledger import schemas as S
 from meetledger.functions import json_fields as J
-from meetledger.functions.hashing import decode_user_id
+from meetledger.functions.hashing import open_user_id
 
 _PERSON = "array<struct<email:string,role:string,time_zone:string>>"
 
@@ -43,17 +43,20 @@ def normalized_participants(event_type: Column, source: Column, doc: Column, sec
         _person(J.filled_text(doc, "$.user.email"), S.ROLE_ORGANIZER, J.text(doc, "$.user.time_zone")),
         _person(J.filled_text(doc, "$.client.email"), S.ROLE_CLIENT, J.text(doc, "$.client.time_zone")),
     )
+    # with a secret, an id that cannot be opened names nobody
+    chat_id = J.filled_text(doc, "$.user.id")
+    chat_person = _person(open_user_id(chat_id, secret) if secret else chat_id, None)
     return (
-        F.when(source == S.SOURCE_CHAT, _people(_person(decode_user_id(J.filled_text(doc, "$.user.id"), secret), None)))
+        F.when(source == S.SOURCE_CHAT, _people(chat_person))
         .when(event_type == S.MAIL_STATUS, _people(_person(J.filled_text(doc, "$.event_data.email"), None)))
-        .when(source == S.SOURCE_BOOKING, F.coalesce(listed, named))
+        .when(source == S.SOURCE_BOOKING, F.when(F.size(listed) > 0, listed).otherwise(named))
         .otherwise(F.array().cast(_PERSON))
     )
 
 
 def normalized_booking(event_type: Column, doc: Column) -> Column:
     status = F.when(event_type == S.BOOKING_CREATED, "created").when(event_type == S.BOOKING_CANCELLED, "cancelled")
-    timed = event_type.contains(".booking.")
+    timed = event_type.rlike(r"(^|\.)booking\.")
     return F.struct(
         F.when(timed, J.text(doc, "$.start_time")).alias("start_time"),
         F.when(timed, J.text(doc, "$.end_time")).alias("end_time"),

@@ -74,7 +74,7 @@ def run(
     the like) is written once to the shared folder; the payload is parsed once.
     """
     keep = materialize if persist else as_is
-    unique, conflicts = dedup.split_id_conflicts(dedup.deduplicate(envelopes, legacy_scope))
+    unique, conflicts = dedup.accept(envelopes, legacy_scope, keep)
     log = keep(unique, "log")
     facts = keep(extract.extract_facts(log, secret), "facts")
     tables = {"events": log, **build_tables(log, facts, registry, persist)}

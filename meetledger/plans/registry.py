@@ -6,6 +6,8 @@ table from them. It is run by the pipeline beside the built-in ones.
 
 from __future__ import annotations
 
+import logging
+
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -33,6 +35,7 @@ class Projection:
 @dataclass
 class Registry:
     projections: list[Projection] = field(default_factory=list)
+    failures: dict[str, Exception] = field(default_factory=dict)
 
     def register(self, projection: Projection) -> Projection:
         if any(p.name == projection.name for p in self.projections):
@@ -41,4 +44,13 @@ class Registry:
         return projection
 
     def run(self, context: Context) -> dict[str, DataFrame]:
-        return {p.name: p.build(context.log.filter(p.predicate), context) for p in self.projections}
+        """The table of every projection. One that cannot be built is logged and left out; the others go on."""
+        tables: dict[str, DataFrame] = {}
+        self.failures = {}
+        for p in self.projections:
+            try:
+                tables[p.name] = p.build(context.log.filter(p.predicate), context)
+            except Exception as error:
+                logging.getLogger(__name__).exception("projection %s failed", p.name)
+                self.failures[p.name] = error
+        return tables

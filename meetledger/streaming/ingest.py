@@ -85,22 +85,20 @@ class StreamIngest:
     def _append_log(self, commit: Commit, envelopes: DataFrame) -> DataFrame:
         stored = self._stored_keys()
         fresh = envelopes if stored is None else dedup.drop_stored(envelopes, stored)
-        rows = dedup.deduplicate(fresh).persist()
-        log, conflicts = dedup.split_id_conflicts(rows)
+        taken = None
         if stored is not None:
-            log, late_conflicts = dedup.split_stored_ids(log, self.store.read("events"))
-            conflicts = conflicts.unionByName(late_conflicts)
+            # rows whose id is stored claim no key; what the rules leave of them is rejected
+            fresh, taken = dedup.split_stored_ids(fresh, stored)
+        log, conflicts = dedup.accept(fresh, "all", materialize)
+        if taken is not None:
+            conflicts = conflicts.unionByName(dedup.unclaimed(taken, log))
         commit.append("event_id_conflicts", conflicts)
-        written = commit.append("events", log)
-        rows.unpersist()
-        return written
+        return commit.append("events", log)
 
     def _stored_keys(self) -> DataFrame | None:
-        """Keys of all rows that passed the duplicate rules, whether or not their id was taken."""
-        parts = [self.store.read(name) for name in ("events", "event_id_conflicts")]
-        if parts[0] is None:
-            return None
-        return parts[0].select(*_KEY_COLUMNS).unionByName(parts[1].select(*_KEY_COLUMNS))
+        """Keys and ids of all stored rows; a row that was rejected claims none."""
+        events = self.store.read("events")
+        return None if events is None else events.select(*_KEY_COLUMNS)
 
     def _append_tables(self, commit: Commit, facts: DataFrame) -> None:
         partial = entities.participant_fold().partial(entities.participant_rows(facts))

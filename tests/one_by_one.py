@@ -81,16 +81,14 @@ class Ledger:
 
     def store(self, e):
         content = (e["booking"], e["type"], e["source"], hashlib.md5(e["text"].encode()).hexdigest())
+        if e["key"] in self.keys if e["key"] else e["booking"] is not None and content in self.contents:
+            return
+        if e["id"] in self.events:
+            return self.rejects.append(("event_id_conflict", e["id"]))
         if e["key"]:
-            if e["key"] in self.keys:
-                return
             self.keys.add(e["key"])
-        elif e["booking"] is not None and content in self.contents:
-            return
         if e["booking"] is not None:
             self.contents.add(content)
-        if e["id"] in self.events:
-            return self.rejects.append(("event_id_conflict", e["id"]))
         self.events[e["id"]] = e
         if e["booking"]:
             self.apply(e)

@@ -11,7 +11,7 @@ from meetledger.functions import hashing, times
 from meetledger.functions import json_fields as J
 from meetledger.functions.globs import glob_match
 from meetledger.operators import classify
-from meetledger.operators.routing import DEFAULT_RULES, Rule, destination, destinations, effective_queues, rules_from_table
+from meetledger.operators.routing import DEFAULT_RULES, Rule, destination, destinations, effective_queues, route_by_table
 from pyspark.sql import functions as F
 
 
@@ -20,8 +20,8 @@ def column(spark, values, expression, kind="string"):
     return [r["out"] for r in df.select("i", expression(F.col("v")).alias("out")).orderBy("i").collect()]
 
 
-NAMES = ["", "a", "abc", "a.c", "axc", "jitsi", "jitsi-eu", "Jitsi", "a+c", "a(c", "[x]", "x]", "a\nb", "b", "-", "!", "^", "a*c", "a[c", "é"]
-PATTERNS = ["*", "a*", "a?c", "[ab]*", "[!a]*", "a.c", "a+c", "a(c", "jitsi*", "[[]x]", "[]]", "*]", "a\n*", "[a-c]", "[!a-c]", "[-a]", "a[[]c", "a[c", "[^a]", "**c", "?", "[z-a]"]
+NAMES = ["", "a", "abc", "a.c", "axc", "jitsi", "jitsi-eu", "Jitsi", "a+c", "a(c", "[x]", "x]", "a\nb", "b", "-", "!", "^", "a*c", "a[c", "é", "[]", "[!]", "[]x", "x[]"]
+PATTERNS = ["*", "a*", "a?c", "[ab]*", "[!a]*", "a.c", "a+c", "a(c", "jitsi*", "[[]x]", "[]]", "*]", "a\n*", "[a-c]", "[!a-c]", "[-a]", "a[[]c", "a[c", "[^a]", "**c", "?", "[z-a]", "[]", "[!]", "[]*", "[!]*", "[!]a]", "x[]"]
 
 
 @pytest.mark.parametrize("pattern", PATTERNS)
@@ -133,7 +133,9 @@ def test_first_rule_wins(spark):
     df = spark.createDataFrame([("ab", "x"), ("b", "xy"), ("a", "z"), ("b", "z")], "source string, event_type string")
     assert [r[0] for r in df.select(destination(F.col("source"), F.col("event_type"), rules, "none")).collect()] == ["one", "two", "three", "none"]
     table = spark.createDataFrame([(2, "two", "*", "x*"), (1, "one", "a*", "x"), (3, "three", "a", "*")], "rule_no int, destination string, source_pattern string, type_pattern string")
-    assert rules_from_table(table) == rules
+    routed = route_by_table(df.unionByName(spark.createDataFrame([(None, "x"), ("b", "z")], df.schema)), table, "none")
+    assert sorted(r["routing_key"] for r in routed.collect()) == ["none", "none", "none", "one", "three", "two"]
+    assert routed.columns == ["source", "event_type", "routing_key"]
     assert {r[0] for r in destinations(spark, rules, "none").collect()} == {"one", "two", "three", "none"}
     assert effective_queues(rules, "none") == ["none", "one", "three", "two"]
     assert effective_queues(rules, "none", ["only"]) == ["only"]
