@@ -84,4 +84,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+# Where SQL can express a query over whole tables in reasonable time; the other queries are
+# tested against brute force in tests/llm.
+ORACLE: dict[str, str] = {
+    "op1_jaccard": r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), listed AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM split
+), sets AS (SELECT doc_id, unnest(s) AS shingle FROM listed),
+sizes AS (SELECT doc_id, len(s) AS n FROM listed),
+met AS (
+  SELECT x.doc_id AS x, y.doc_id AS y, count(*) AS n FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2
+), linked AS (
+  SELECT x, y FROM met JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * met.n >= 75 * (a.n + b.n - met.n)
+), both_ways AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN both_ways l ON l.x = r.other
+), same AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY CASE WHEN len(s) = 0 THEN [doc_id::VARCHAR] ELSE list_sort(s) END) AS class_id FROM listed)
+SELECT same.doc_id, len(same.s)::BIGINT AS n_shingles, min(reach.other) AS component_id, any_value(same.class_id) AS class_id
+FROM same JOIN reach ON reach.doc_id = same.doc_id GROUP BY 1, 2""",
+}
