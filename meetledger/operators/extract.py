@@ -8,6 +8,8 @@ for events of that kind.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,8 +167,18 @@ def _raw_reads(doc: Column) -> dict[str, Column]:
     return {name: value if gate is None else F.when(gate, value) for name, (gate, value) in fields.items()}
 
 
-def extract_facts(log: DataFrame, secret: str | None = None) -> DataFrame:
-    """Typed facts of every stored event that belongs to a booking."""
+Classifier = Callable[[Column, Column, Column, Column], Column]
+
+
+def extract_facts(
+    log: DataFrame, secret: str | None = None, classifier: Classifier = classify.action, decoder: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """Typed facts of every stored event that belongs to a booking.
+
+    ``classifier`` names the action of (queue, source, event type, payload type);
+    ``decoder`` opens a chat user id, by default with the secret.
+    """
+    opened = decoder or (lambda encoded: decode_user_id(encoded, secret))
     parsed = log.filter(has_booking()).select(*FACT_BASE, "payload_json", J.parse("payload_json").alias("_doc"))
     # two steps: reads from the document, then what follows from them, so that no read is
     # repeated where its value is used more than once
@@ -177,7 +189,7 @@ def extract_facts(log: DataFrame, secret: str | None = None) -> DataFrame:
     col = F.col
 
     def action(source: Column) -> Column:
-        return classify.action(col("queue"), source, col("event_type"), col("_type"))
+        return classifier(col("queue"), source, col("event_type"), col("_type"))
 
     def bad_type(source: Column) -> Column:
         decides = classify.uses_payload_type(col("queue"), source)
@@ -185,7 +197,7 @@ def extract_facts(log: DataFrame, secret: str | None = None) -> DataFrame:
 
     # a video event is classified as one whatever its source says
     video_source = F.lit(S.SOURCE_VIDEO)
-    chat_id = F.when(col("source") == S.SOURCE_CHAT, decode_user_id(col("_chat_id"), secret)).otherwise(col("_chat_id"))
+    chat_id = F.when(col("source") == S.SOURCE_CHAT, opened(col("_chat_id"))).otherwise(col("_chat_id"))
     combined = raw.withColumns(
         {
             "organizer": last_with_role(col("participants"), S.ROLE_ORGANIZER),

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meetledger.operators import dedup, entities, extract, projections
+from meetledger.operators import classify, dedup, entities, extract, projections
 from meetledger.plans.registry import Context, Registry
 from meetledger.session import materialize
 from meetledger.sources.messages import decode_messages, rejected_messages, valid_envelopes
@@ -67,6 +67,8 @@ def run(
     registry: Registry | None = None,
     legacy_scope: str = "all",
     persist: bool = True,
+    classifier: extract.Classifier = classify.action,
+    decoder: Callable[[Column], Column] | None = None,
 ) -> Result:
     """All tables of a set of envelopes.
 
@@ -76,7 +78,7 @@ def run(
     keep = materialize if persist else as_is
     unique, conflicts = dedup.accept(envelopes, legacy_scope, keep)
     log = keep(unique, "log")
-    facts = keep(extract.extract_facts(log, secret), "facts")
+    facts = keep(extract.extract_facts(log, secret, classifier, decoder), "facts")
     tables = {"events": log, **build_tables(log, facts, registry, persist)}
     rejects = {"event_id_conflicts": conflicts, "projections": extract.projection_rejects(facts)}
     return Result(tables, rejects)

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from meetledger.operators import dedup, entities, extract, projections
+from meetledger.operators import classify, dedup, entities, extract, projections
 from meetledger.operators.folds import Fold
 from meetledger.plans.registry import Context, Registry
 from meetledger.session import materialize, prepare
@@ -43,7 +43,10 @@ class StreamIngest:
         secret: str | None = None,
         hash_mode: str = "text",
         compact_every: int | None = None,
+        classifier: extract.Classifier = classify.action,
+        decoder: Callable[[Column], Column] | None = None,
     ) -> None:
+        self.classifier, self.decoder = classifier, decoder
         self.spark = prepare(spark)
         self.store = TableStore(spark, root)
         self.secret = secret
@@ -74,7 +77,7 @@ class StreamIngest:
         decoded = decode_messages(received, self.hash_mode)
         commit.append("rejected_messages", rejected_messages(decoded))
         log = self._append_log(commit, valid_envelopes(decoded))
-        facts = commit.append("facts", extract.extract_facts(log, self.secret))
+        facts = commit.append("facts", extract.extract_facts(log, self.secret, self.classifier, self.decoder))
         self._append_tables(commit, facts)
         number = commit.publish()
         received.unpersist()

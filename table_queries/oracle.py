@@ -164,6 +164,13 @@ sql("route_by_globs", f"""WITH {EV} SELECT event_id, CASE
   WHEN event_type = 'billing.v1.charge.create' THEN 'dotless'
   WHEN source NOT LIKE 'b%' AND event_type LIKE '%.create' THEN 'odd'
   ELSE 'rest' END AS routing_key FROM ev""")
+sql("route_by_rule_table", f"""WITH {EV} SELECT event_id, CASE
+  WHEN source LIKE 'get_tream' AND event_type LIKE '%.message.new.%' THEN 'chat-new'
+  WHEN source = 'jitsi-eu' AND event_type LIKE 'jitsi.events.v1.%' AND substr(event_type, 17, 1) <> 'd' THEN 'video'
+  WHEN source LIKE 'jitsi%' AND event_type ILIKE '%device%' THEN 'devices'
+  WHEN event_type = 'billing.v1.charge.create' THEN 'dotless'
+  WHEN source NOT LIKE 'b%' AND event_type LIKE '%.create' THEN 'odd'
+  ELSE 'of:' || event_type END AS routing_key FROM ev""")
 sql("route_counts", f"WITH {EV} SELECT queue AS routing_key, count(*) AS events FROM ev GROUP BY queue")
 sql("destination_counts", f"""WITH {EV} SELECT d.destination, count(ev.queue) AS events FROM (VALUES ('events.booking.lifecycle'),
   ('events.booking.reminder'), ('events.chat.lifecycle'), ('events.chat.activity'), ('events.meeting.lifecycle'),
@@ -209,6 +216,7 @@ sql("event_bookings", f"{FACTS} SELECT event_id, booking_id, organizer, client,
 sql("chat_fields", f"""{FACTS} SELECT event_id, chat_action, CASE WHEN event_type = '{NEW}' THEN 'm' || (k % 30) END AS message_id,
   actor AS acting_email, user_role AS first_user_role, CASE WHEN event_type = '{NEW}' THEN md5(left(repeat('né', k * 6), 512)) END AS preview_hash
 FROM fx WHERE is_chat""")
+sql("custom_classifier", f"{FACTS} SELECT event_id, source || '/' || event_type AS chat_action FROM fx WHERE is_chat")
 sql("read_fields", f"{FACTS} SELECT event_id, actor AS acting_email, 'm' || (k % 30 - 1) AS last_read_message_id FROM fx WHERE event_type = '{READ}'")
 sql("notification_fields", f"""{FACTS} SELECT event_id, CASE WHEN event_type <> '{TELEGRAM}' THEN job END AS job_id,
   CASE WHEN event_type <> '{STATUS}' THEN trig END AS trigger_event, actor AS recipient_email,

@@ -12,7 +12,7 @@ from meetledger.functions import hashing, times
 from meetledger.functions import json_fields as J
 from meetledger.operators import classify, dedup, entities, extract, integrity, quality, readers
 from meetledger.operators import projections as P
-from meetledger.operators.routing import DEFAULT_RULES, Rule, destinations, effective_queues, route
+from meetledger.operators.routing import DEFAULT_RULES, Rule, destinations, effective_queues, route, route_by_table
 from meetledger.plans import normalize as N
 from meetledger.plans import pipeline
 from meetledger.plans.registry import Projection, Registry
@@ -121,6 +121,19 @@ def route_by_globs(spark, sf_dir):
     return route(raw_events(spark, sf_dir), GLOB_RULES, default="rest").select("event_id", "routing_key")
 
 
+@query
+def route_by_rule_table(spark, sf_dir):
+    """RTE2 with rules as a table: the glob rules, then one rule for every type that occurs"""
+    raw = raw_events(spark, sf_dir)
+    globs = [(i, r.destination, r.source_pattern, r.type_pattern) for i, r in enumerate(GLOB_RULES)]
+    own = raw.select(
+        (F.xxhash64("event_type").bitwiseAND((1 << 40) - 1) + 100).alias("rule_no"), F.concat(F.lit("of:"), "event_type").alias("destination"),
+        F.lit("*").alias("source_pattern"), F.col("event_type").alias("type_pattern"),
+    ).distinct()
+    rules = spark.createDataFrame(globs, "rule_no long, destination string, source_pattern string, type_pattern string").unionByName(own)
+    return route_by_table(raw, rules, default="rest").select("event_id", "routing_key")
+
+
 @query
 def route_counts(spark, sf_dir):
     """RTE2"""
@@ -258,6 +271,14 @@ def chat_fields(spark, sf_dir):
     )
 
 
+@query
+def custom_classifier(spark, sf_dir):
+    """UDF2: actions named by the user's own classifier"""
+    log = _stored(spark, sf_dir)
+    facts = extract.extract_facts(log, classifier=lambda queue, source, event_type, _: F.concat_ws("/", source, event_type))
+    return facts.filter(extract.is_chat()).select("event_id", "chat_action")
+
+
 @query
 def read_fields(spark, sf_dir):
     """EXT6, FLT4"""
@@ -405,7 +426,7 @@ def event_bookings_table(spark, sf_dir):
 
 @query
 def custom_projection(spark, sf_dir):
-    """UDF1, UDF2: a user's own table, run by the registry"""
+    """UDF1: a user's own table, run by the registry"""
     registry = Registry()
     registry.register(
         Projection(
