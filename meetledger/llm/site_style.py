@@ -8,16 +8,19 @@ write; they repeat where a template does. The entropies, scaled to 0 to 1 by the
 pages, are the importance of the path. Branches of low importance are removed from each
 page, and so are elements that only present or run (scripts, styles, forms, menus, ...).
 
+Copies say nothing about a template: pages of a host with the same blocks count as one.
 A host with few pages says little, so the importance of a path is the host's own where it
-has ``MIN_PAGES`` pages with that path, and the element's meaning alone where not.
+has ``MIN_PAGES`` different pages with that path, and the element's meaning alone where not.
+A branch that holds a path of its own importance, or one met too seldom to tell, stays;
+only the low branches in it go.
 
 Counts are pre-aggregated in each task and summed by (host, path, value); a page's blocks
 travel compressed, once, to meet the removed paths of its host. That is an ordinary join,
 in which Spark splits a hot host.
 
 Cases: missing or empty html gives an empty text; a missing url is a host of its own, ``""``;
-unclosed, crossed and unknown tags are tolerated; repeated rows are extracted separately,
-and each counts as a page; an empty table gives an empty result; further columns are not
+unclosed, crossed and unknown tags are tolerated; repeated rows are extracted separately
+and count as one page; an empty table gives an empty result; further columns are not
 read.
 """
 
@@ -145,34 +148,49 @@ def _ancestors(path: str) -> Iterator[str]:
         path = path.rpartition("/")[0]
 
 
+def _content(page: Page) -> int:
+    """64 bits of a page's blocks, by which copies are known."""
+    import xxhash
+
+    blocks = "\x00".join(f"{path}\x01{text}" for path, text in page.blocks)
+    return xxhash.xxh64_intdigest(blocks.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, path, kind, value, n): looks and words of each path, counted within the batch."""
+    """(host, path, content, look, text, n): looks and words of each path, counted within the batch."""
     for batch in batches:
         counts: Counter = Counter()
         for host, html in zip(batch["host"], batch["html"], strict=True):
             page = Page(html or "")
+            content = _content(page)
             words: dict[str, set[int]] = {}
             for path, text in page.blocks:
                 crc = zlib.crc32(text.encode("utf-8", "replace"))
                 for above in _ancestors(path):
                     words.setdefault(above, set()).add(crc)
             for path, crcs in words.items():
-                counts[host, path, "page", 0] += 1
-                counts[host, path, "look", zlib.crc32("|".join(page.children.get(path, ())).encode("utf-8", "replace"))] += 1
+                look = zlib.crc32("|".join(page.children.get(path, ())).encode("utf-8", "replace"))
                 # A page adds one content value to a path: its blocks taken together.
-                counts[host, path, "text", zlib.crc32(repr(sorted(crcs)).encode())] += 1
+                counts[host, path, content, look, zlib.crc32(repr(sorted(crcs)).encode())] += 1
         if counts:
             rows = [(*k, n) for k, n in counts.items()]
-            yield pd.DataFrame(rows, columns=["host", "path", "kind", "value", "n"])
+            yield pd.DataFrame(rows, columns=["host", "path", "content", "look", "text", "n"])
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, n_pages, look_importance, text_importance and importance of every path with text."""
-    counted = pages.select("host", "html").mapInPandas(_evidence, "host string, path string, kind string, value long, n long")
-    summed = counted.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
+def style_tree(pages: DataFrame, copies: bool = True) -> DataFrame:
+    """host, path, n_pages, look_importance, text_importance and importance of every path with text.
+
+    Without ``copies``, pages of a host with the same blocks count as one (with the least of their looks).
+    """
+    schema = "host string, path string, content long, look long, text long, n long"
+    counted = pages.select("host", "html").mapInPandas(_evidence, schema)
+    if not copies:
+        counted = counted.groupBy("host", "path", "content").agg(F.min("look").alias("look"), F.min("text").alias("text"), F.lit(1).cast("long").alias("n"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("value")) for kind in ("look", "text")])).alias("x")
+    summed = counted.select("host", "path", "n", kinds).groupBy("host", "path", "x.kind", "x.value").agg(F.sum("n").alias("n"))
     x = F.col("n").cast("double")
     sides = summed.groupBy("host", "path").agg(
-        F.coalesce(F.max(F.when(F.col("kind") == "page", F.col("n"))), F.lit(0)).alias("n_pages"),
+        F.coalesce(F.sum(F.when(F.col("kind") == "look", F.col("n"))), F.lit(0)).alias("n_pages"),
         *[
             F.coalesce(F.sum(F.when(F.col("kind") == kind, x * F.log2(x))), F.lit(0.0)).alias(kind)
             for kind in ("look", "text")
@@ -188,10 +206,19 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return tree.withColumn("importance", F.greatest("look_importance", "text_importance"))
 
 
+def _removed(tree: DataFrame, min_pages: int, min_importance: float) -> DataFrame:
+    """host and path of the low paths with nothing but low paths below: all that is removed."""
+    rated = tree.select("host", "path", ((F.col("n_pages") >= min_pages) & (F.col("importance") < min_importance)).alias("low"))
+    rated = store(rated, "site-paths")
+    parts = F.split("path", "/")
+    above = F.when(F.size(parts) > 2, F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/")))
+    holding = rated.where(~F.col("low")).select("host", F.explode(above).alias("path")).distinct()
+    return rated.where("low").select("host", "path").join(holding, ["host", "path"], "left_anti")
+
+
 def _noise(tree: DataFrame, min_pages: int, min_importance: float) -> DataFrame:
-    """The removed paths of each host, topmost only."""
-    low = tree.where((F.col("n_pages") >= min_pages) & (F.col("importance") < min_importance))
-    return low.groupBy("host").agg(F.to_json(F.sort_array(F.collect_set("path"))).alias("noise"))
+    """The removed paths of each host."""
+    return _removed(tree, min_pages, min_importance).groupBy("host").agg(F.to_json(F.sort_array(F.collect_set("path"))).alias("noise"))
 
 
 def _blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,7 +253,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float
     small_batches(pages.sparkSession)
     read = narrow(pages, page_id="long", url="string", html="string")
     read = read.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
-    noise = store(_noise(style_tree(read), min_pages, min_importance), "site-noise")
+    noise = store(_noise(style_tree(read, copies=False), min_pages, min_importance), "site-noise")
     packed = read.mapInPandas(_blocks_of, "page_id long, url string, host string, packed binary")
     both = packed.join(noise, "host", "left").select("page_id", "url", "packed", "noise")
     return both.mapInPandas(_assemble, "page_id long, url string, text string, n_chars long")

@@ -55,3 +55,33 @@ def test_awkward_pages(spark):
     long_page = "<p>" + "word " * 50_000
     assert extract(pages(spark, [(5, "z", long_page)])).first()["n_chars"] == 249_999
     assert extract(pages(spark, []).limit(0)).collect() == []
+
+
+def page_of(*paragraphs):
+    return f"<html><body><div class=top><p>All about us</p></div><article>{''.join(f'<p>{p}</p>' for p in paragraphs)}</article></body></html>"
+
+
+def test_copies_of_a_page_are_one_page(spark):
+    rng = random.Random(5)
+    rows = [(i, "https://eight.org/x", page_of("The same words", "on all pages")) for i in range(8)]
+    want = {i: "All about us\nThe same words\non all pages" for i in range(8)}
+    copied = sentence(rng, 9)
+    for i in range(100, 3_100):
+        rows.append((i, f"https://hot.org/{i}", page_of(copied)))
+        want[i] = copied
+    for i in range(4_000, 4_200):
+        body = sentence(rng, 8) + f" {i}"
+        rows.append((i, f"https://hot.org/{i}", page_of(body)))
+        want[i] = body
+    assert {r["page_id"]: r["text"] for r in extract(pages(spark, rows)).collect()} == want
+
+
+def test_branches_that_hold_articles_stay(spark):
+    """Most pages have a fixed notice where others have their article; the low branch above both stays."""
+    rows, want = [], {}
+    for i in range(300):
+        # The side note tells the pages apart.
+        own = f"<article><p>Story number {i}</p></article>" if i < 20 else "<p>Nothing here yet</p>"
+        rows.append((i, f"https://a.org/{i}", f"<body><div class=main>{own}</div><div class=note>Note {i}</div></body>"))
+        want[i] = f"Story number {i}\nNote {i}" if i < 20 else f"Note {i}"
+    assert {r["page_id"]: r["text"] for r in extract(pages(spark, rows)).collect()} == want
