@@ -7,9 +7,10 @@ does a rule that holds more tokens than another one that is at least as sure. Th
 are matched by an inverted index: URLs and rules meet on a token, and a rule fires where
 as many tokens met as it has.
 
-All work is in DataFrame functions and Spark's own FP-growth. Only tokens with a share of
-bad URLs above the average are mined, which keeps long URLs from making endless
-combinations. A URL that occurs many times is matched once.
+All work is in DataFrame functions and Spark's own FP-growth. All tokens that reach the
+support are mined, whatever their own share of bad URLs. Tokens that occur in the very same
+URLs (a host and its only child) are mined as one and spelled out in the rules, which keeps
+long URLs from making endless combinations. A URL that occurs many times is matched once.
 
 Cases: a missing URL, or one without ``://``, has an empty host and path, fits no rule and
 is allowed; repeated rows are judged separately; without labels (or without a sure rule)
@@ -81,21 +82,48 @@ def mine(
     n, n_bad = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0))).first()
     if not n_bad or n_bad == n:
         return empty(spark, _RULES)
-    support = min(1.0, max(min_support, min_count / n))
+    # A little less, so that a count that just reaches it is not lost to rounding.
+    support = min(1.0, max(min_support, min_count / n)) * (1 - 1e-9)
     each = rows.withColumn("row", F.monotonically_increasing_id())
     each = store(each.select("row", "bad", F.explode("tokens").alias("token")), "url-tokens")
-    telling = each.groupBy("token").agg(F.count("*").alias("n"), F.avg(F.col("bad").cast("double")).alias("share"))
-    telling = telling.where((F.col("share") > n_bad / n) & (F.col("n") >= support * n)).select("token")
-    baskets = each.join(telling, "token").groupBy("row").agg(F.collect_set("token").alias("items"), F.first("bad").alias("bad"))
+    named = store(_alike(each, support * n), "url-token-classes")
+    baskets = each.join(named.where("token = name"), "token").groupBy("row").agg(F.collect_set("token").alias("items"), F.first("bad").alias("bad"))
     baskets = store(baskets.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")), "baskets")
     if baskets.isEmpty():
         return empty(spark, _RULES)
     share = n / baskets.count()
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, support * share), minConfidence=min_confidence).fit(baskets)
     mined = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
-    mined = mined.select(F.sort_array("antecedent").alias("tokens"), "confidence", (F.col("support") / share).alias("support"))
-    mined = store(mined.withColumn("rule", F.xxhash64("tokens")).select("rule", "tokens", "confidence", "support"), "rules")
-    return mined.join(_implied(mined), "rule", "left_anti")
+    mined = mined.select("antecedent", "confidence", (F.col("support") / share).alias("support"))
+    mined = store(mined.withColumn("rule", F.xxhash64(F.sort_array("antecedent"))), "rules-by-name")
+    mined = mined.join(_implied(mined.withColumnRenamed("antecedent", "tokens")), "rule", "left_anti")
+    return store(_spelled(mined, named), "rules")
+
+
+def _alike(each: DataFrame, least: float) -> DataFrame:
+    """token and name of the tokens with enough bad rows; tokens of the very same rows share a name.
+
+    A combination with two of them is no surer than without one, and longer.
+    """
+    rows = [F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64(F.lit(7), "row")).alias("b")]
+    counted = each.groupBy("token").agg(*rows, F.sum(F.col("bad").cast("long")).alias("n_bad")).where(F.col("n_bad") >= least)
+    # A few names at most have the same rows: they are parts of one and the same kind of url.
+    names = counted.groupBy("n", "a", "b").agg(F.min("token").alias("name"))
+    return counted.join(names, ["n", "a", "b"]).select("token", "name")
+
+
+def _spelled(mined: DataFrame, named: DataFrame) -> DataFrame:
+    """Each rule with every token that its names stand for, one at a time."""
+    alike = named.groupBy("name").agg(F.sort_array(F.collect_list("token")).alias("choices"))
+    each = mined.select("rule", "confidence", "support", F.explode("antecedent").alias("name")).join(alike, "name")
+    whole = each.groupBy("rule").agg(F.first("confidence").alias("confidence"), F.first("support").alias("support"), F.collect_list("choices").alias("choices"))
+    spelled = F.aggregate(
+        "choices",
+        F.array(F.array().cast("array<string>")),
+        lambda found, more: F.flatten(F.transform(found, lambda x: F.transform(more, lambda y: F.concat(x, F.array(y))))),
+    )
+    rules = whole.select("confidence", "support", F.explode(spelled).alias("tokens")).withColumn("tokens", F.sort_array("tokens"))
+    return rules.select(F.xxhash64("tokens").alias("rule"), "tokens", "confidence", "support")
 
 
 def _implied(rules: DataFrame) -> DataFrame:

@@ -74,6 +74,36 @@ def test_mined_rules_as_by_counting_all_combinations(spark):
     assert all(abs(got[i] - sure[i]) < 1e-9 for i in want)
 
 
+def test_combinations_of_tokens_that_are_not_telling_alone(spark):
+    """Against counting all combinations of all tokens, without a filter."""
+    rows = []
+    for i in range(1_000):
+        # 30% are bad; of those with a 50%, with b 22.5%, with both 90%.
+        kind, turn = i % 20, i // 20 % 10
+        a, b = kind < 4, kind < 2 or 4 <= kind < 10
+        bad = turn > 0 if a and b else turn == 1 if a else not b and turn < 4
+        rows.append((f"https://x.y.org/{'a' if a else 'c'}/{i}{'?b=1' if b else ''}", bad))
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    tokens = [(frozenset(r["t"]), r["bad"]) for r in df.select(url_tokens(df.url).alias("t"), "bad").collect()]
+    sure = {}
+    names = sorted({x for t, _ in tokens for x in t})
+    for size in range(1, len(names) + 1):
+        for items in combinations(names, size):
+            met = [bad for t, bad in tokens if t.issuperset(items)]
+            if sum(met) >= 20 and sum(met) / len(met) >= 0.7:
+                sure[items] = sum(met) / len(met)
+    want = {i for i, c in sure.items() if not any(set(j) < set(i) and d >= c for j, d in sure.items())}
+    rules = mine(df)
+    assert {tuple(r["tokens"]) for r in rules.collect()} == want == {("path:a", "query:b")}
+    got = judge(pages(spark, ["https://x.y.org/a/1?b=2", "https://x.y.org/a/1", "https://x.y.org/c/1?b=2"]), rules).orderBy("page_id").collect()
+    assert [r["verdict"] for r in got] == ["block", "allow", "allow"]
+
+
+def test_tokens_of_the_same_rows_are_rules_each(spark):
+    df = spark.createDataFrame([(f"https://{'a.b.info/x' if i % 3 == 0 else 'c.org/y'}/{i}", i % 3 == 0) for i in range(300)], "url string, bad boolean")
+    assert sorted(r["tokens"] for r in mine(df).collect()) == [["host:a.b.info"], ["host:b.info"], ["host:info"], ["path:x"]]
+
+
 def test_mined_rules_block_and_repeated_urls_are_one_match(spark):
     rules = mine(labelled(spark))
     urls = ["https://win.casino.org/offer/7", "https://win.casino.org/offer/7", "https://news.org/post/8", "https://win.casino.com/offer/7"]
