@@ -4,9 +4,12 @@ Numbers, names and units of a text are replaced with typed placeholders; what is
 template. Windows of ``WINDOW`` words of the templates of documents and benchmark items
 are joined by hash. For every document, item and offset at which windows meet, the values
 behind the placeholders must fit together: one value of the item is one and the same value
-of the document, and the other way round. So a question with other numbers is caught, and
-a coincidence of a template with unrelated values is not. A document is contaminated by an
-item when ``COVERAGE`` of the item's windows meet consistently.
+of the document. So a question with other numbers is caught, and a coincidence of a
+template with unrelated values is not. A window with the item's own values always counts,
+and so does one whose changed values fit; only windows that hold a clashing value do not.
+The ``strict`` form wants the values to fit the other way round too, and gives up an offset
+with any clash. A document is contaminated by an item when ``COVERAGE`` of the item's
+windows meet consistently.
 
 A window of mostly placeholders says little: it is compared by its words. Items of fewer
 words than a window are one window of their own length; below ``LEAST_WORDS`` they only
@@ -202,8 +205,38 @@ def document_windows(docs: DataFrame, bench: DataFrame) -> DataFrame:
     return read.mapInPandas(search, "doc_id long, a long, b long, width int, place int, hash long, slots array<string>")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, window: int = WINDOW) -> DataFrame:
-    """One row for each document and item that meet: doc_id, item_id, windows met, coverage, changed slots."""
+def _values_met(met: DataFrame, at: list[str]) -> DataFrame:
+    """Values that stand for each other at one offset, each pair once."""
+    return met.select(*at, F.explode(F.arrays_zip("slots", "item_slots")).alias("x")).select(*at, "x.*").distinct()
+
+
+def _without_clashing_offsets(met: DataFrame, at: list[str]) -> DataFrame:
+    each = _values_met(met, at)
+    odd = [
+        each.groupBy(*at, side).agg(F.count("*").alias("n")).where("n > 1").select(*at).distinct() for side in ("slots", "item_slots")
+    ]
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"o.{c}")) for c in at]
+    return met.alias("m").join(odd[0].union(odd[1]).alias("o"), same, "left_anti")
+
+
+def _without_clashing_windows(met: DataFrame, at: list[str]) -> DataFrame:
+    """Without the windows in which a value of the item is changed that is another one elsewhere at the offset."""
+    odd = _values_met(met, at).groupBy(*at, "item_slots").agg(F.count("*").alias("n")).where("n > 1")
+    # At most as many as the item has placeholders.
+    odd = odd.groupBy(*at).agg(F.collect_set("item_slots").alias("odd"))
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"o.{c}")) for c in at]
+    both = met.alias("m").join(odd.alias("o"), same, "left").select("m.*", "odd")
+    clashes = F.exists(F.zip_with("slots", "item_slots", lambda x, y: (x != y) & F.array_contains("odd", y)), lambda x: x)
+    return both.where(F.col("odd").isNull() | ~clashes).drop("odd")
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, window: int = WINDOW, strict: bool = True
+) -> DataFrame:
+    """One row for each document and item that meet: doc_id, item_id, windows met, coverage, changed slots.
+
+    ``strict`` drops all windows of an offset at which any values clash, word-for-word ones too.
+    """
     small_batches(docs.sparkSession)
     bench = benchmark_windows(benchmark, window)
     found = document_windows(docs, bench)
@@ -213,14 +246,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     met = found.join(item, ["hash", "width"]).where(F.size("slots") == F.size("item_slots"))
     pair = ["doc_id", "a", "b", "item_id"]
     met = store(met.select(*pair, "item_windows", (F.col("place") - F.col("item_place")).alias("offset"), "item_place", "slots", "item_slots"), "windows-met")
-    # Values that stand for each other at one offset, each pair once.
-    each = met.select(*pair, "offset", F.explode(F.arrays_zip("slots", "item_slots")).alias("x")).select(*pair, "offset", "x.*").distinct()
-    at = [*pair, "offset"]
-    odd = [
-        each.groupBy(*at, side).agg(F.count("*").alias("n")).where("n > 1").select(*at).distinct() for side in ("slots", "item_slots")
-    ]
-    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"o.{c}")) for c in at]
-    fits = met.alias("m").join(odd[0].union(odd[1]).alias("o"), same, "left_anti")
+    fits = _without_clashing_offsets(met, [*pair, "offset"]) if strict else _without_clashing_windows(met, [*pair, "offset"])
     changed = F.exists(F.zip_with("slots", "item_slots", lambda x, y: x != y), lambda x: x)
     pairs = fits.groupBy(*pair).agg(
         F.count_distinct("item_place").alias("windows"), F.max("item_windows").alias("item_windows"), F.max(changed).alias("changed_slots")

@@ -49,6 +49,31 @@ def test_copies_reparameterised_copies_and_clean_texts(spark):
     assert got[0, 1]["coverage"] == 1.0 and got[1, 1]["coverage"] == 1.0
 
 
+def test_a_clashing_value_costs_only_its_windows(spark, tmp_path):
+    """As the query and the pipeline ask for it."""
+    from corpus_pipeline import decontamination
+    from meetledger.llm.queries import op9_templates
+
+    rng = random.Random(8)
+    one = ITEMS[0][1]
+    twice = "Ann pays 12 euro for bread while Bob also has 12 euro in the pocket of an old coat that hangs near the kitchen door"
+    made_equal = one.replace("50 kg", "12 kg")
+    changed_once = twice.replace("12", "15", 1)
+    # Two values of the item become one number, and the names change.
+    merged = one.replace("12", "7").replace("30", "7").replace("50", "9").replace("Maria", "Olga").replace("Peter", "Ivan")
+    # The item's 12 becomes two numbers so close that every window holds one of them, and little else is left.
+    apart = "Ann pays 15 euro for bread while Bob also has 16 euro in the pocket"
+    texts = [made_equal, changed_once, merged, apart, sentence(rng, 40), one, twice]
+    docs = frame(spark, [(i, f"{sentence(rng, 30)}. {t}", "en", "s", 0) for i, t in enumerate(texts)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items = spark.createDataFrame([(1, one), (2, twice)], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["doc_id"], r["item_id"]): r for r in op9_templates(spark, str(tmp_path)).collect()}
+    assert set(got) == {(0, 1), (1, 2), (2, 1), (5, 1), (6, 2)}
+    assert got[2, 1]["coverage"] == 1.0 and got[1, 2]["coverage"] < 1.0 and not got[6, 2]["changed_slots"]
+    assert sorted(r["doc_id"] for r in decontamination(spark, docs, str(tmp_path)).collect()) == [3, 4]
+
+
 def test_awkward_rows_and_decontamination(spark):
     rows = awkward_rows() + [(7, ITEMS[1][1], "en", "s", 0), (7, ITEMS[1][1], "en", "s", 0), (None, ITEMS[1][1], "en", "s", 0)]
     docs = frame(spark, rows)
