@@ -424,6 +424,18 @@ sql("normalize_payloads", f"""WITH {EV}, r AS (SELECT *, k % 2 = 0 AS has_client
 SELECT event_id, 0 AS pos, 'o' || (k % 5) AS email, 'organizer' AS role, 'UTC' AS time_zone FROM r WHERE source = 'booking'
 UNION ALL SELECT event_id, 1, 'c' || user_id, 'client', NULL FROM r WHERE source = 'booking' AND has_client
 UNION ALL SELECT event_id, 0, 'd' || user_id, NULL, NULL FROM r WHERE event_type = '{STATUS}'""")
+sql("normalize_whole", f"""WITH {EV}, r AS (
+  SELECT * REPLACE (CASE WHEN event_type = 'booking.rescheduled' AND n % 2 = 0 THEN '{CANCELLED}' ELSE event_type END AS event_type),
+    k % 2 = 0 AS has_client, n % 7 = 0 AS has_list FROM ev WHERE booking_id IS NOT NULL),
+people AS (
+  SELECT event_id, 0 AS pos, 'o' || (k % 5) AS email, 'organizer' AS role, 'UTC' AS time_zone FROM r WHERE source = 'booking' AND NOT has_list
+  UNION ALL SELECT event_id, 1, 'c' || user_id, 'client', NULL FROM r WHERE source = 'booking' AND NOT has_list AND has_client
+  UNION ALL SELECT event_id, 0, 'u' || user_id, 'client', NULL FROM r WHERE source = 'booking' AND has_list
+  UNION ALL SELECT event_id, 0, 'd' || user_id, NULL, NULL FROM r WHERE event_type = '{STATUS}'
+  UNION ALL SELECT event_id, 0, 'g' || user_id, NULL, NULL FROM r WHERE source = 'getstream' AND n % 6 < 3)
+SELECT event_id, CASE WHEN timed AND n % 4 <> 0 THEN received_at END AS start_time, CASE WHEN timed AND n % 5 <> 0 THEN occurred_at END AS end_time,
+  CASE event_type WHEN '{CREATED}' THEN 'created' WHEN '{CANCELLED}' THEN 'cancelled' END AS status, pos, email, role, time_zone
+FROM (SELECT *, event_type LIKE 'booking.%' OR event_type LIKE '%.booking.%' AS timed FROM r) LEFT JOIN people USING (event_id)""")
 
 # --- functions -----------------------------------------------------------------------
 

@@ -21,7 +21,7 @@ from meetledger.session import fresh_path, materialize
 from meetledger.sources import messages as M
 from meetledger.sources.publish import outgoing_messages
 from meetledger.streaming.ingest import StreamIngest
-from table_queries.adapters import conversation_log, event_headers, event_log, mail_log, order_log, plain, raw_events, table
+from table_queries.adapters import conversation_log, event_headers, event_log, iso, mail_log, order_log, plain, raw_events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -672,6 +672,35 @@ def normalize_payloads(spark, sf_dir):
     return entities.participant_rows(facts).select("event_id", "pos", "email", "role", "time_zone")
 
 
+@query
+def normalize_whole(spark, sf_dir):
+    """DOC8 over all events, chat with its encoded ids too: participants, times and status"""
+    n, k, chat = F.col("n"), F.col("k"), F.col("source") == S.SOURCE_CHAT
+    raw = raw_events(spark, sf_dir).withColumn(
+        "event_type", F.when((F.col("event_type") == "booking.rescheduled") & (n % 2 == 0), S.BOOKING_CANCELLED).otherwise(F.col("event_type"))
+    )
+    name = F.concat(F.lit("g"), "user_id")
+    # sealed, sealed with another secret, not sealed, missing
+    chat_id = F.when(n % 6 < 3, hashing.encode_user_id(name, "a secret")).when(n % 6 == 3, hashing.encode_user_id(name, "wrong")).when(n % 6 == 4, name)
+    listed = F.array(
+        F.struct(F.concat(F.lit("u"), "user_id").alias("email"), F.lit("client").alias("role")),
+        F.struct(F.lit(None).cast("string").alias("email"), F.lit("organizer").alias("role")),
+    )
+    user = F.struct(F.concat(F.lit("o"), (k % 5).cast("string")).alias("email"), F.lit("UTC").alias("time_zone"), F.when(chat, chat_id).alias("id"))
+    payload = F.struct(
+        user.alias("user"),
+        F.when(k % 2 == 0, F.struct(F.concat(F.lit("c"), "user_id").alias("email"))).alias("client"),
+        F.when(n % 7 == 0, listed).alias("users"),
+        F.struct(F.concat(F.lit("d"), "user_id").alias("email")).alias("event_data"),
+        F.when(n % 4 != 0, iso("received_at")).alias("start_time"),
+        F.when(n % 5 != 0, iso("occurred_at")).alias("end_time"),
+    )
+    normalized = N.normalize(raw.withColumn("payload_json", F.to_json(payload)).select(*S.ENVELOPE_COLUMNS), "a secret")
+    facts = _facts_of(normalized)
+    people = facts.select("event_id", "start_time", "end_time", F.col("booking_status").alias("status"), F.posexplode_outer("participants").alias("pos", "p"))
+    return people.select("event_id", "start_time", "end_time", "status", "pos", "p.*")
+
+
 # --- functions ---
 
 
