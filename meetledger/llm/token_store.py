@@ -12,6 +12,9 @@ Everything else covers all documents: they are encoded and compressed where they
 dealt to shards of id ranges, sorted, and gathered into blocks as a stream. Files are
 written by Spark, so that a lost task is written again and no part file is seen twice.
 
+Ids are those of the library's plain ``encode(add_special_tokens=False)``: an added token in a
+text has its own id.
+
 Cases: a missing or empty text is the end id alone; a missing id comes last; repeated ids
 are kept, all of them; long texts may fill a block alone; an empty table gives an empty
 store; further columns are not read.
@@ -58,18 +61,21 @@ _BLOCKS = (
 class Encoder:
     """Ids of whole texts by the tokenizers library, remembering the words it has met."""
 
-    def __init__(self, tokenizer_file: str) -> None:
+    def __init__(self, tokenizer_file: str, special_as_text: bool = True) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        # Texts that hold one of these are encoded whole.
+        self.added = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Words at the start of a line, and words after a blank.
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.end = np.array([END_ID], f"<u{self.width}").tobytes()
         self.line = self._whole("\n")
-        self.splits = len(self.line) == self.width
+        # An added token with white space in it could arise between words that are learned together.
+        self.splits = len(self.line) == self.width and not any(c.isspace() for token in self.added for c in token)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}")
@@ -98,7 +104,7 @@ class Encoder:
     def _regular(self, text: str) -> bool:
         if not text or not self.splits or text[0] in " \n" or text[-1] in " \n":
             return False
-        return not any(run in text for run in _RUNS) and not _OTHER_WHITE.search(text)
+        return not any(run in text for run in _RUNS) and not any(token in text for token in self.added) and not _OTHER_WHITE.search(text)
 
     def _lookup(self, words: list[str], after_blank: int) -> list[bytes]:
         known = self.known[after_blank]
@@ -145,9 +151,9 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(tokenizer_file: str) -> Encoder:
-    """The Python worker's encoder, which keeps its words from task to task."""
+    """The Python worker's encoder, which keeps its words from task to task; added tokens have their own ids."""
     if tokenizer_file not in _ENCODERS:
-        _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
+        _ENCODERS[tokenizer_file] = Encoder(tokenizer_file, special_as_text=False)
     return _ENCODERS[tokenizer_file]
 
 

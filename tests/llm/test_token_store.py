@@ -66,3 +66,17 @@ def test_another_dictionary_is_refused(spark):
 
 def test_empty_table(spark):
     assert token_store.round_trip(empty_frame(spark), tokenizer_file()).collect() == []
+
+
+def test_added_tokens_in_texts_have_their_own_ids(spark):
+    """Against the library as it is loaded."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_file())
+    rng = random.Random(3)
+    parts = ["a", "b ", "\n", " ", "é", "word ", "<|endoftext|>", "<|endof", "text|>", "<|", "|>"]
+    texts = ["a <|endoftext|>b", "<|endoftext|>", "a <|endoftext| >b"] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    want = {i: ids_of(plain, t) for i, t in enumerate(texts)}
+    assert 50256 in want[0]
+    got = {r["doc_id"]: r for r in token_store.round_trip(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), tokenizer_file()).collect()}
+    assert {i: (r["n_tokens"], r["ids_crc32"]) for i, r in got.items()} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
