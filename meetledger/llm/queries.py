@@ -5,8 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from meetledger.llm import divergence, factorization, jaccard, licenses, line_runs, mixing, site_style, templates, token_store, url_rules
+from pyspark.sql import functions as F
+
+from meetledger.llm import (
+    divergence,
+    factorization,
+    histogram_sort,
+    jaccard,
+    licenses,
+    line_runs,
+    mixing,
+    periodic_runs,
+    site_style,
+    templates,
+    token_store,
+    url_rules,
+    whitening,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +86,30 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("key")
 
 
+def op11_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 40 shards of near equal bytes, as read from the shard files."""
+    placed = histogram_sort.shard(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "row.doc_id",
+        "size",
+        F.crc32(F.coalesce("row.text", F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every text, after every tenth one was made to repeat itself."""
+    return periodic_runs.digest(periodic_runs.collapse(periodic_runs.plant(table(spark, sf_dir, "documents"))))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the eight leading components, with unit variance."""
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_divergence": op2_divergence,
@@ -82,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_templates": op9_templates,
     "op10_mixing": op10_mixing,
+    "op11_histogram_sort": op11_histogram_sort,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_whitening": op13_whitening,
 }
 
 # Where SQL can express a query over whole tables in reasonable time; the other queries are

@@ -1,0 +1,121 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from meetledger.llm import histogram_sort as hs
+from meetledger.llm.queries import op11_histogram_sort
+from tests.llm.cases import awkward_rows, empty_frame, frame, sentence
+
+
+def by_shard(rows):
+    shards = {}
+    for r in rows:
+        shards.setdefault(r["shard"], []).append(r)
+    return shards
+
+
+def check_slots(rows):
+    for members in by_shard(rows).values():
+        assert sorted(r["slot"] for r in members) == list(range(len(members)))
+
+
+def corpus(rng, n):
+    return [(i, sentence(rng, rng.randint(1, 60)), "en", "s", 0) for i in range(n)]
+
+
+def test_bytes_are_near_equal_and_order_is_global(spark):
+    rows = corpus(random.Random(5), 3_000)
+    docs = frame(spark, rows).repartition(7)
+    got = hs.shard(docs, shards=12, tolerance=0.01, probes=64).select("row.doc_id", "row.text", "size", "shard", "slot").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted((r[0], r[1]) for r in rows)
+    assert all(r["size"] == len(r["text"].encode()) + 16 for r in got)
+    check_slots(got)
+    share = sum(r["size"] for r in got) / 12
+    largest = max(r["size"] for r in got)
+    assert len(by_shard(got)) == 12
+    for members in by_shard(got).values():
+        assert abs(sum(r["size"] for r in members) - share) <= 2 * max(0.01 * share, largest)
+    # Brute force: sorted by the key, shards and slots come in order.
+    keys = {r["row"]["doc_id"]: (r["h"], r["t"]) for r in hs.keyed(docs).collect()}
+    ordered = [r["doc_id"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    assert ordered == sorted(ordered, key=keys.get)
+
+
+def test_bytes_below_cuts_are_exact(spark):
+    docs = frame(spark, corpus(random.Random(9), 500))
+    keys = hs.keyed(docs).select("h", "t", "u", "size")
+    rows = keys.collect()
+    half, word = 1 << 63, 64
+    number = lambda r: (r["h"] + half << 2 * word) + (r["t"] + half << word) + r["u"] + half
+    cuts = hs.Cuts(keys, 16)
+    cuts.refine({3: 9, 7: 2, 8: 40})
+    assert cuts.at == sorted(cuts.at) and len(set(cuts.at)) == len(cuts.at)
+    for at, size, n in zip(cuts.at, cuts.bytes, cuts.rows):
+        below = [r for r in rows if number(r) < at]
+        assert (size, n) == (sum(r["size"] for r in below), len(below))
+
+
+def test_cuts_up_to_as_by_counting():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-3, 3, (400, 3))
+    cuts = np.array(sorted({tuple(c) for c in rng.integers(-3, 3, (60, 3)).tolist()}))
+    got = hs.cuts_up_to([keys[:, k] for k in range(3)], cuts)
+    assert got.tolist() == [sum(tuple(c) <= tuple(k) for c in cuts.tolist()) for k in keys.tolist()]
+
+
+def test_equal_texts_stay_together_unless_too_heavy(spark):
+    rng = random.Random(2)
+    rows = corpus(rng, 900)
+    small, hot = sentence(rng, 30), sentence(rng, 40)
+    rows += [(10_000 + i, small, "en", "s", 0) for i in range(3)]
+    rows += [(20_000 + i, hot, "en", "s", 0) for i in range(600)]
+    docs = frame(spark, rows, clash=False)
+    got = hs.shard(docs, shards=10, tolerance=0.02, probes=64).select("row.*", "size", "shard", "slot").collect()
+    check_slots(got)
+    assert len({r["shard"] for r in got if r["text"] == small}) == 1
+    assert len({r["shard"] for r in got if r["text"] == hot}) > 2
+    sums = [sum(r["size"] for r in members) for members in by_shard(got).values()]
+    assert len(sums) == 10 and max(sums) < 1.1 * min(sums)
+
+
+def test_rows_that_are_equal_throughout_are_spread(spark):
+    docs = spark.range(4_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the very same row").alias("text")).repartition(5)
+    got = hs.shard(docs, shards=8, tolerance=0.02, probes=64, piece_bytes=4_096).select("size", "shard", "slot").collect()
+    check_slots(got)
+    assert sorted(len(m) for m in by_shard(got).values())[0] > 400 and len(got) == 4_000
+
+
+def test_pieces_are_small_and_inside_shards(spark):
+    docs = frame(spark, corpus(random.Random(4), 2_000))
+    keys = hs.keyed(docs).select("h", "t", "u", "size").cache()
+    total = keys.agg(F.sum("size")).first()[0]
+    bounds, pieces = hs.find_cuts(keys, 4, 0.01, total // 40, 32)
+    assert set(bounds) <= set(pieces) and len(bounds) == 3
+    sizes, _ = hs.histogram(keys, pieces)
+    assert max(sizes) <= 2 * (total // 40) + max(r["size"] for r in keys.collect()) and 20 <= len(sizes) <= 120
+
+
+@pytest.mark.parametrize("shards", [1, 4])
+def test_awkward_rows(spark, shards):
+    rows = awkward_rows()
+    got = hs.shard(frame(spark, rows), shards=shards).select("row.doc_id", "row.text", "row.key", "size", "shard", "slot").collect()
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(repr, ((r[0], r[1]) for r in rows)))
+    assert {r["size"] for r in got if r["doc_id"] in (1_001, 1_002)} == {16}
+    assert all(r["key"] == "x" and 0 <= r["shard"] < shards for r in got)
+    check_slots(got)
+    assert hs.shard(empty_frame(spark), shards=shards).collect() == []
+
+
+def test_query(spark, tmp_path):
+    rows = corpus(random.Random(6), 400) + awkward_rows()
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op11_histogram_sort(spark, str(tmp_path)).collect()
+    again = op11_histogram_sort(spark, str(tmp_path)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    expected = sorted((repr(r[0]), len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows)
+    assert sorted((repr(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == expected
+    assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
+    check_slots(got)
