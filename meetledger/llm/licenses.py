@@ -8,7 +8,9 @@ have none of. Every match is a span of words. A span inside another one (or equa
 is suppressed when the other has the better priority; among equal priorities the longer
 span and then the earlier rule stays.
 
-All work is in DataFrame functions and stays within the row: nothing is shuffled.
+All work is in DataFrame functions. Matching stays within the row; the spans found, which
+few texts have, are suppressed by windows over the spans of a row, in time that grows with
+their number.
 
 Cases: a missing or empty text has no words and no spans; a text may hold any number of
 spans, all are kept; repeated rows are scanned separately; an empty table gives an empty
@@ -17,10 +19,12 @@ result; further columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meetledger.llm.common import narrow
+from meetledger.llm.common import ascii_lower, narrow, store
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -93,6 +97,7 @@ OTHERS = [
     (6, 0.4, "copyright", "copyright", "copyright (?:c )?[0-9]{4}"),
 ]
 PRIORITIES = 6
+_OPEN, _SHUT = "\x01", "\x02"  # neither is part of a word
 
 _RULE = "struct<no:int,word:string,label:string,priority:int,strength:double,regex:string>"
 _SPAN = "struct<first:int,back:int,rule:int,label:string,priority:int,strength:double>"
@@ -110,18 +115,25 @@ def _count(text: Column, what: str) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(what), F.lit("")))
 
 
-def _places(line: Column, pattern: Column, found: Column, make) -> Column:
-    """The first and last word of every match, made into an array by ``make(first, last)``."""
-    pieces = F.split(line, pattern, -1)
-    zero = F.struct(F.lit(-1).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+def _places(line: Column, pattern: Column, make) -> Column:
+    """The first and last word of every match, made into an array by ``make(first, last)``.
+
+    Matches are set between two signs that no word holds; then the places of words that
+    begin or end with them are read off, each word once.
+    """
+    marked = F.regexp_replace(line, pattern, F.lit(f"{_OPEN}$0{_SHUT}"))
+    words = F.split(F.btrim(marked), " ")
+    signs = F.transform(words, lambda w, k: F.struct(k.alias("at"), F.startswith(w, F.lit(_OPEN)).alias("opens"), F.endswith(w, F.lit(_SHUT)).alias("shuts")))
+    # An array of one element gives a value a name, so that the words are split once.
+    edges = F.array(F.filter(signs, lambda w: w["opens"] | w["shuts"]))
 
-    def step(state: Column, k: Column) -> Column:
-        first = state["at"] + _count(F.get(pieces, k), " ")
-        last = first + _count(F.get(found, k), " ")
-        return F.struct(last.alias("at"), F.concat(state["spans"], F.array(make(first, last))).alias("spans"))
+    def pair(edge: Column) -> Column:
+        first = F.transform(F.filter(edge, lambda w: w["opens"]), lambda w: w["at"])
+        last = F.transform(F.filter(edge, lambda w: w["shuts"]), lambda w: w["at"])
+        return F.zip_with(first, last, make)
 
-    steps = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, zero, step, lambda state: state["spans"])
+    found = F.flatten(F.transform(edges, pair))
+    return F.when(F.regexp_like(line, pattern), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def _span(first: Column, last: Column, rule: Column) -> Column:
@@ -131,30 +143,10 @@ def _span(first: Column, last: Column, rule: Column) -> Column:
     ).cast(_SPAN)
 
 
-def _suppressed(spans: Column) -> Column:
-    """The spans that no better one contains; ``spans`` come by first word, longest first.
-
-    Whatever contains a span comes before it, or has its place: so it is enough to keep the
-    furthest last word of each priority.
-    """
-    reach = F.array(*[F.lit(-1)] * PRIORITIES)
-    zero = F.struct(reach.alias("reach"), F.array().cast(f"array<{_SPAN}>").alias("kept"))
-
-    def step(state: Column, x: Column) -> Column:
-        inside = F.exists(
-            F.transform(state["reach"], lambda end, k: (end >= -x["back"]) & (k + 1 <= x["priority"])), lambda hit: hit
-        )
-        reach = F.transform(state["reach"], lambda end, k: F.when(k + 1 == x["priority"], F.greatest(end, -x["back"])).otherwise(end))
-        kept = F.concat(state["kept"], F.when(inside, F.array().cast(f"array<{_SPAN}>")).otherwise(F.array(x)))
-        return F.struct(reach.alias("reach"), kept.alias("kept"))
-
-    return F.aggregate(spans, zero, step, lambda state: state["kept"])
-
-
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, line (the words between blanks), base and spans (arrays of spans)."""
+    """row (a number for each row), doc_id, n_words, base and matched (arrays of spans), stored."""
     df = narrow(docs, doc_id="long", text="string")
-    bare = F.btrim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), SEPARATORS, " "))
+    bare = F.btrim(F.regexp_replace(ascii_lower(F.col("text")), SEPARATORS, " "))
     df = df.select("doc_id", F.when(bare == "", F.lit("")).otherwise(F.concat(F.lit(" "), bare, F.lit(" "))).alias("line"))
     table = rules()
     every = F.array(*[F.struct(*[F.lit(v) for v in r]).cast(_RULE) for r in table])
@@ -163,43 +155,58 @@ def detect(docs: DataFrame) -> DataFrame:
     df = df.withColumn("keys", F.array_intersect(F.split(F.btrim(line), " "), keywords))
 
     def of_rule(rule: Column) -> Column:
-        found = F.regexp_extract_all(line, rule["regex"], F.lit(0))
-        return _places(line, rule["regex"], found, lambda first, last: _span(first, last, rule))
+        return _places(line, rule["regex"], lambda first, last: _span(first, last, rule))
 
     def of_phrase(phrase: str, label: str) -> Column:
-        pattern = F.lit(f"(?<= ){phrase}(?= )")
-        found = F.regexp_extract_all(line, pattern, F.lit(0))
         rule = F.struct(F.lit(-1).alias("no"), F.lit(label).alias("label"), F.lit(0).alias("priority"), F.lit(1.0).alias("strength"))
-        return F.when(F.contains(line, F.lit(f" {phrase} ")), _places(line, pattern, found, lambda a, b: _span(a, b, rule)))
+        return F.when(F.contains(line, F.lit(f" {phrase} ")), _places(line, F.lit(f"(?<= ){phrase}(?= )"), lambda a, b: _span(a, b, rule)))
 
     nothing = F.array().cast(f"array<{_SPAN}>")
     gated = F.filter(every, lambda r: F.array_contains(F.col("keys"), r["word"]) & (F.size("keys") > 0))
     matched = F.flatten(F.transform(gated, of_rule))
     base = F.concat(*[F.coalesce(of_phrase(p, label), nothing) for p, label in BASE_PHRASES.items()])
     df = df.select(
-        "doc_id", "line", F.when(line == "", 0).otherwise(_count(line, " ") - 1).cast("long").alias("n_words"),
+        F.monotonically_increasing_id().alias("row"),
+        "doc_id", F.when(line == "", 0).otherwise(_count(line, " ") - 1).cast("long").alias("n_words"),
         F.when(F.size("keys") > 0, base).otherwise(nothing).alias("base"),
-        F.when(F.size("keys") > 0, F.sort_array(matched)).otherwise(nothing).alias("matched"),
+        F.when(F.size("keys") > 0, matched).otherwise(nothing).alias("matched"),
     )
-    # The field order of a span (first word, minus the last, rule) is the order the scan needs.
-    return df.select("doc_id", "n_words", "line", "base", F.when(F.size("matched") > 0, _suppressed(F.col("matched"))).otherwise(nothing).alias("spans"))
+    return store(df, "license-matches")
+
+
+def unsuppressed(found: DataFrame) -> DataFrame:
+    """row, doc_id and x, a span, for the spans that no better one contains.
+
+    In the order of first word, then longest, then rule, whatever contains a span comes
+    before it, or has its place: so the furthest last word so far of each priority decides.
+    """
+    each = found.where(F.size("matched") > 0).select("row", "doc_id", F.explode("matched").alias("x"))
+    before = Window.partitionBy("row").orderBy("x.first", "x.back", "x.rule").rowsBetween(Window.unboundedPreceding, -1)
+    reach = [F.max(F.when(F.col("x.priority") == p, -F.col("x.back"))).over(before).alias(f"reach{p}") for p in range(1, PRIORITIES + 1)]
+    inside = reduce(
+        lambda a, b: a | b, [F.coalesce((F.col(f"reach{p}") >= -F.col("x.back")) & (F.col("x.priority") >= p), F.lit(False)) for p in range(1, PRIORITIES + 1)]
+    )
+    return each.select("row", "doc_id", "x", *reach).where(~inside).select("row", "doc_id", "x")
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """One row for each detection that stays: doc_id, rule, label, first and last word, strength."""
-    each = detect(docs).select("doc_id", F.explode("spans").alias("x"))
-    return each.select(
+    return unsuppressed(detect(docs)).select(
         "doc_id", "x.rule", "x.label", F.col("x.first").alias("first_word"), (-F.col("x.back")).alias("last_word"), "x.strength"
     )
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """The labels of each text, and how strong its strongest detection is."""
-    df = detect(docs)
+    found = detect(docs)
+    kept = unsuppressed(found).groupBy("row").agg(
+        F.collect_set("x.label").alias("names"), F.max("x.strength").alias("strength"), F.count("*").alias("n_spans")
+    )
+    df = found.drop("matched").join(kept, "row", "left")
     own = F.transform("base", lambda x: x["label"])
-    labels = F.concat(own, F.transform("spans", lambda x: x["label"]))
-    strengths = F.concat(F.transform("base", lambda x: x["strength"]), F.transform("spans", lambda x: x["strength"]))
+    labels = F.concat(own, F.coalesce("names", F.array().cast("array<string>")))
     starts = F.transform("base", lambda x: x["first"].cast("long"))
+    base_strength = F.array_max(F.transform("base", lambda x: x["strength"]))
 
     def joined(names: Column) -> Column:
         return F.concat_ws(",", F.sort_array(F.array_distinct(names)))
@@ -207,5 +214,5 @@ def scan(docs: DataFrame) -> DataFrame:
     return df.select(
         "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"), joined(own).alias("base_labels"), joined(labels).alias("labels"),
-        F.coalesce(F.array_max(strengths), F.lit(0.0)).alias("score"), F.size("spans").cast("long").alias("n_spans"),
+        F.coalesce(F.greatest("strength", base_strength), F.lit(0.0)).alias("score"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
     )

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from meetledger.llm import licenses
 from meetledger.llm.licenses import BASE_PHRASES, rules, scan, spans
@@ -66,3 +67,21 @@ def test_awkward_rows(spark):
     one = scan(frame(spark, [(1, many, None, None, None)])).first()
     assert (one["n_base"], one["first_word"], one["last_word"]) == (300, 0, 598)
     assert licenses.scan(empty_frame(spark)).collect() == []
+
+
+def test_many_matches_in_one_text(spark):
+    text = "Licensed under the MIT License; apache license, GNU General Public License v3. " * 12_500
+    began = time.time()
+    row = scan(frame(spark, [(1, text, None, None, None), (2, "MIT License", None, None, None)])).where("doc_id = 1").first()
+    assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"]) == (150_000, 37_500, 3, 149_996)
+    assert time.time() - began < 60
+    short = "Licensed under the MIT License; apache license, GNU General Public License v3. " * 3
+    one = scan(frame(spark, [(1, short, None, None, None)])).first()
+    assert row["labels"] == one["labels"] and row["n_spans"] == 12_500 * one["n_spans"] / 3
+
+
+def test_only_ascii_letters_are_lowered(spark):
+    # The Kelvin sign would become a k, and the long dotted I two characters.
+    rows = [(1, "MIT LICENſE and KMIT License İ", "en", "s", 0)]
+    row = scan(frame(spark, rows)).first()
+    assert (row["n_words"], row["n_base"]) == (6, 0)
