@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from meetledger.llm.common import bitmap_of, in_bitmap, narrow, small_batches, store
 from meetledger.llm.components import components
+from meetledger.llm.word_hashes import mix, numbers_of
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4  # of the union
@@ -51,32 +52,6 @@ _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB866
 _KEYS = np.array([(k * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64) | 1 for k in range(1, LEADER_KEYS + 1)], np.uint64)
 
 
-class _Words(dict):
-    """64-bit numbers of words, remembered up to a bound."""
-
-    MOST = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > self.MOST:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_numbers(text: str | None, known: _Words) -> np.ndarray:
-    """The words of a text, A to Z lowered and cut at ASCII white space, as numbers."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
 def shingles(numbers: np.ndarray) -> np.ndarray:
     """One number for each run of five words; one for all words where they are fewer."""
     if len(numbers) == 0:
@@ -84,8 +59,8 @@ def shingles(numbers: np.ndarray) -> np.ndarray:
     width = min(WORDS, len(numbers))
     total = np.full(len(numbers) - width + 1, width, np.uint64)
     for k in range(width):
-        total += _mix(numbers[k : len(numbers) - width + 1 + k] + np.uint64(k)) * np.uint64(_ODD[k])
-    return _mix(total)
+        total += mix(numbers[k : len(numbers) - width + 1 + k] + np.uint64(k)) * np.uint64(_ODD[k])
+    return mix(total)
 
 
 def _prefix(n: int) -> int:
@@ -97,10 +72,10 @@ def _rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
     bits = int(np.clip(math.ceil(math.log2(max(docs.count(), 1))) + 2, *WORD_BITS))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, seen = _Words(), np.zeros(1 << bits, np.int64)
+        seen = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                seen[np.unique(word_numbers(text, known) >> np.uint64(64 - bits)).astype(np.int64)] += 1
+            for numbers in numbers_of(batch["text"]):
+                seen[np.unique(numbers >> np.uint64(64 - bits)).astype(np.int64)] += 1
         at = np.flatnonzero(seen)
         for start in range(0, len(at), 50_000):
             some = at[start : start + 50_000]
@@ -131,11 +106,9 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         levels, bits = shared.value
-        known = _Words()
         for batch in batches:
             n, a, b, keys, first = [], [], [], [], []
-            for text in batch["text"]:
-                numbers = word_numbers(text, known)
+            for numbers in numbers_of(batch["text"]):
                 every = shingles(numbers)
                 level = levels[(numbers >> np.uint64(64 - bits)).astype(np.int64)]
                 width = min(WORDS, len(numbers))
@@ -145,8 +118,8 @@ def _sets(docs: DataFrame) -> DataFrame:
                 tokens, at = np.unique(every, return_index=True)
                 n.append(len(tokens))
                 with np.errstate(over="ignore"):
-                    a.append(np.add.reduce(_mix(tokens ^ np.uint64(1))).astype(np.uint64).view(np.int64))
-                    b.append(np.add.reduce(_mix(tokens ^ np.uint64(2))).astype(np.uint64).view(np.int64))
+                    a.append(np.add.reduce(mix(tokens ^ np.uint64(1))).astype(np.uint64).view(np.int64))
+                    b.append(np.add.reduce(mix(tokens ^ np.uint64(2))).astype(np.uint64).view(np.int64))
                     keys.append((tokens[None, :] * _KEYS[:, None]).min(axis=1).view(np.int64).tolist() if len(tokens) else [])
                 # By rarity, then by hash: a stable sort of what is sorted by hash.
                 order = np.argsort(rarest[at], kind="stable")[: _prefix(len(tokens))]
@@ -171,14 +144,13 @@ def _named_sets(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap, bits = shared.value
-        known = _Words()
         for batch in batches:
             batch = batch[in_bitmap(batch["hash"].to_numpy(np.int64), bitmap, bits)]
             sets, a = [], []
-            for text in batch["text"]:
-                tokens = np.unique(shingles(word_numbers(text, known)))
+            for numbers in numbers_of(batch["text"]):
+                tokens = np.unique(shingles(numbers))
                 with np.errstate(over="ignore"):
-                    a.append(np.add.reduce(_mix(tokens ^ np.uint64(1))).astype(np.uint64).view(np.int64))
+                    a.append(np.add.reduce(mix(tokens ^ np.uint64(1))).astype(np.uint64).view(np.int64))
                 sets.append(_pack(tokens >> np.uint64(64 - 8 * TOKEN_BYTES)))
             yield pd.DataFrame({"id": batch["doc_id"].to_numpy(), "a": np.array(a, np.int64), "tokens": sets})
 
