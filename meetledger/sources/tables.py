@@ -4,16 +4,29 @@ Every commit writes its tables under ``<table>/commit=<n>``; readers see only co
 listed in a small manifest file, which is replaced in one rename. A commit that failed
 half way is not listed, and the next attempt overwrites its folders. A commit may name
 the stream and batch it stands for, so that a batch delivered again is recognised.
+
+A table may be laid out in buckets by the hash of a key. Rows of given keys are then found
+by reading the buckets of these keys alone; see :meth:`TableStore.lookup`.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MANIFEST = "_manifest.json"
+BUCKETS = 64
+# so many keys at most are looked up by value, which lets Bloom filters of the files decide
+LITERAL_KEYS = 500
+_BUCKET = "_bucket"
+
+
+def bucket_of(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
 class Commit:
@@ -26,21 +39,33 @@ class Commit:
         if source is not None:
             self._manifest["batches"] = {**manifest["batches"], source: batch}
 
-    def append(self, table: str, frame: DataFrame) -> DataFrame:
-        """Write the rows and return them as stored."""
-        return self._write(table, frame, keep=True)
+    def append(self, table: str, frame: DataFrame, bucket_by: Sequence[str] = ()) -> DataFrame:
+        """Write the rows and return them as stored.
+
+        ``bucket_by`` names the key of a table when it is first written; later writes keep to it.
+        """
+        return self._write(table, frame, keep=True, bucket_by=bucket_by)
 
     def replace(self, table: str, frame: DataFrame) -> DataFrame:
         """Write the rows in place of what the table holds."""
         return self._write(table, frame, keep=False)
 
-    def _write(self, table: str, frame: DataFrame, keep: bool) -> DataFrame:
+    def _write(self, table: str, frame: DataFrame, keep: bool, bucket_by: Sequence[str] = ()) -> DataFrame:
         folder = self.store.folder(table, self.number)
-        frame.write.mode("overwrite").parquet(folder)
         entry = self._manifest["tables"].get(table)
+        layout = entry.get("layout") if entry else None
+        if layout is None and bucket_by:
+            layout = {"keys": list(bucket_by), "buckets": self.store.buckets}
+        if layout:
+            dealt = frame.withColumn(_BUCKET, bucket_of(layout["keys"], layout["buckets"])).repartition(_BUCKET)
+            # the filter of a file tells of most keys that they are not in it
+            blooms = {f"parquet.bloom.filter.enabled#{k}": "true" for k in layout["keys"]}
+            dealt.write.mode("overwrite").options(**blooms).partitionBy(_BUCKET).parquet(folder)
+        else:
+            frame.write.mode("overwrite").parquet(folder)
         before = entry["commits"] if entry and keep else []
-        self._manifest["tables"][table] = {"commits": [*before, self.number], "schema": json.loads(frame.schema.json())}
-        return self.store.spark.read.schema(frame.schema).parquet(folder)
+        self._manifest["tables"][table] = {"commits": [*before, self.number], "schema": json.loads(frame.schema.json()), "layout": layout}
+        return self.store.spark.read.schema(frame.schema).option("recursiveFileLookup", "true").parquet(folder)
 
     def publish(self) -> int:
         self.store.swap_manifest(self._manifest)
@@ -48,9 +73,10 @@ class Commit:
 
 
 class TableStore:
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
 
     # --- manifest: last commit, last batch by stream, and commits and schema by table ---
 
@@ -100,7 +126,31 @@ class TableStore:
         if entry is None:
             return None
         schema = T.StructType.fromJson(entry["schema"])
-        return self.spark.read.schema(schema).parquet(*[self.folder(table, n) for n in entry["commits"]])
+        folders = [self.folder(table, n) for n in entry["commits"]]
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*folders)
+
+    def lookup(self, table: str, keys: DataFrame) -> DataFrame | None:
+        """The rows of a bucketed table whose key is among ``keys``, read from their buckets alone.
+
+        A few keys are passed by value, so that the scan names its buckets and the Bloom
+        filters of the files are asked; more keys are joined, and Spark prunes the buckets
+        at run time by those of the keys.
+        """
+        entry = self.manifest()["tables"].get(table)
+        if entry is None:
+            return None
+        names, buckets = entry["layout"]["keys"], entry["layout"]["buckets"]
+        schema = T.StructType([*T.StructType.fromJson(entry["schema"]).fields, T.StructField(_BUCKET, T.IntegerType())])
+        folders = [self.folder(table, n) for n in entry["commits"]]
+        # below the folder of the table both commit and bucket are partitions
+        stored = self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*folders).drop("commit")
+        wanted = keys.select(*names, bucket_of(names, buckets).alias(_BUCKET)).distinct()
+        few = wanted.limit(LITERAL_KEYS + 1).collect() if len(names) == 1 else []
+        if len(names) == 1 and len(few) <= LITERAL_KEYS:
+            self.spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(LITERAL_KEYS))
+            hit = F.col(_BUCKET).isin(sorted({r[_BUCKET] for r in few})) & F.col(names[0]).isin([r[0] for r in few])
+            return stored.filter(hit).drop(_BUCKET)
+        return stored.join(wanted, [*names, _BUCKET], "left_semi").drop(_BUCKET)
 
     def begin(self, source: str | None = None, batch: int | None = None) -> Commit | None:
         """A new commit, or None when this batch of this stream is published already."""

@@ -1,6 +1,8 @@
 """Continuous ingest: every micro-batch adds to a table store.
 
-A batch is decoded, compared with the stored log, deduplicated and appended. Beside the
+A batch is decoded, compared with the stored rows that share a key, a content or an id with
+it, deduplicated and appended. Those rows, and the participants a batch names, are looked
+up in buckets, so a batch reads in proportion to itself and not to the history. Beside the
 log each batch appends its *partial folds*: what the batch alone says about
 participants, bookings, mails and so on. Reading merges the partials with the aggregate
 that made them, so a batch never rewrites a table, and the result is the same for any
@@ -19,6 +21,8 @@ from meetledger.operators import classify, dedup, entities, extract, projections
 from meetledger.operators.folds import Fold
 from meetledger.plans.registry import Context, Registry
 from meetledger.session import materialize, prepare
+from meetledger.sources.key_index import TABLE as CLAIMS
+from meetledger.sources.key_index import KeyIndex
 from meetledger.sources.messages import decode_messages, rejected_messages, valid_envelopes
 from meetledger.sources.tables import Commit, TableStore
 
@@ -31,9 +35,6 @@ FOLDS: dict[str, Callable[[], Fold]] = {
     "telegram_notifications": projections.telegram_fold,
 }
 
-# what the duplicate rules need of a stored row
-_KEY_COLUMNS = ["event_id", "idempotency_key", *dedup.CONTENT_KEY, "received_at"]
-
 
 class StreamIngest:
     def __init__(
@@ -49,6 +50,7 @@ class StreamIngest:
         self.classifier, self.decoder = classifier, decoder
         self.spark = prepare(spark)
         self.store = TableStore(spark, root)
+        self.index = KeyIndex(self.store)
         self.secret = secret
         self.hash_mode = hash_mode
         self.compact_every = compact_every
@@ -86,26 +88,24 @@ class StreamIngest:
         return number
 
     def _append_log(self, commit: Commit, envelopes: DataFrame) -> DataFrame:
-        stored = self._stored_keys()
-        fresh = envelopes if stored is None else dedup.drop_stored(envelopes, stored)
-        taken = None
+        envelopes = materialize(envelopes, "envelopes")
+        stored = self.index.sharing(envelopes)
+        fresh, taken = envelopes, None
         if stored is not None:
+            stored = materialize(stored, "stored-keys")
             # rows whose id is stored claim no key; what the rules leave of them is rejected
-            fresh, taken = dedup.split_stored_ids(fresh, stored)
+            fresh, taken = dedup.split_stored_ids(dedup.drop_stored(envelopes, stored), stored)
         log, conflicts = dedup.accept(fresh, "all", materialize)
         if taken is not None:
             conflicts = conflicts.unionByName(dedup.unclaimed(taken, log))
         commit.append("event_id_conflicts", conflicts)
+        # a row that was rejected claims nothing
+        self.index.add(commit, log)
         return commit.append("events", log)
 
-    def _stored_keys(self) -> DataFrame | None:
-        """Keys and ids of all stored rows; a row that was rejected claims none."""
-        events = self.store.read("events")
-        return None if events is None else events.select(*_KEY_COLUMNS)
-
     def _append_tables(self, commit: Commit, facts: DataFrame) -> None:
         partial = entities.participant_fold().partial(entities.participant_rows(facts))
-        partial = commit.append("participants", partial)
+        partial = commit.append("participants", partial, bucket_by=["email"])
         people = self._people(facts, partial)
         commit.append("bookings", entities.booking_fold().partial(facts))
         commit.append("meeting_links", projections.meeting_fold().partial(projections.meeting_rows(facts)))
@@ -119,11 +119,9 @@ class StreamIngest:
     def _people(self, facts: DataFrame, partial: DataFrame) -> DataFrame:
         """Participants whose e-mail occurs in this batch, with all that is stored on them."""
         fold = entities.participant_fold()
-        stored = self.store.read("participants")
-        if stored is None:
-            return fold.result(partial)
-        wanted = facts.select(F.explode(F.array("recipient_email", "acting_email")).alias("email")).filter(F.col("email").isNotNull()).distinct()
-        return fold.result(fold.merge(stored.join(wanted, "email", "left_semi").unionByName(partial)))
+        wanted = facts.select(F.explode(F.array("recipient_email", "acting_email")).alias("email")).filter(F.col("email").isNotNull())
+        stored = self.store.lookup("participants", wanted)
+        return fold.result(partial if stored is None else fold.merge(stored.unionByName(partial)))
 
     # --- reading ---
 
@@ -153,10 +151,13 @@ class StreamIngest:
     # --- upkeep ---
 
     def compact(self) -> int:
-        """Merge the partials of every fold into one; results stay the same."""
+        """Merge the partials of every fold, and the files of each bucket, into one; results stay the same."""
         commit = self.store.begin()
         for name, fold in FOLDS.items():
             stored = self.store.read(name)
             if stored is not None:
                 commit.replace(name, fold().merge(stored))
+        stored = self.store.read(CLAIMS)
+        if stored is not None:
+            commit.replace(CLAIMS, stored)
         return commit.publish()
