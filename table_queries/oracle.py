@@ -467,3 +467,8 @@ sql("stream_log", f"""{_DECODED}, valid AS (
     md5(CASE WHEN damage = 7 THEN '{{}}' ELSE body END) AS payload_hash, idempotency_key FROM r WHERE reject_reason IS NULL),
 {DEDUP.replace('FROM ev', 'FROM valid')}
 SELECT * FROM log""")
+
+# streams end with the tables that the whole log gives at once
+ORACLE["stream_bookings"] = ORACLE["bookings_upsert"]
+ORACLE["stream_emails"] = ORACLE["email_notifications"]
+ORACLE["stream_participant_changes"] = ORACLE["participants_upsert"]

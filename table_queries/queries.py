@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meetledger import schemas as S
@@ -19,8 +19,11 @@ from meetledger.plans.registry import Projection, Registry
 from meetledger.schemas import MESSAGE_SCHEMA
 from meetledger.session import fresh_path, materialize
 from meetledger.sources import messages as M
+from meetledger.sources.key_index import KeyIndex
 from meetledger.sources.publish import outgoing_messages
-from meetledger.streaming.ingest import StreamIngest
+from meetledger.sources.tables import TableStore
+from meetledger.streaming.ingest import FOLDS, StreamIngest
+from meetledger.streaming.state import StateTable
 from table_queries.adapters import conversation_log, event_headers, event_log, iso, mail_log, order_log, plain, raw_events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,8 +203,12 @@ def dedup_incremental(spark, sf_dir):
     """DED6: events after a date against the log before it"""
     log = event_log(spark, sf_dir)
     border = F.lit("2024-01-16 00:00:00").cast("timestamp")
-    stored = dedup.deduplicate(log.filter(F.col("received_at") < border))
-    fresh = dedup.drop_stored(log.filter(F.col("received_at") >= border), stored)
+    late = log.filter(F.col("received_at") >= border)
+    index = KeyIndex(TableStore(spark, fresh_path(spark, "store")))
+    commit = index.store.begin()
+    index.add(commit, dedup.deduplicate(log.filter(F.col("received_at") < border)))
+    commit.publish()
+    fresh = dedup.drop_stored(late, index.sharing(late))
     return dedup.deduplicate(fresh).select(*ID, "idempotency_key", "received_at")
 
 
@@ -768,6 +775,60 @@ def stream_log(spark, sf_dir):
     return ingest.table("events").select(*ID, "occurred_at", "received_at", "payload_hash", "idempotency_key")
 
 
+def _messages(log: DataFrame) -> DataFrame:
+    """Envelopes as broker messages, each with its id as key."""
+    headers = {"ce-id": F.col("event_id"), "ce-type": F.col("event_type"), "ce-source": F.col("source"), "ce-time": iso("occurred_at")}
+    headers |= {"ce-booking_id": F.col("booking_id"), "ce-idempotencykey": F.col("event_id")}
+    names = F.array(*[F.lit(h) for h in headers])
+    return log.select(F.map_from_arrays(names, F.array(*headers.values())).alias("headers"), F.col("payload_json").alias("body"), "queue", "received_at")
+
+
+def _streamed(spark: SparkSession, log: DataFrame, withheld: Column, name: str, at_once: Column | None = None) -> StateTable:
+    """A table kept as state by streams, over three arrivals of the whole log.
+
+    The first half by id (and what comes ``at_once``) is first, then the other half with a
+    part of the first again; rows that are ``withheld`` come last of all, after rows that were
+    received later.
+    """
+    number, at_once = F.pmod(F.xxhash64("event_id"), F.lit(10)), F.lit(False) if at_once is None else at_once
+    first, second = ~withheld & (at_once | (number < 5)), ~withheld & ~at_once & (number >= 5)
+    arrivals = [first, second | (~withheld & (number == 2)), withheld | (number == 7)]
+    inbox, checkpoint, state_checkpoint = fresh_path(spark, "inbox"), fresh_path(spark, "stream"), fresh_path(spark, "state")
+    ingest = StreamIngest(spark, fresh_path(spark, "store"))
+    state = StateTable(spark, FOLDS[name](), ingest.store, name)
+    for part in arrivals:
+        _messages(log.filter(part)).write.mode("append").parquet(inbox)
+        ingest.start(M.stream_messages(spark, inbox), checkpoint, availableNow=True).awaitTermination()
+        state.start(state_checkpoint, availableNow=True).awaitTermination()
+    return state
+
+
+@query
+def stream_bookings(spark, sf_dir):
+    """STM1-5, PRJ9: bookings as stream state, with late and repeated messages"""
+    return _streamed(spark, order_log(spark, sf_dir, late=True), F.pmod(F.xxhash64("event_id"), F.lit(7)) == 3, "bookings").table()
+
+
+@query
+def stream_emails(spark, sf_dir):
+    """STM1-5, PRJ2: mails as stream state; statuses come late and twice
+
+    Sent mails come first, as they name the participants that a status is looked up among.
+    """
+    late = (F.col("event_type") == S.MAIL_STATUS) & (F.pmod(F.xxhash64("event_id"), F.lit(7)) == 3)
+    return _streamed(spark, mail_log(spark, sf_dir), late, "email_notifications", F.col("event_type") == S.EMAIL_SENT).table()
+
+
+@query
+def stream_participant_changes(spark, sf_dir):
+    """AGG2: the feed of changed participants, replayed"""
+    state = _streamed(spark, order_log(spark, sf_dir), F.pmod(F.xxhash64("event_id"), F.lit(7)) == 3, "participants")
+    fold = state.fold
+    changes = state.changes().groupBy("email").agg(F.max_by(F.struct(*fold.columns), "change").alias("last"))
+    replayed = fold.result(changes.select("email", *[F.col(f"last.{n}").alias(n) for n in fold.columns]))
+    return replayed.select("email", "role", "time_zone", F.col("first_seq")["event_id"].alias("first_event_id"))
+
+
 @query
 def pipeline_counts(spark, sf_dir):
     """PIPE, PRJ11: rows of every table of one run"""
