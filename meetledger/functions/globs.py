@@ -49,6 +49,17 @@ def glob_regex(pattern: str) -> str:
     return r"(?s)\A" + "".join(out) + r"\z"
 
 
+def literal_runs(pattern: str) -> list[str]:
+    """The stretches of plain characters that every match of the pattern holds."""
+    runs, run = [], ""
+    for token in _TOKEN.findall(pattern):
+        if len(token) == 1 and token not in "*?":
+            run += token
+        else:
+            runs, run = [*runs, run], ""
+    return [r for r in [*runs, run] if r]
+
+
 def glob_match(value: Column, pattern: str) -> Column | None:
     """Predicate for ``value`` matching ``pattern``; None when everything matches.
 

@@ -60,16 +60,34 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str
 
 
 def orphan_report(tables: Mapping[str, DataFrame], references: list[Reference] = REFERENCES) -> DataFrame:
-    """Missing values and rows per reference between the given tables."""
-    parts = [
-        orphans(tables[r.child], r.column, tables[r.parent], r.parent_column).select(
-            F.lit(r.child).alias("child"),
-            F.lit(r.column).alias("column"),
-            F.lit(r.parent).alias("parent"),
-            F.col("missing").cast("string").alias("missing"),
-            "rows",
-        )
-        for r in references
-        if r.child in tables and r.parent in tables
+    """Missing values and rows per reference between the given tables, in one pass.
+
+    Every reference turns into rows of (parent column, value, which reference), every parent
+    into rows of (parent column, value, none); each table is scanned once for all its
+    references. One aggregation by parent column and value counts the rows of each
+    reference and tells whether a parent is there. Counts are made before the shuffle, so
+    a value that many rows hold moves as one row per task.
+    """
+    checked = [r for r in references if r.child in tables and r.parent in tables]
+    entries = {}
+    for number, r in enumerate(checked):
+        domain = f"{r.parent}.{r.parent_column}"
+        entries.setdefault(r.child, []).append((domain, r.column, number))
+        if (domain, r.parent_column, None) not in entries.setdefault(r.parent, []):
+            entries[r.parent].append((domain, r.parent_column, None))
+
+    def rows_of(table: str) -> DataFrame:
+        each = [
+            F.struct(F.lit(domain).alias("domain"), F.col(column).cast("string").alias("value"), F.lit(number).cast("int").alias("reference"))
+            for domain, column, number in entries[table]
+        ]
+        return tables[table].select(F.inline(F.array(*each))).filter(F.col("value").isNotNull())
+
+    every = reduce(DataFrame.union, [rows_of(table) for table in entries])
+    counts = [F.count(F.when(F.col("reference") == n, True)).alias(f"r{n}") for n in range(len(checked))]
+    values = every.groupBy("domain", "value").agg(F.count(F.when(F.col("reference").isNull(), True)).alias("parents"), *counts)
+    named = [
+        F.struct(F.lit(r.child).alias("child"), F.lit(r.column).alias("column"), F.lit(r.parent).alias("parent"), F.col("value").alias("missing"), F.col(f"r{n}").alias("rows"))
+        for n, r in enumerate(checked)
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return values.filter("parents = 0").select(F.inline(F.array(*named))).filter("rows > 0")

@@ -150,9 +150,9 @@ SELECT queue, count(*) AS received, count(reject_reason) AS rejected, count(reje
 sql("queue_messages", f"WITH {EV} SELECT queue, count(*) AS messages FROM ev WHERE queue IN ('events.chat', 'events.mail') GROUP BY queue")
 sql("publish_messages", f"""WITH {EV}
 SELECT queue AS routing_key, event_id AS ce_id, event_type AS ce_type, source AS ce_source,
-  strftime(occurred_at, '%Y-%m-%dT%H:%M:%S.%f') AS ce_time, booking_id AS ce_booking_id,
+  strftime(occurred_at, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS ce_time, booking_id AS ce_booking_id,
   6 + CASE WHEN booking_id IS NULL THEN 0 ELSE 1 END + CASE WHEN idempotency_key IS NULL THEN 0 ELSE 1 END AS header_count,
-  payload_hash AS body, 'application/json' AS content_type, event_type AS message_type FROM ev""")
+  props AS body, 'application/json' AS content_type, event_type AS message_type FROM ev""")
 
 # --- routing and classification ------------------------------------------------------
 
@@ -472,3 +472,14 @@ SELECT * FROM log""")
 ORACLE["stream_bookings"] = ORACLE["bookings_upsert"]
 ORACLE["stream_emails"] = ORACLE["email_notifications"]
 ORACLE["stream_participant_changes"] = ORACLE["participants_upsert"]
+
+_EARLY = "received_at < TIMESTAMP '2024-01-16 00:00:00'"
+_PARENTS = {
+    ("booking_id", "bookings"): f"SELECT booking_id FROM fx WHERE {_EARLY}",
+    ("participant", "participants"): f"SELECT email FROM mentions WHERE {_EARLY}",
+    ("raw_event_id", "events"): f"SELECT event_id FROM log WHERE {_EARLY}",
+}
+sql("pipeline_orphans", f"{FACTS}, {_CHAT} SELECT child, \"column\", parent, missing, count(*) AS rows FROM (" + " UNION ALL ".join(
+    f"SELECT '{child}_events' AS child, '{column}' AS \"column\", '{parent}' AS parent, {column} AS missing FROM {child} "
+    f"WHERE {column} IS NOT NULL AND {column} NOT IN ({known})"
+    for child in ("chat", "video") for (column, parent), known in _PARENTS.items()) + ") GROUP BY ALL")

@@ -84,14 +84,14 @@ def queue_messages(spark, sf_dir):
 @query
 def publish_messages(spark, sf_dir):
     """SNK2"""
-    out = outgoing_messages(event_log(spark, sf_dir).drop("payload_json").withColumn("payload_json", F.col("payload_hash")))
+    out = outgoing_messages(raw_events(spark, sf_dir).withColumn("payload_json", F.col("props")))
     header = lambda name: F.try_element_at("headers", F.lit(name))
     return out.select(
         "routing_key",
         header("ce-id").alias("ce_id"),
         header("ce-type").alias("ce_type"),
         header("ce-source").alias("ce_source"),
-        F.left(header("ce-time"), F.lit(26)).alias("ce_time"),
+        header("ce-time").alias("ce_time"),
         header("ce-booking_id").alias("ce_booking_id"),
         F.size("headers").alias("header_count"),
         "body",
@@ -628,6 +628,23 @@ def orphans(spark, sf_dir):
     return integrity.orphan_report(tables, references)
 
 
+@query
+def pipeline_orphans(spark, sf_dir):
+    """REF1: what the chat and video tables of a whole log refer to and a log cut half way would lack"""
+    log = _stored(spark, sf_dir)
+    facts, border = _facts_of(log), F.lit("2024-01-16 00:00:00").cast("timestamp")
+    early = facts.filter(F.col("received_at") < border)
+    people = entities.participants(facts)
+    tables = {
+        "events": log.filter(F.col("received_at") < border),
+        "bookings": entities.bookings(early),
+        "participants": entities.participants(early),
+        "chat_events": P.chat_events(facts, people),
+        "video_events": P.video_events(facts),
+    }
+    return integrity.orphan_report(tables)
+
+
 @query
 def event_metrics(spark, sf_dir):
     """DOC7"""
