@@ -47,7 +47,8 @@ LEADER_KEYS = 8
 WORD_BITS = (16, 22)
 ID_BITS = (20, 25)
 TOKEN_BYTES = 6
-FOLLOWERS = 256
+FOLLOWERS = 256  # of a leader, in a chunk
+MEETINGS = 64  # classes that meet one copy of a chunk
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 _KEYS = np.array([(k * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64) | 1 for k in range(1, LEADER_KEYS + 1)], np.uint64)
 
@@ -278,6 +279,29 @@ def _head_pairs(entries: DataFrame, docs: DataFrame, classes: DataFrame) -> Data
     return store(known.select(F.col("x").alias("x_head"), F.col("y").alias("y_head"), "overlap"), "open-leaders")
 
 
+_CHUNK = "n array<long>, component array<long>, own binary, own_n array<long>, lost binary, lost_n array<long>"
+
+
+def _pack_followers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A chunk of followers as flat columns: what each has of its own and what it lost, end to end."""
+    for batch in batches:
+        flat = []
+        for followers in batch["followers"]:
+            sides = {s: [f[s] or b"" for f in followers] for s in ("own", "lost")}
+            counts = [[len(tokens) // TOKEN_BYTES for tokens in sides[s]] for s in ("own", "lost")]
+            numbers = [[f[c] for f in followers] for c in ("n", "component")]
+            flat.append((*numbers, b"".join(sides["own"]), counts[0], b"".join(sides["lost"]), counts[1]))
+        columns = ["n", "component", "own", "own_n", "lost", "lost_n"]
+        yield pd.concat([batch[["head", "chunk"]].reset_index(drop=True), pd.DataFrame(flat, columns=columns)], axis=1)
+
+
+def _shared(x: np.ndarray, tokens: bytes, counts: np.ndarray) -> np.ndarray:
+    """How many tokens of each follower, ``counts`` of them in a row, are in the set ``x``."""
+    hits = np.concatenate([[0], np.cumsum(np.isin(_unpack(tokens), x))])
+    ends = np.cumsum(counts)
+    return hits[ends] - hits[ends - counts]
+
+
 def _links_between(entries: DataFrame, heads: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (as pairs of components) between the followers of open pairs of leaders.
 
@@ -317,27 +341,30 @@ def _links_between(entries: DataFrame, heads: DataFrame, docs: DataFrame, classe
     pair = followed.join(_as(sets, "class"), "class").join(_as(sets, "head"), "head")
     pair = pair.select("head", "class", "n", "component", "size", "class_tokens", "head_tokens")
     differing = pair.mapInPandas(differ, "head long, class long, n long, component long, size long, own binary, lost binary")
-    bucket = F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / FOLLOWERS))
+    chunks = F.ceil(F.col("size") / FOLLOWERS)
     one = F.struct("class", "n", "component", "own", "lost")
-    chunks = store(differing.groupBy("head", bucket.alias("chunk")).agg(F.collect_list(one).alias("followers")), "follower-chunks")
+    chunked = differing.groupBy("head", F.pmod(F.xxhash64("class"), chunks).alias("chunk")).agg(F.collect_list(one).alias("followers"))
+    packed = store(chunked.mapInPandas(_pack_followers, f"head long, chunk long, {_CHUNK}"), "follower-chunks")
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
                 x, near = _unpack(row.x_tokens), _common(row.x_tokens, row.head_tokens)
-                for f in row.followers:
-                    if f["component"] == row.x_component:
-                        continue
-                    gained = np.isin(_unpack(f["own"]), x, assume_unique=True).sum() if f["own"] else 0
-                    missed = np.isin(_unpack(f["lost"]), x, assume_unique=True).sum() if f["lost"] else 0
-                    both = int(near + gained - missed)
-                    if DENOMINATOR * both >= NUMERATOR * (row.x_n + f["n"] - both):
-                        out.append((row.x_component, f["component"]))
+                both = near + _shared(x, row.own, row.own_n) - _shared(x, row.lost, row.lost_n)
+                reached = DENOMINATOR * both >= NUMERATOR * (row.x_n + row.n - both)
+                out += [(row.x_component, c) for c in np.unique(row.component[reached]).tolist() if c != row.x_component]
             yield pd.DataFrame(sorted(set(out)), columns=["x", "y"]).astype("int64")
 
-    met = single.join(_as(sets, "x"), "x").join(_as(sets, "head").drop("head_n"), "head").join(chunks, "head")
-    met = met.select("x_component", "x_n", "x_tokens", "head_tokens", "followers")
+    # A chunk that many classes meet is copied for every so many of them, so that no task gets them all.
+    meeting = store(single.groupBy("head").agg(F.ceil(F.count("*") / MEETINGS).alias("copies")), "meetings")
+    counted = meeting.join(size.select("head", chunks.alias("chunks")), "head")
+    part = F.pmod(F.xxhash64("x"), F.col("copies"))
+    asking = single.join(counted, "head").select("x", "x_component", "head", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    asked = packed.join(meeting, "head").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    asked = asked.join(_as(sets, "head").drop("head_n"), "head").drop("copies")
+    met = asking.join(_as(sets, "x"), "x").join(asked, ["head", "chunk", "part"])
+    met = met.select("x_component", "x_n", "x_tokens", "head_tokens", "n", "component", "own", "own_n", "lost", "lost_n")
     return store(met.mapInPandas(answer, "x long, y long"), "links-between")
 
 
