@@ -58,11 +58,9 @@ def stored(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     def read(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
         key = (spark.sparkContext.applicationId, work_dir(prepare(spark)), sf_dir, f"{build.__name__}{sorted(options.items())}")
         if key not in _STORED:
-            log, cores = build(spark, sf_dir, **options), spark.sparkContext.defaultParallelism
-            # a small table comes as one file with one row group, which is one task for
-            # every reader; a log of any size comes as many files
-            log = log.repartition(cores) if log.rdd.getNumPartitions() < cores else log
-            _STORED[key] = materialize(log, build.__name__)
+            log = build(spark, sf_dir, **options)
+            # spread by the id, which comes first; Spark settles the number of files by size
+            _STORED[key] = materialize(log.repartition(log.columns[0]), build.__name__)
         return _STORED[key]
 
     return read
