@@ -24,11 +24,21 @@ BUCKETS = 64
 LITERAL_KEYS = 500
 _BUCKET = "_bucket"
 
-
 def bucket_of(keys: Sequence[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
+def bloom_filters(keys: Sequence[str]) -> dict[str, str]:
+    """Write options: a filter tells of most keys that a file does not hold them.
+
+    Its size, one of ten from 2 kB to 1 MB, follows the number of keys in the file.
+    """
+    options = {"parquet.bloom.filter.adaptive.enabled": "true"}
+    for key in keys:
+        options |= {f"parquet.bloom.filter.enabled#{key}": "true", f"parquet.bloom.filter.candidates.number#{key}": "10"}
+    return options
+
+
 class Commit:
     """Tables written together; nothing is visible before :meth:`publish`."""
 
@@ -58,9 +68,7 @@ class Commit:
             layout = {"keys": list(bucket_by), "buckets": self.store.buckets}
         if layout:
             dealt = frame.withColumn(_BUCKET, bucket_of(layout["keys"], layout["buckets"])).repartition(_BUCKET)
-            # the filter of a file tells of most keys that they are not in it
-            blooms = {f"parquet.bloom.filter.enabled#{k}": "true" for k in layout["keys"]}
-            dealt.write.mode("overwrite").options(**blooms).partitionBy(_BUCKET).parquet(folder)
+            dealt.write.mode("overwrite").options(**bloom_filters(layout["keys"])).partitionBy(_BUCKET).parquet(folder)
         else:
             frame.write.mode("overwrite").parquet(folder)
         before = entry["commits"] if entry and keep else []

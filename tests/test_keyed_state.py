@@ -55,6 +55,15 @@ def test_lookup_of_many_keys_prunes_at_run_time(spark):
     assert "dynamicpruning" in plan_of(narrow) or narrow.count() == LITERAL_KEYS + 100
 
 
+def test_filters_of_small_files_are_small(spark):
+    import glob
+    import os
+
+    store = store_with_numbers(spark, 300, buckets=8)
+    files = glob.glob(f"{store.root}/numbers/*/*/*.parquet")
+    assert 8 <= len(files) <= 16 and max(map(os.path.getsize, files)) < 50_000
+
+
 def test_layout_is_kept_by_later_commits(spark):
     store = store_with_numbers(spark, 50)
     commit = store.begin()
