@@ -19,9 +19,67 @@ def canonical_json(json_text: Column) -> Column:
     return F.coalesce(F.to_json(F.try_parse_json(json_text)), json_text)
 
 
+# a string literal, a number, or a run of other characters between blanks
+_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?\d[\d.eE+-]*+|[^\s"\d-]++'
+# inside a literal: a coded unit, an escape, a plain run, or one other character
+_PIECE = r"(?s)\\u[0-9a-fA-F]{4}|\\.|[ -.0-\[\]-\x7F]++|."
+# fixed values: characters that are written with an escape of their own
+_ESCAPES = {8: r"\b", 9: r"\t", 10: r"\n", 12: r"\f", 13: r"\r", 34: r"\"", 47: r"\/", 92: r"\\"}
+
+
+def _coded(char: Column) -> Column:
+    """A character as its UTF-16 units in hexadecimal."""
+    return F.regexp_replace(F.lower(F.hex(F.encode(char, "UTF-16BE"))), "(.{4})", r"\\u$1")
+
+
+def _live_piece(piece: Column) -> Column:
+    unit = F.conv(F.substring(piece, 3, 4), 16, 10).cast("int")
+    table = F.create_map(*[F.lit(x) for pair in _ESCAPES.items() for x in pair])
+    decoded = F.when(unit >= 128, F.lower(piece)).otherwise(
+        F.coalesce(F.try_element_at(table, unit), F.when(unit < 32, F.lower(piece)), F.char(unit))
+    )
+    return (
+        F.when(piece.rlike(r"\A\\u[0-9a-fA-F]{4}\z"), decoded)
+        .when(piece == "/", F.lit(r"\/"))
+        .when(piece.rlike(r"\A[\x20-\x7F]"), piece)
+        .otherwise(F.coalesce(F.try_element_at(table, F.ascii(piece)), _coded(piece)))
+    )
+
+
+def _live_number(number: Column) -> Column:
+    value = number.try_cast("double")
+    shown = value.cast("string")
+    exponent = F.regexp_extract(shown, r"E(-?\d+)\z", 1)
+    plain = F.regexp_replace(shown.try_cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+\z", "$1")
+    power = F.concat(
+        F.regexp_replace(shown, r"(\.0)?E.*\z", ""), F.lit("e"), F.when(exponent.startswith("-"), "").otherwise("+"), exponent
+    )
+    real = F.when(exponent == "", shown).when(exponent.cast("int").between(-4, 15), plain).otherwise(power)
+    return F.when(~number.rlike("[.eE]"), F.when(number == "-0", "0").otherwise(number)).otherwise(
+        F.when(F.abs(value) < float("inf"), real).otherwise(number)
+    )
+
+
+def live_json(json_text: Column) -> Column:
+    """The JSON text as the live service writes it again after reading: keys in their order, no blanks.
+
+    Characters beyond ASCII become ``\\u`` units in small letters, ``/`` becomes ``\\/``, coded
+    ASCII becomes plain, and reals take their shortest form (``1.50`` is ``1.5``, ``15e-1``
+    too; powers from 16 and below -4). Whole numbers stay as they are. NULL stays NULL, a
+    text that is no JSON only loses its blanks. A key that an object repeats stays twice.
+    """
+    token = lambda t: (
+        F.when(t.rlike(r'\A"[ -.0-\[\]-\x7F]*+"\z'), t)
+        .when(t.startswith('"'), F.array_join(F.transform(F.regexp_extract_all(t, F.lit(_PIECE), 0), _live_piece), ""))
+        .when(t.rlike(r"\A-?\d"), _live_number(t))
+        .otherwise(t)
+    )
+    return F.array_join(F.transform(F.regexp_extract_all(json_text, F.lit(_TOKEN), 0), token), "")
+
+
 def payload_hash(json_text: Column, mode: str = "text") -> Column:
-    """md5 of the payload: of its text, its compact form or its canonical form."""
-    forms = {"text": lambda c: c, "compact": compact_json, "canonical": canonical_json}
+    """md5 of the payload: of its text, or of its live, compact or canonical form."""
+    forms = {"text": lambda c: c, "live": live_json, "compact": compact_json, "canonical": canonical_json}
     return F.md5(forms[mode](json_text))
 
 

@@ -84,7 +84,7 @@ def run(
     return Result(tables, rejects)
 
 
-def run_messages(messages: DataFrame, hash_mode: str = "text", unwrap_original: bool = False, **options) -> Result:
+def run_messages(messages: DataFrame, hash_mode: str = "live", unwrap_original: bool = False, **options) -> Result:
     """The same from raw messages; unreadable ones end up among the rejects."""
     decoded = decode_messages(messages, hash_mode, unwrap_original)
     result = run(valid_envelopes(decoded), **options)

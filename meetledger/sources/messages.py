@@ -14,8 +14,8 @@ from meetledger.functions.hashing import payload_hash
 from meetledger.functions.times import event_time
 from meetledger.schemas import ENVELOPE_COLUMNS, HEADER_COLUMNS, MESSAGE_SCHEMA
 
-# JSON values that count as "no payload"
-_EMPTY_BODIES = ("", "null", "[]", "{}", "0", "false", '""')
+# JSON values that count as "no payload", however they are written
+_EMPTY_BODY = r'\A\s*(null|false|""|\[\s*\]|\{\s*\}|-?0(\.0+)?([eE][-+]?\d+)?)?\s*\z'
 
 
 def read_messages(spark: SparkSession, path: str, fmt: str = "parquet", queues: list[str] | None = None) -> DataFrame:
@@ -70,11 +70,10 @@ def select_queues(messages: DataFrame, queues: list[str] | None) -> DataFrame:
 
 def payload_or_empty(body: Column) -> Column:
     """The body text, or ``{}`` for a body that holds nothing."""
-    trimmed = F.trim(F.coalesce(body, F.lit("")))
-    return F.when(trimmed.isin(*_EMPTY_BODIES), F.lit("{}")).otherwise(body)
+    return F.when(F.coalesce(body, F.lit("")).rlike(_EMPTY_BODY), F.lit("{}")).otherwise(body)
 
 
-def decode_messages(messages: DataFrame, hash_mode: str = "text", unwrap_original: bool = False) -> DataFrame:
+def decode_messages(messages: DataFrame, hash_mode: str = "live", unwrap_original: bool = False) -> DataFrame:
     """Envelope columns plus ``reject_reason``, NULL for a message that can be read."""
     header = {name: F.try_element_at("headers", F.lit(key)) for key, name in HEADER_COLUMNS.items()}
     body = payload_or_empty(F.col("body"))

@@ -42,7 +42,7 @@ class StreamIngest:
         spark: SparkSession,
         root: str,
         secret: str | None = None,
-        hash_mode: str = "text",
+        hash_mode: str = "live",
         compact_every: int | None = None,
         classifier: extract.Classifier = classify.action,
         decoder: Callable[[Column], Column] | None = None,

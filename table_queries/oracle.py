@@ -441,6 +441,8 @@ FROM (SELECT *, event_type LIKE 'booking.%' OR event_type LIKE '%.booking.%' AS
 
 sql("payload_hashes", """SELECT doc_id, md5(text) AS text_hash, true AS compact_equal,
   md5('{"lang":"' || lang || '","source":"' || source || '"}') AS canonical_hash FROM documents""")
+sql("live_hashes", f"""WITH {EV} SELECT event_id, md5(CASE WHEN n % 5 < 3 THEN '{{"k":' || k || ',"url":"https:\\/\\/x.org\\/' || user_id
+  || '","name":"\\u00e9 ' || base || '","at":' || CAST(k / 4.0 AS DOUBLE) || '}}' ELSE '{{}}' END) AS payload_hash FROM ev""")
 sql("text_previews", "SELECT doc_id, left(text, 512) AS preview FROM documents")
 sql("user_id_decode", "SELECT c_custkey, c_name AS opened, true AS wrong_secret_keeps, c_mktsegment AS plain FROM customer")
 sql("iso_times", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN ts WHEN 1 THEN date_trunc('second', ts)

@@ -56,7 +56,7 @@ ID = ["event_id", "booking_id", "event_type", "source"]
 @query
 def decode_messages(spark, sf_dir):
     """SRC2, SRC5, TIM1, HSH1"""
-    decoded = M.valid_envelopes(M.decode_messages(event_headers(spark, sf_dir)))
+    decoded = M.valid_envelopes(M.decode_messages(event_headers(spark, sf_dir), hash_mode="text"))
     return decoded.select(*ID, "occurred_at", "received_at", "queue", "payload_json", "payload_hash", "idempotency_key", "trace_id", "span_id")
 
 
@@ -741,6 +741,25 @@ def payload_hashes(spark, sf_dir):
     )
 
 
+@query
+def live_hashes(spark, sf_dir):
+    """HSH1, SRC5: one payload written with blanks, escapes and other reals, or an empty body, has one hash"""
+    escape = lambda c: F.array_join(F.transform(F.split(c, ""), lambda x: F.concat(F.lit("\\u00"), F.hex(F.ascii(x)))), "")
+    n, k, user = F.col("n"), F.col("k"), F.col("user_id").cast("string")
+    part = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    body = (
+        F.when(n % 5 == 0, part('{"k":', k, ',"url":"https://x.org/', user, '","name":"é ', F.col("base"), '","at":', (k / 4).cast("string"), "}"))
+        .when(n % 5 == 1, part('{ "k" : ', k, ',\n "url": "https:\\/\\/x.org\\/', user, '", "name" :"\\u00E9 ', F.col("base"), '" , "at": ', k * 25, "e-2 }\t"))
+        .when(n % 5 == 2, part('{"\\u006b":', k, ',"url":"https:\\u002F/x.org/', user, '","name":"\\u00e9\\u0020', escape(F.col("base")), '","at":', (k / 4).cast("string"), "00}"))
+        .when(n % 5 == 3, part(" {", F.when(k % 2 == 0, " ").otherwise("\n"), "} "))
+        .otherwise(F.when(k % 2 == 0, " 0.0 ").otherwise("[ ]"))
+    )
+    headers = {"ce-id": F.col("event_id"), "ce-type": F.col("event_type"), "ce-source": F.col("source"), "ce-time": iso("occurred_at")}
+    pairs = [x for name, value in headers.items() for x in (F.lit(name), value)]
+    messages = raw_events(spark, sf_dir).select(F.create_map(*pairs).alias("headers"), body.alias("body"), "queue", "received_at")
+    return M.valid_envelopes(M.decode_messages(messages)).select("event_id", "payload_hash")
+
+
 @query
 def text_previews(spark, sf_dir):
     """STR2, EXT8: previews of whole documents through a JSON payload"""
@@ -784,7 +803,7 @@ def stream_log(spark, sf_dir):
     """SRC1, SNK1, SNK3, SNK4, STM1-5: the log built by a stream from two arrivals of messages"""
     messages = event_headers(spark, sf_dir).select(*MESSAGE_SCHEMA.fieldNames())
     inbox, checkpoint = fresh_path(spark, "inbox"), fresh_path(spark, "stream")
-    ingest = StreamIngest(spark, fresh_path(spark, "store"))
+    ingest = StreamIngest(spark, fresh_path(spark, "store"), hash_mode="text")
     early = F.col("received_at") < F.lit("2024-01-16 00:00:00").cast("timestamp")
     for part in (early, ~early):
         messages.filter(part).write.mode("append").parquet(inbox)
@@ -811,7 +830,7 @@ def _streamed(spark: SparkSession, log: DataFrame, withheld: Column, name: str,
     first, second = ~withheld & (at_once | (number < 5)), ~withheld & ~at_once & (number >= 5)
     arrivals = [first, second | (~withheld & (number == 2)), withheld | (number == 7)]
     inbox, checkpoint, state_checkpoint = fresh_path(spark, "inbox"), fresh_path(spark, "stream"), fresh_path(spark, "state")
-    ingest = StreamIngest(spark, fresh_path(spark, "store"))
+    ingest = StreamIngest(spark, fresh_path(spark, "store"), hash_mode="text")
     state = StateTable(spark, FOLDS[name](), ingest.store, name)
     for part in arrivals:
         _messages(log.filter(part)).write.mode("append").parquet(inbox)

@@ -3,6 +3,8 @@
 import fnmatch
 import hashlib
 import json
+import random
+import re
 from datetime import datetime, timezone
 
 import pytest
@@ -11,6 +13,7 @@ from meetledger.functions import hashing, times
 from meetledger.functions import json_fields as J
 from meetledger.functions.globs import glob_match
 from meetledger.operators import classify
+from meetledger.sources.messages import payload_or_empty
 from meetledger.operators.routing import DEFAULT_RULES, Rule, destination, destinations, effective_queues, route_by_table
 from pyspark.sql import functions as F
 
@@ -92,6 +95,52 @@ def test_payload_hash_forms(spark):
     assert column(spark, [long], hashing.compact_json) == [json.dumps({"t": 'é" ' * 50_000}, separators=(",", ":"))]
 
 
+def test_live_json_is_what_reading_and_writing_gives(spark):
+    rng = random.Random(11)
+    chars = ["a", " ", "/", '"', "\\", "\n", "\t", "\x01", "é", "漢", "😀", "u0041", "1.50", "{", ":"]
+    reals = [0.0, 1.5, -2.25, 1e-4, 1.25e-5, 123456.75, 1e7, 12345678.5, 9007199254740992.0, 1e16, 2.5e-300, -1e22]
+
+    def value(depth):
+        kind = rng.randrange(8 if depth else 5)
+        if kind == 0:
+            return "".join(rng.choice(chars) for _ in range(rng.randrange(9)))
+        if kind < 4:
+            return rng.choice([None, True, False, 0, -7, 2**70, *reals])
+        if kind == 4:
+            return rng.choice([[], {}])
+        if kind == 5:
+            return [value(depth - 1) for _ in range(rng.randrange(4))]
+        return {f"{rng.choice(chars)}{i}": value(depth - 1) for i in range(rng.randrange(4))}
+
+    def exponents(text):
+        # the service writes exponents without leading zeros
+        return re.sub(r"e([+-])0+(?=[1-9])", r"e\1", text)
+
+    def coded(text):
+        # every character of a literal as a coded unit, / and all
+        units = lambda s: "".join(f"\\u{s.encode('utf-16-be')[i]:02X}{s.encode('utf-16-be')[i + 1]:02x}" for i in range(0, len(s.encode("utf-16-be")), 2))
+        return '"' + units(text) + '"'
+
+    docs = [value(3) for _ in range(400)]
+    expected = [exponents(json.dumps(d, separators=(",", ":")).replace("/", "\\/")) for d in docs]
+    assert column(spark, [json.dumps(d) for d in docs], hashing.live_json) == expected
+    assert column(spark, [json.dumps(d, indent=2, ensure_ascii=False) for d in docs], hashing.live_json) == expected
+    texts = ["".join(rng.choice(chars) for _ in range(12)) for _ in range(50)]
+    assert column(spark, [coded(t) for t in texts], hashing.live_json) == [json.dumps(t).replace("/", "\\/") for t in texts]
+    assert column(spark, ["1.50", "15e-1", "1E2", "-0", "1e400", "", None, "not json"], hashing.live_json) == [
+        "1.5", "1.5", "100.0", "0", "1e400", "", None, "notjson",
+    ]
+    long = json.dumps({"t": 'é" /' * 30_000})
+    assert column(spark, [long], hashing.live_json) == [json.dumps({"t": 'é" /' * 30_000}, separators=(",", ":")).replace("/", "\\/")]
+
+
+def test_empty_bodies_however_written(spark):
+    empty = ["", " ", None, "null", "[ ]", "{\n}", " {} ", "0.0", "-0", "0e5", "false", '""']
+    full = ["[0]", '{"a":0}', "true", "1", '" "', "0.01", "x"]
+    assert column(spark, empty, payload_or_empty) == ["{}"] * len(empty)
+    assert column(spark, full, payload_or_empty) == full
+
+
 def test_idempotency_key_ignores_blanks_and_key_order(spark):
     keys = column(spark, ['{"a":1,"b":2}', '{ "b": 2, "a": 1 }', '{"a":1,"b":3}'], lambda c: hashing.idempotency_key(F.lit("t"), F.lit("b"), c))
     assert keys[0] == keys[1] != keys[2]
