@@ -416,6 +416,21 @@ sql("contract_violations", f"""WITH {EV} SELECT event_type, field, problem, coun
   UNION ALL SELECT event_type, '$.recipient_role', 'missing' FROM ev WHERE event_type IN ('{EMAIL}', '{TELEGRAM}')
   UNION ALL SELECT event_type, '$.trigger_event', 'missing' FROM ev WHERE event_type IN ('{EMAIL}', '{TELEGRAM}') AND k % 4 = 0
 ) GROUP BY ALL""")
+_MAIL, _TELEGRAM, _MOVED = "notification.email.message_sent", TELEGRAM, "booking.rescheduled"
+sql("contract_by_rules", f"""WITH {EV}
+SELECT event_id, '{_MAIL}' AS event_type, 'usual' AS shape, 'email' AS field, 'missing' AS problem FROM ev WHERE n % 6 = 0 AND k % 5 = 0
+UNION ALL SELECT event_id, '{_MAIL}', 'usual', 'recipient_role', 'not_allowed' FROM ev WHERE n % 6 = 0 AND k % 3 = 0
+UNION ALL SELECT event_id, '{EMAIL}', 'rejection', 'job_id', 'wrong_type' FROM ev WHERE n % 6 = 1
+UNION ALL SELECT event_id, '{EMAIL}', 'rejection', 'available_from', 'wrong_type' FROM ev WHERE n % 6 = 1 AND k % 4 = 0
+UNION ALL SELECT event_id, '{EMAIL}', 'rejection', 'has_active_booking', 'missing' FROM ev WHERE n % 6 = 1 AND k % 3 = 0
+UNION ALL SELECT event_id, '{EMAIL}', 'rejection', 'previous_meeting_dates', 'wrong_type' FROM ev WHERE n % 6 = 1 AND k % 5 = 0
+UNION ALL SELECT event_id, '{CREATED}', 'usual', 'end_time', 'wrong_type' FROM ev WHERE n % 6 = 2
+UNION ALL SELECT event_id, '{CREATED}', 'usual', 'user.time_zone', 'missing' FROM ev WHERE n % 6 = 2 AND k % 4 = 0
+UNION ALL SELECT event_id, '{CREATED}', 'usual', 'client.email', 'missing' FROM ev WHERE n % 6 = 2 AND k % 5 = 0
+UNION ALL SELECT event_id, '{CREATED}', 'usual', 'client.time_zone', 'missing' FROM ev WHERE n % 6 = 2 AND k % 20 IN (0, 4, 5, 8, 10, 12, 15, 16)
+UNION ALL SELECT event_id, '{_TELEGRAM}', 'usual', 'recipient_role', 'not_allowed' FROM ev WHERE n % 6 = 3 AND k % 2 = 0
+UNION ALL SELECT event_id, '{_MOVED}', 'usual', 'previous_booking.start_time', 'wrong_type' FROM ev WHERE n % 6 = 4 AND k % 3 <> 0
+UNION ALL SELECT event_id, 'chat.deleted', 'usual', 'booking_uid', 'missing' FROM ev WHERE n % 6 = 5 AND k % 4 = 0""")
 sql("idempotency_keys", f"""WITH {EV} SELECT event_id, sha256(event_type || ':' || CASE WHEN booking_id IS NULL THEN '' ELSE booking_id || ':' END
   || replace(props, ': ', ':')) AS "key" FROM ev""")
 sql("replay_window", f"""WITH {EV.replace('FROM e1)', "FROM e1 WHERE received_at >= TIMESTAMP '2024-01-10' AND received_at < TIMESTAMP '2024-01-20')")}, {DEDUP}, {FX}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meetledger import schemas as S
 from meetledger.functions import hashing, times
 from meetledger.functions import json_fields as J
-from meetledger.operators import classify, dedup, entities, extract, integrity, quality, readers
+from meetledger.operators import classify, contract, dedup, entities, extract, integrity, quality, readers
 from meetledger.operators import projections as P
 from meetledger.operators.routing import DEFAULT_RULES, Rule, destinations, effective_queues, route, route_by_table
 from meetledger.plans import normalize as N
@@ -663,6 +663,36 @@ def contract_violations(spark, sf_dir):
     return quality.contract_violations(event_log(spark, sf_dir)).groupBy("event_type", "field", "problem").agg(F.count("*").alias("events"))
 
 
+@query
+def contract_by_rules(spark, sf_dir):
+    """DOC5: whole payloads of six types, both shapes of a mail, against the table of rules"""
+    n, k = F.col("n"), F.col("k")
+    kinds = ["notification.email.message_sent", S.EMAIL_SENT, S.BOOKING_CREATED, S.TELEGRAM_SENT, "booking.rescheduled", "chat.deleted"]
+    at, unless = iso("received_at"), lambda part, value: F.when(k % part != 0, value)
+    booking = F.lit("b").alias("booking_uid")
+    person = F.struct(F.lit("a@x.org").alias("email"), unless(4, "UTC").alias("time_zone"))
+    payloads = [
+        F.struct(
+            booking, unless(5, "a@x.org").alias("email"), F.lit("X").alias("trigger_event"), F.lit(None).cast("string").alias("job_id"),
+            F.when(k % 3 == 0, "guest").otherwise("client").alias("recipient_role"),
+        ),
+        F.struct(
+            booking, F.lit("a@x.org").alias("client_email"), F.when(k % 4 == 0, "soon").otherwise(at).alias("available_from"),
+            unless(3, F.lit(True)).alias("has_active_booking"), F.lit(5).alias("job_id"), F.lit("BOOKING_REJECTED").alias("trigger_event"),
+            F.array(at, F.when(k % 5 == 0, "x").otherwise(at)).alias("previous_meeting_dates"), F.array().cast("array<string>").alias("rejection_reasons"),
+        ),
+        F.struct(booking, person.alias("user"), unless(5, person).alias("client"), at.alias("start_time"), F.lit("2026-02-30").alias("end_time")),
+        F.struct(booking, F.lit("a@x.org").alias("email"), F.lit("X").alias("trigger_event"), F.when(k % 2 == 0, "client").otherwise("organizer").alias("recipient_role")),
+        F.struct(booking, at.alias("start_time"), at.alias("end_time"), F.struct(F.when(k % 3 != 0, "soon").alias("start_time")).alias("previous_booking")),
+        F.struct(unless(4, "b").alias("booking_uid")),
+    ]
+    chain, texts = F, F
+    for i, (kind, payload) in enumerate(zip(kinds, payloads)):
+        chain, texts = chain.when(n % 6 == i, kind), texts.when(n % 6 == i, F.to_json(payload))
+    log = raw_events(spark, sf_dir).withColumns({"event_type": chain, "payload_json": texts})
+    return contract.contract_problems(log, contract.default_rules(spark))
+
+
 @query
 def idempotency_keys(spark, sf_dir):
     """DOC1"""
