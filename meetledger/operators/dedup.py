@@ -130,17 +130,25 @@ def accept(rows: DataFrame, legacy_scope: str, keep) -> tuple[DataFrame, DataFra
     """The rows of one batch that are stored, and those rejected because their id is taken.
 
     A rejected row claims neither its key nor its content: once it is out, the rules are
-    applied again, until no row is rejected any more. ``keep`` stores a frame.
+    applied again, until no row is rejected any more. The rounds run over the columns that
+    the rules compare; the whole rows, payload and all, move once, to meet the decision.
+    ``keep`` stores a frame.
     """
-    rejected = None
+    left = keep(rows.select(*[c for c in _ORDER if c in rows.columns]).distinct(), "rule-columns")
+    decided = None
     while True:
-        unique, conflicts = split_id_conflicts(keep(deduplicate(rows, legacy_scope), "deduplicated"))
-        conflicts = keep(conflicts, "conflicts")
-        rejected = conflicts if rejected is None else rejected.unionByName(conflicts)
+        unique, conflicts = split_id_conflicts(keep(deduplicate(left, legacy_scope), "deduplicated"))
+        conflicts = keep(conflicts.select(_identity(conflicts).alias("_row"), F.lit(False).alias("_stored")), "conflicts")
+        decided = conflicts if decided is None else decided.unionByName(conflicts)
         if conflicts.isEmpty():
-            return unique, rejected
-        gone = conflicts.select(_identity(conflicts).alias("_gone")).distinct()
-        rows = rows.withColumn("_gone", _identity(rows)).join(gone, "_gone", "left_anti").drop("_gone")
+            break
+        left = left.withColumn("_row", _identity(left)).join(conflicts.select("_row"), "_row", "left_anti").drop("_row")
+    decided = decided.unionByName(unique.select(_identity(unique).alias("_row"), F.lit(True).alias("_stored")))
+    # copies of a row are cut to one per input split before they move, and the join finds them in place
+    rank = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
+    firsts = rows.withColumn("_row", _identity(rows)).withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    settled = keep(firsts.join(decided, "_row").drop("_row"), "settled")
+    return settled.filter("_stored").drop("_stored"), _conflict(settled.filter("NOT _stored").drop("_stored"))
 
 
 def unclaimed(rows: DataFrame, log: DataFrame) -> DataFrame:

@@ -76,8 +76,7 @@ def run(
     the like) is written once to the shared folder; the payload is parsed once.
     """
     keep = materialize if persist else as_is
-    unique, conflicts = dedup.accept(envelopes, legacy_scope, keep)
-    log = keep(unique, "log")
+    log, conflicts = dedup.accept(envelopes, legacy_scope, keep)
     facts = keep(extract.extract_facts(log, secret, classifier, decoder), "facts")
     tables = {"events": log, **build_tables(log, facts, registry, persist)}
     rejects = {"event_id_conflicts": conflicts, "projections": extract.projection_rejects(facts)}

@@ -30,6 +30,25 @@ def test_a_rejected_id_claims_no_key(spark):
     assert sorted((r["event_id"], r["idempotency_key"]) for r in conflicts.collect()) == [("1", "y"), ("2", "z")]
 
 
+def test_accept_moves_whole_rows_once(spark):
+    rows = events(spark, [{"event_id": str(i // 2), "idempotency_key": f"k{i // 2}", "payload_json": "x" * 50} for i in range(40)])
+    stored = rows.unionByName(rows)
+    whole = []
+
+    def keep(df, name):
+        if "payload_json" in df.columns:
+            whole.append((name, df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString()))
+        return df
+
+    log, conflicts = dedup.accept(stored, "all", keep)
+    assert log.count() == 20 and conflicts.count() == 0
+    assert [name for name, _, _ in whole] == ["settled"]
+    # the only exchange that carries the payload is the one on the row's identity
+    plan = whole[0][2]
+    carried = [line for line in plan.splitlines() if "Exchange hashpartitioning(_row" in line]
+    assert "WindowGroupLimit" in plan and len(carried) == 2
+
+
 def test_naive_times_are_utc_in_any_session(spark):
     before = spark.conf.get("spark.sql.session.timeZone")
     texts = ["2026-01-01T00:00:00", "2026-01-01", "2026-01-01T02:00:00+02:00", "20260101T000000", "2026-01-01 00:00", "2026-01-01T00:00:00.0Z"]
