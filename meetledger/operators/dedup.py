@@ -134,7 +134,7 @@ def accept(rows: DataFrame, legacy_scope: str, keep) -> tuple[DataFrame, DataFra
     the rules compare; the whole rows, payload and all, move once, to meet the decision.
     ``keep`` stores a frame.
     """
-    left = keep(rows.select(*[c for c in _ORDER if c in rows.columns]).distinct(), "rule-columns")
+    left = keep(rows.select(*[c for c in _ORDER if c in rows.columns]), "rule-columns")
     decided = None
     while True:
         unique, conflicts = split_id_conflicts(keep(deduplicate(left, legacy_scope), "deduplicated"))
