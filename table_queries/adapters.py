@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from meetledger import schemas as S
 from meetledger.operators.routing import destination
-from meetledger.session import materialize, prepare, work_dir
+from meetledger.session import fresh_path, materialize, prepare, work_dir
+from meetledger.sources.log_layout import read_log, write_log
 
 # (event_type of the table, k modulo 3) -> (type, source)
 TYPE_MAP = {
@@ -66,6 +67,17 @@ def stored(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return read
 
 
+def laid_out(log: Callable[..., DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log from its layout by day and booking, written once per session."""
+    key = (spark.sparkContext.applicationId, work_dir(prepare(spark)), sf_dir, f"{log.__name__} by day")
+    if key not in _STORED:
+        rows = log(spark, sf_dir)
+        path = fresh_path(spark, f"{log.__name__}-by-day")
+        write_log(rows, path)
+        _STORED[key] = read_log(spark, path, schema=rows.schema)
+    return _STORED[key]
+
+
 def _pick(index: int, fallback: str) -> Column:
     chain = F
     for (base, part), target in TYPE_MAP.items():

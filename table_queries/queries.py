@@ -24,7 +24,7 @@ from meetledger.sources.publish import outgoing_messages
 from meetledger.sources.tables import TableStore
 from meetledger.streaming.ingest import FOLDS, StreamIngest
 from meetledger.streaming.state import StateTable
-from table_queries.adapters import conversation_log, event_headers, event_log, iso, mail_log, order_log, plain, raw_events, table
+from table_queries.adapters import conversation_log, event_headers, event_log, iso, laid_out, mail_log, order_log, plain, raw_events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -511,13 +511,13 @@ def timeline_topk(spark, sf_dir):
 @query
 def booking_timeline(spark, sf_dir):
     """RD1 for one booking"""
-    return readers.booking_timeline(raw_events(spark, sf_dir), "b7").select("event_id", "event_type", "occurred_at")
+    return readers.booking_timeline(laid_out(raw_events, spark, sf_dir), "b7").select("event_id", "event_type", "occurred_at")
 
 
 @query
 def events_by_type(spark, sf_dir):
     """RD2"""
-    return readers.events_of_type(raw_events(spark, sf_dir), S.BOOKING_CREATED, 100).select("event_id", "booking_id", "occurred_at")
+    return readers.events_of_type(laid_out(raw_events, spark, sf_dir), S.BOOKING_CREATED, 100).select("event_id", "booking_id", "occurred_at")
 
 
 @query
@@ -600,7 +600,7 @@ def organizers(spark, sf_dir):
 @query
 def trace_lookup(spark, sf_dir):
     """RD12"""
-    return readers.events_of_trace(raw_events(spark, sf_dir), "t42").select("event_id", "event_type", "occurred_at")
+    return readers.events_of_trace(laid_out(raw_events, spark, sf_dir), "t42").select("event_id", "event_type", "occurred_at")
 
 
 @query
