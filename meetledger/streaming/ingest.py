@@ -46,7 +46,10 @@ class StreamIngest:
         compact_every: int | None = None,
         classifier: extract.Classifier = classify.action,
         decoder: Callable[[Column], Column] | None = None,
+        registry: Registry | None = None,
     ) -> None:
+        """The folded projections of ``registry`` are kept beside the built-in tables."""
+        self.registry = registry or Registry()
         self.classifier, self.decoder = classifier, decoder
         self.spark = prepare(spark)
         self.store = TableStore(spark, root)
@@ -81,6 +84,8 @@ class StreamIngest:
         log = self._append_log(commit, valid_envelopes(decoded))
         facts = commit.append("facts", extract.extract_facts(log, self.secret, self.classifier, self.decoder))
         self._append_tables(commit, facts)
+        for name, partial in self.registry.partials(log).items():
+            commit.append(name, partial)
         number = commit.publish()
         received.unpersist()
         if self.compact_every and number % self.compact_every == self.compact_every - 1:
@@ -126,10 +131,11 @@ class StreamIngest:
     # --- reading ---
 
     def table(self, name: str) -> DataFrame:
-        """A table as of the last commit."""
-        stored = self.store.read(name)
-        if name in FOLDS:
-            fold = FOLDS[name]()
+        """A table as of the last commit; user projections by the name they are registered under."""
+        custom = next((p for p in self.registry.folded.values() if p.name == name), None)
+        stored = self.store.read(custom.stored_name if custom else name)
+        if custom or name in FOLDS:
+            fold = custom.fold if custom else FOLDS[name]()
             return fold.result(fold.merge(stored))
         if name == "chat_events":
             return projections.apply_reads(stored, self.store.read("chat_reads"))
@@ -143,6 +149,8 @@ class StreamIngest:
     def tables(self, registry: Registry | None = None) -> dict[str, DataFrame]:
         names = ["events", *FOLDS, "organizer_history", "chat_events", "video_events"]
         tables = {name: self.table(name) for name in names}
+        for projection in self.registry.folded.values():
+            tables[projection.name] = self.table(projection.name)
         if registry:
             context = Context(tables["events"], self.table("facts"), tables["participants"], tables["bookings"])
             tables.update(registry.run(context))
@@ -153,10 +161,11 @@ class StreamIngest:
     def compact(self) -> int:
         """Merge the partials of every fold, and the files of each bucket, into one; results stay the same."""
         commit = self.store.begin()
-        for name, fold in FOLDS.items():
+        folds = {name: make() for name, make in FOLDS.items()} | {name: p.fold for name, p in self.registry.folded.items()}
+        for name, fold in folds.items():
             stored = self.store.read(name)
             if stored is not None:
-                commit.replace(name, fold().merge(stored))
+                commit.replace(name, fold.merge(stored))
         stored = self.store.read(CLAIMS)
         if stored is not None:
             commit.replace(CLAIMS, stored)

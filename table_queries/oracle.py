@@ -489,6 +489,12 @@ SELECT * FROM log""")
 ORACLE["stream_bookings"] = ORACLE["bookings_upsert"]
 ORACLE["stream_emails"] = ORACLE["email_notifications"]
 ORACLE["stream_participant_changes"] = ORACLE["participants_upsert"]
+sql("stream_custom", """WITH moved AS (
+  SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS event_id, 'b' || o_custkey AS booking_id, CAST(o_orderdate AS TIMESTAMP) AS made,
+    CAST(o_orderdate AS TIMESTAMP) + to_days(CAST(o_orderkey % 30 AS INTEGER)) AS arrived
+  FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F')
+SELECT DISTINCT booking_id, first_value(event_id) OVER w AS first_event_id, last_value(event_id) OVER w AS last_event_id, max(made) OVER w AS latest_at
+FROM moved WINDOW w AS (PARTITION BY booking_id ORDER BY arrived, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 
 _EARLY = "received_at < TIMESTAMP '2024-01-16 00:00:00'"
 _PARENTS = {

@@ -12,10 +12,11 @@ from meetledger.functions import hashing, times
 from meetledger.functions import json_fields as J
 from meetledger.operators import classify, contract, dedup, entities, extract, integrity, quality, readers
 from meetledger.operators import projections as P
+from meetledger.operators.folds import Fold, first, greatest, latest
 from meetledger.operators.routing import DEFAULT_RULES, Rule, destinations, effective_queues, route, route_by_table
 from meetledger.plans import normalize as N
 from meetledger.plans import pipeline
-from meetledger.plans.registry import Projection, Registry
+from meetledger.plans.registry import FoldedProjection, Projection, Registry
 from meetledger.schemas import MESSAGE_SCHEMA
 from meetledger.session import fresh_path, materialize
 from meetledger.sources import messages as M
@@ -849,7 +850,9 @@ def _messages(log: DataFrame) -> DataFrame:
     return log.select(F.map_from_arrays(names, F.array(*headers.values())).alias("headers"), F.col("payload_json").alias("body"), "queue", "received_at")
 
 
-def _streamed(spark: SparkSession, log: DataFrame, withheld: Column, name: str, at_once: Column | None = None) -> StateTable:
+def _streamed(
+    spark: SparkSession, log: DataFrame, withheld: Column, name: str, at_once: Column | None = None, registry: Registry | None = None
+) -> StateTable:
     """A table kept as state by streams, over three arrivals of the whole log.
 
     The first half by id (and what comes ``at_once``) is first, then the other half with a
@@ -860,8 +863,8 @@ def _streamed(spark: SparkSession, log: DataFrame, withheld: Column, name: str,
     first, second = ~withheld & (at_once | (number < 5)), ~withheld & ~at_once & (number >= 5)
     arrivals = [first, second | (~withheld & (number == 2)), withheld | (number == 7)]
     inbox, checkpoint, state_checkpoint = fresh_path(spark, "inbox"), fresh_path(spark, "stream"), fresh_path(spark, "state")
-    ingest = StreamIngest(spark, fresh_path(spark, "store"), hash_mode="text")
-    state = StateTable(spark, FOLDS[name](), ingest.store, name)
+    ingest = StreamIngest(spark, fresh_path(spark, "store"), hash_mode="text", registry=registry)
+    state = StateTable(spark, registry.folded[name].fold if registry else FOLDS[name](), ingest.store, name)
     for part in arrivals:
         _messages(log.filter(part)).write.mode("append").parquet(inbox)
         ingest.start(M.stream_messages(spark, inbox), checkpoint, availableNow=True).awaitTermination()
@@ -875,6 +878,19 @@ def stream_bookings(spark, sf_dir):
     return _streamed(spark, order_log(spark, sf_dir, late=True), F.pmod(F.xxhash64("event_id"), F.lit(7)) == 3, "bookings").table()
 
 
+@query
+def stream_custom(spark, sf_dir):
+    """UDF1, STM1-5: a user's own fold as stream state, with late and repeated messages"""
+    registry = Registry()
+    fold = Fold(
+        ["booking_id"],
+        {"first_event_id": first(F.col("event_id")), "last_event_id": latest(F.col("event_id")), "latest_at": greatest(F.col("occurred_at"))},
+    )
+    registry.register(FoldedProjection("reassignments", F.col("event_type") == S.BOOKING_REASSIGNED, fold))
+    withheld = F.pmod(F.xxhash64("event_id"), F.lit(7)) == 3
+    return _streamed(spark, order_log(spark, sf_dir, late=True), withheld, "custom_reassignments", registry=registry).table()
+
+
 @query
 def stream_emails(spark, sf_dir):
     """STM1-5, PRJ2: mails as stream state; statuses come late and twice
