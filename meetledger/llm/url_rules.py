@@ -3,8 +3,11 @@
 A URL is a set of tokens (scheme, host and its parents, path segments, file ending, query
 names). From labelled URLs, FP-growth mines which combinations of tokens are frequent
 together with the label ``bad``. Rules below the least support or confidence go, and so
-does a rule that holds more tokens than another one that is at least as sure. The rules
-are matched by an inverted index: URLs and rules meet on a token, and a rule fires where
+does a rule that holds more tokens than another one that is at least as sure. What
+confidence is needed follows the share of bad URLs: ``MIN_LIFT`` times that share, but at
+least ``MAJORITY`` and never more than ``MIN_CONFIDENCE``. A rule must also be telling: a
+share that is ``MIN_SIGMAS`` standard deviations above what as many URLs drawn without
+regard to their tokens would have. The rules are matched by an inverted index: URLs and rules meet on a token, and a rule fires where
 as many tokens met as it has.
 
 All work is in DataFrame functions and Spark's own FP-growth. All tokens that reach the
@@ -35,6 +38,7 @@ HOST_RULES = [
     ("block", "net", "/fr/"),
 ]
 MIN_COUNT, MIN_SUPPORT, MIN_CONFIDENCE = 20, 0.001, 0.7
+MAJORITY, MIN_LIFT, MIN_SIGMAS = 0.5, 3.0, 4.0
 BAD = "=bad"
 _RULES = "rule long, tokens array<string>, confidence double, support double"
 
@@ -58,7 +62,7 @@ def url_tokens(url: Column) -> Column:
     """The distinct tokens of a URL; digits count as one and the same."""
     host, path = url_parts(url)
     labels = F.split(host, r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, k, 999), ".")))
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, k, F.size(labels)), ".")))
     shape = F.regexp_replace(path, "[0-9]+", "0")
     segments = F.filter(F.split(shape, "/"), lambda x: x != "")
     query = F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda x: x != "")
@@ -74,7 +78,12 @@ def url_tokens(url: Column) -> Column:
 
 
 def mine(
-    labelled: DataFrame, min_count: int = MIN_COUNT, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE
+    labelled: DataFrame,
+    min_count: int = MIN_COUNT,
+    min_support: float = MIN_SUPPORT,
+    min_confidence: float = MIN_CONFIDENCE,
+    min_lift: float = MIN_LIFT,
+    min_sigmas: float = MIN_SIGMAS,
 ) -> DataFrame:
     """Rules (rule, tokens, confidence, support) from rows of url and bad (boolean)."""
     spark = labelled.sparkSession
@@ -92,9 +101,14 @@ def mine(
     if baskets.isEmpty():
         return empty(spark, _RULES)
     share = n / baskets.count()
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support * share), minConfidence=min_confidence).fit(baskets)
+    base = n_bad / n
+    needed = min(min_confidence, max(MAJORITY, min_lift * base))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support * share), minConfidence=needed).fit(baskets)
     mined = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
     mined = mined.select("antecedent", "confidence", (F.col("support") / share).alias("support"))
+    # As many urls as hold the rule's tokens, each bad with the share of all.
+    urls = F.col("support") * n / F.col("confidence")
+    mined = mined.where((F.col("confidence") - base) * F.sqrt(urls / (base * (1 - base))) >= min_sigmas)
     mined = store(mined.withColumn("rule", F.xxhash64(F.sort_array("antecedent"))), "rules-by-name")
     mined = mined.join(_implied(mined.withColumnRenamed("antecedent", "tokens")), "rule", "left_anti")
     return store(_spelled(mined, named), "rules")

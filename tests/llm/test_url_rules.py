@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from meetledger.llm import url_rules
 from meetledger.llm.url_rules import HOST_RULES, judge, labelled_pages, mine, url_tokens
 
@@ -118,3 +120,36 @@ def test_labels_of_pages(spark):
     assert mine(spark.createDataFrame([], "url string, bad boolean")).collect() == []
     assert mine(spark.createDataFrame([("https://a.org/x", True)], "url string, bad boolean")).collect() == []
     assert url_rules.MIN_CONFIDENCE > 0.5
+
+
+def rare_bad(spark, host_share, n_host=60):
+    """2,000 urls, 15% bad wherever they are but on one host."""
+    rng = random.Random(6)
+    rows = [(f"https://{rng.choice('abcdefgh')}.org/{rng.choice(['p', 'q'])}/{i}", i % 20 < 3) for i in range(2_000)]
+    rows += [(f"https://odd.net/x/{i}", i < host_share * n_host) for i in range(n_host)]
+    return spark.createDataFrame(rows, "url string, bad boolean")
+
+
+def test_confidence_that_is_needed_follows_the_base_rate(spark):
+    df = rare_bad(spark, 0.6)
+    rules = mine(df)
+    # Bad in 36 of 60: below 0.7, but most of them and four times the share of all.
+    assert {tuple(r["tokens"]) for r in rules.collect()} >= {("host:odd.net",)}
+    assert all(abs(r["confidence"] - 0.6) < 1e-9 for r in rules.collect())
+    urls = ["https://odd.net/x/999", "https://a.org/p/3", "https://odd.net/fr/1", None]
+    got = {r["page_id"]: (r["verdict"], r["mined_rule"] is not None) for r in judge(pages(spark, urls), rules).collect()}
+    assert got == {0: ("block", True), 1: ("allow", False), 2: ("block", True), 3: ("allow", False)}
+    assert mine(rare_bad(spark, 0.4)).count() == 0
+
+
+def test_a_share_that_chance_explains_makes_no_rule(spark):
+    df = rare_bad(spark, 0.6)
+    base = df.where("bad").count() / df.count()
+    sigmas = (0.6 - base) * (60 / (base * (1 - base))) ** 0.5
+    assert mine(df, min_sigmas=sigmas - 0.01).count() > 0 and mine(df, min_sigmas=sigmas + 0.01).count() == 0
+
+
+def test_hosts_of_very_many_labels(spark):
+    host = ".".join(f"l{k}" for k in range(1_200))
+    tokens = spark.createDataFrame([(f"http://{host}/",)], "url string").select(url_tokens(F.col("url")).alias("t")).first()["t"]
+    assert f"host:{host}" in tokens and "host:l1199" in tokens and len([t for t in tokens if t.startswith("host:")]) == 1_200
