@@ -20,7 +20,8 @@ def node(doc: Column, path: str) -> Column:
 
 def type_name(doc: Column, path: str = "$") -> Column:
     """STRING, BIGINT, BOOLEAN, VOID (JSON null), OBJECT<..>, ARRAY<..>; NULL when absent."""
-    return F.schema_of_variant(node(doc, path))
+    # the value itself needs no walk, which would copy it
+    return F.schema_of_variant(doc if path == "$" else node(doc, path))
 
 
 def text(doc: Column, path: str) -> Column:

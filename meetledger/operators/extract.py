@@ -63,12 +63,14 @@ def is_video() -> Column:
 def participants(doc: Column) -> Column:
     """Participants in payload order; entries that are no object or lack an e-mail are left out."""
     entries = F.coalesce(J.elements(doc, "$.normalized.participants"), F.array().cast("array<variant>"))
+    # one read of an entry gives its three fields, NULL for what it lacks
+    fields = F.transform(entries, lambda p: F.try_variant_get(p, "$", "struct<email:variant,role:variant,time_zone:variant>"))
     typed = F.transform(
-        entries,
+        fields,
         lambda p: F.struct(
-            J.filled_text(p, "$.email").alias("email"),
-            J.text(p, "$.role").alias("role"),
-            J.text(p, "$.time_zone").alias("time_zone"),
+            J.filled_text(p["email"], "$").alias("email"),
+            J.text(p["role"], "$").alias("role"),
+            J.text(p["time_zone"], "$").alias("time_zone"),
         ),
     )
     return F.filter(typed, lambda p: p["email"].isNotNull())

@@ -49,6 +49,12 @@ def plain(df: DataFrame) -> DataFrame:
     )
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows in as many pieces as there are cores; they move, narrow as they are, only where files have fewer."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 _STORED: dict[tuple[str, str, str, str], DataFrame] = {}
 
 
@@ -59,9 +65,8 @@ def stored(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     def read(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
         key = (spark.sparkContext.applicationId, work_dir(prepare(spark)), sf_dir, f"{build.__name__}{sorted(options.items())}")
         if key not in _STORED:
-            log = build(spark, sf_dir, **options)
-            # spread by the id, which comes first; Spark settles the number of files by size
-            _STORED[key] = materialize(log.repartition(log.columns[0]), build.__name__)
+            # written where it is built: the wide rows do not move
+            _STORED[key] = materialize(build(spark, sf_dir, **options), build.__name__)
         return _STORED[key]
 
     return read
@@ -93,7 +98,7 @@ def iso(column: str) -> Column:
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with envelope keys and times: ids padded, every tenth user without a booking."""
     return (
-        table(spark, sf_dir, "events")
+        spread(table(spark, sf_dir, "events"))
         .select(
             F.col("event_id").alias("n"),
             F.lpad(F.col("event_id").cast("string"), 12, "0").alias("event_id"),
@@ -216,7 +221,7 @@ def order_log(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame
 
     With ``late`` the orders arrive up to a month after they were made.
     """
-    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    orders, customers = spread(table(spark, sf_dir, "orders")), table(spark, sf_dir, "customer")
     made = F.col("o_orderdate").cast("timestamp")
     named = orders.join(customers.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
     rows = named.select(
@@ -266,10 +271,12 @@ def _envelope(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(c) if c in have or c == "payload_hash" else F.lit(None).cast("string").alias(c) for c in S.ENVELOPE_COLUMNS])
 
 
-@stored
 def mail_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sent mails from ``orders``, their delivery statuses from ``lineitem``; the order is the job."""
-    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    """Sent mails from ``orders``, their delivery statuses from ``lineitem``; the order is the job.
+
+    Not stored: its readers take their facts from it in one pass, and store those.
+    """
+    orders, items = spread(table(spark, sf_dir, "orders")), spread(table(spark, sf_dir, "lineitem"))
     person = lambda c: F.concat(F.lit("cust"), F.col(c).cast("string"))
     made = F.col("o_orderdate").cast("timestamp")
     sent = orders.select(
@@ -317,7 +324,7 @@ def mail_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @stored
 def conversation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat envelopes from ``conversations``: every third turn is a read event of its speaker."""
-    rows = table(spark, sf_dir, "conversations")
+    rows = spread(table(spark, sf_dir, "conversations"))
     read = F.col("turn") % 3 == 2
     role = F.when(F.col("role") == "user", "client").when(F.col("role") == "assistant", "organizer")
     speaker = F.concat(F.col("role"), F.lit("@x.org"))

@@ -40,13 +40,32 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.deduplicate(event_log(spark, sf_dir))
 
 
-def _facts_of(log: DataFrame) -> DataFrame:
-    """Facts are a stored table too: several operators read them, the payload is parsed once."""
-    return materialize(extract.extract_facts(log), "facts")
+# facts that the operators of one kind read
+PEOPLE = ["event_id", "received_at", "participants"]
+BOOKINGS = ["booking_id", "event_id", "occurred_at", "received_at", "queue", "start_time", "end_time", "booking_status", "organizer", "client"]
+LINKS = ["booking_id", "event_id", "event_type", "occurred_at", "received_at", "organizer", "client", "meeting_url", "meeting_error"]
+STATUSES = ["event_id", "event_type", "received_at", "job_id", "status", "status_time"]
+MAILS = [
+    *STATUSES, "booking_id", "occurred_at", "organizer", "client", "first_user_role", "trigger_event", "recipient_email", "clicked_url",
+    "notification_error",
+]
+CHAT = [
+    "booking_id", "event_id", "event_type", "source", "occurred_at", "received_at", "organizer", "client", "first_user_role", "chat_action",
+    "acting_email", "message_id", "text_preview", "last_read_message_id", "chat_error", "read_error",
+]
+
+
+def _facts_of(log: DataFrame, *columns: str) -> DataFrame:
+    """Facts are a stored table too: several operators read them, the payload is parsed once.
+
+    With ``columns`` only these are read from the payload and stored.
+    """
+    facts = extract.extract_facts(log)
+    return materialize(facts.select(*dict.fromkeys(columns)) if columns else facts, "facts")
 
 
-def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts_of(_stored(spark, sf_dir))
+def _facts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return _facts_of(_stored(spark, sf_dir), *columns)
 
 
 ID = ["event_id", "booking_id", "event_type", "source"]
@@ -421,7 +440,7 @@ def video_events(spark, sf_dir):
 @query
 def event_chat(spark, sf_dir):
     """PRJ5, PRJ6, JON3, JON5 over events of many bookings"""
-    return _read_chat(_facts(spark, sf_dir)).select(
+    return _read_chat(_facts(spark, sf_dir, *PEOPLE, *CHAT)).select(
         "raw_event_id", "booking_id", "provider", "chat_event_type", "message_id", "participant", "is_read", "occurred_at"
     )
 
@@ -429,7 +448,7 @@ def event_chat(spark, sf_dir):
 @query
 def event_bookings_table(spark, sf_dir):
     """PRJ9 after deduplication"""
-    return entities.bookings(_facts(spark, sf_dir))
+    return entities.bookings(_facts(spark, sf_dir, *BOOKINGS))
 
 
 @query
@@ -455,7 +474,7 @@ def custom_projection(spark, sf_dir):
 
 
 def _mails(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    facts = _facts_of(mail_log(spark, sf_dir))
+    facts = _facts_of(mail_log(spark, sf_dir), *PEOPLE, *MAILS)
     return P.email_notifications(facts, entities.participants(facts), **options)
 
 
@@ -474,13 +493,13 @@ def email_notifications_by_time(spark, sf_dir):
 @query
 def email_status_history(spark, sf_dir):
     """PRJ4, AGG9"""
-    return P.email_status_history(_facts_of(mail_log(spark, sf_dir)))
+    return P.email_status_history(_facts_of(mail_log(spark, sf_dir), *STATUSES))
 
 
 @query
 def email_status_events(spark, sf_dir):
     """PRJ4 with one row per status event"""
-    return P.email_status_history(_facts_of(mail_log(spark, sf_dir)), grain="event")
+    return P.email_status_history(_facts_of(mail_log(spark, sf_dir), *STATUSES), grain="event")
 
 
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -538,7 +557,7 @@ def history_of_booking(spark, sf_dir):
 @query
 def links_of_bookings(spark, sf_dir):
     """RD5, JON2"""
-    facts = _facts(spark, sf_dir)
+    facts = _facts(spark, sf_dir, *LINKS, *BOOKINGS)
     return readers.links_with_bookings(P.meeting_links(facts), entities.bookings(facts)).select(
         "booking_id", "participant", "meeting_url", "source_event_id", "first_seen_at", "last_seen_at", "current_status"
     )
@@ -566,7 +585,7 @@ def telegrams_of_booking(spark, sf_dir):
 @query
 def emails_with_history(spark, sf_dir):
     """RD8"""
-    facts = _facts_of(mail_log(spark, sf_dir))
+    facts = _facts_of(mail_log(spark, sf_dir), *PEOPLE, *MAILS)
     emails = P.email_notifications(facts, entities.participants(facts))
     return readers.emails_with_history(emails, P.email_status_history(facts)).select(
         "job_id", "booking_id", "status", "status_event_time", "source_event_id"
@@ -751,7 +770,7 @@ def normalize_whole(spark, sf_dir):
         F.when(n % 5 != 0, iso("occurred_at")).alias("end_time"),
     )
     normalized = N.normalize(raw.withColumn("payload_json", F.to_json(payload)).select(*S.ENVELOPE_COLUMNS), "a secret")
-    facts = _facts_of(normalized)
+    facts = _facts_of(normalized, "event_id", "start_time", "end_time", "booking_status", "participants")
     people = facts.select("event_id", "start_time", "end_time", F.col("booking_status").alias("status"), F.posexplode_outer("participants").alias("pos", "p"))
     return people.select("event_id", "start_time", "end_time", "status", "pos", "p.*")
 
@@ -898,7 +917,7 @@ def stream_emails(spark, sf_dir):
     Sent mails come first, as they name the participants that a status is looked up among.
     """
     late = (F.col("event_type") == S.MAIL_STATUS) & (F.pmod(F.xxhash64("event_id"), F.lit(7)) == 3)
-    return _streamed(spark, mail_log(spark, sf_dir), late, "email_notifications", F.col("event_type") == S.EMAIL_SENT).table()
+    return _streamed(spark, materialize(mail_log(spark, sf_dir), "mail_log"), late, "email_notifications", F.col("event_type") == S.EMAIL_SENT).table()
 
 
 @query
