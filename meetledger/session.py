@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,10 @@ RUNTIME_CONF = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# A task sorts what it reads, so what it reads stays small however large the input is.
+TASK_BYTES = 32 << 20
+TASK_CONF = ["spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
@@ -27,9 +32,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    for key in TASK_CONF:
+        if _bytes(spark.conf.get(key)) > TASK_BYTES:
+            spark.conf.set(key, str(TASK_BYTES))
     return spark
 
 
+def _bytes(setting: str) -> int:
+    """A size as Spark writes it: a number with b, k, m, g, t or p (and b) behind it."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([bkmgtp]?)b?\s*", setting.lower()).groups()
+    return int(number) << 10 * "bkmgtp".index(unit or "b")
+
+
 def create_session(app_name: str = "meetledger", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
