@@ -26,7 +26,9 @@ def _person(email: Column, role: str | None, time_zone: Column | None = None) ->
 
 
 def _people(*persons: Column) -> Column:
-    return F.filter(F.array(*persons), lambda p: p["email"].isNotNull()).cast(_PERSON)
+    """Those with an e-mail. No lambda, under which Spark would interpret every read of the payload."""
+    none = F.array().cast(_PERSON)
+    return F.concat(*[F.when(p["email"].isNotNull(), F.array(p).cast(_PERSON)).otherwise(none) for p in persons])
 
 
 def normalized_participants(event_type: Column, source: Column, doc: Column, secret: str | None) -> Column:
