@@ -62,11 +62,11 @@ def is_video() -> Column:
 
 def participants(doc: Column) -> Column:
     """Participants in payload order; entries that are no object or lack an e-mail are left out."""
-    entries = F.coalesce(J.elements(doc, "$.normalized.participants"), F.array().cast("array<variant>"))
-    # one read of an entry gives its three fields, NULL for what it lacks
-    fields = F.transform(entries, lambda p: F.try_variant_get(p, "$", "struct<email:variant,role:variant,time_zone:variant>"))
+    # one read gives the three fields of every entry, NULL for what it lacks
+    entry = "struct<email:variant,role:variant,time_zone:variant>"
+    entries = F.try_variant_get(doc, "$.normalized.participants", f"array<{entry}>")
     typed = F.transform(
-        fields,
+        F.coalesce(entries, F.array().cast(f"array<{entry}>")),
         lambda p: F.struct(
             J.filled_text(p["email"], "$").alias("email"),
             J.text(p["role"], "$").alias("role"),
@@ -184,7 +184,8 @@ def extract_facts(
     parsed = log.filter(has_booking()).select(*FACT_BASE, "payload_json", J.parse("payload_json").alias("_doc"))
     # two steps: reads from the document, then what follows from them, so that no read is
     # repeated where its value is used more than once
-    raw = parsed.select(*FACT_BASE, "payload_json", *[c.alias(n) for n, c in _raw_reads(F.col("_doc")).items()])
+    kept = F.when(is_video(), F.col("payload_json")).alias("payload_json")
+    raw = parsed.select(*FACT_BASE, kept, *[c.alias(n) for n, c in _raw_reads(F.col("_doc")).items()])
 
     chat, video = is_chat(), is_video()
     sent, status, telegram = F.col("event_type") == S.EMAIL_SENT, is_mail_status(), is_telegram()

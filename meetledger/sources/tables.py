@@ -147,18 +147,35 @@ class TableStore:
         entry = self.manifest()["tables"].get(table)
         if entry is None:
             return None
+        found = self.by_value(table, keys)
+        if found is not None:
+            return found
         names, buckets = entry["layout"]["keys"], entry["layout"]["buckets"]
+        wanted = keys.select(*names, bucket_of(names, buckets).alias(_BUCKET)).distinct()
+        return self._bucketed(table, entry).join(wanted, [*names, _BUCKET], "left_semi").drop(_BUCKET)
+
+    def by_value(self, table: str, keys: DataFrame) -> DataFrame | None:
+        """The rows of a few keys, which the scan is given by value; None for more keys, or no table."""
+        entry = self.manifest()["tables"].get(table)
+        if entry is None or len(entry["layout"]["keys"]) > 1:
+            return None
+        (name,), buckets = entry["layout"]["keys"], entry["layout"]["buckets"]
+        wanted = keys.select(name, bucket_of([name], buckets).alias(_BUCKET))
+        # a look at some rows tells of most large batches that their keys are many
+        if len(set(wanted.limit(2 * LITERAL_KEYS).collect())) > LITERAL_KEYS:
+            return None
+        few = wanted.distinct().limit(LITERAL_KEYS + 1).collect()
+        if len(few) > LITERAL_KEYS:
+            return None
+        self.spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(LITERAL_KEYS))
+        hit = F.col(_BUCKET).isin(sorted({r[_BUCKET] for r in few})) & F.col(name).isin([r[0] for r in few])
+        return self._bucketed(table, entry).filter(hit).drop(_BUCKET)
+
+    def _bucketed(self, table: str, entry: dict) -> DataFrame:
         schema = T.StructType([*T.StructType.fromJson(entry["schema"]).fields, T.StructField(_BUCKET, T.IntegerType())])
         folders = [self.folder(table, n) for n in entry["commits"]]
         # below the folder of the table both commit and bucket are partitions
-        stored = self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*folders).drop("commit")
-        wanted = keys.select(*names, bucket_of(names, buckets).alias(_BUCKET)).distinct()
-        few = wanted.limit(LITERAL_KEYS + 1).collect() if len(names) == 1 else []
-        if len(names) == 1 and len(few) <= LITERAL_KEYS:
-            self.spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(LITERAL_KEYS))
-            hit = F.col(_BUCKET).isin(sorted({r[_BUCKET] for r in few})) & F.col(names[0]).isin([r[0] for r in few])
-            return stored.filter(hit).drop(_BUCKET)
-        return stored.join(wanted, [*names, _BUCKET], "left_semi").drop(_BUCKET)
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*folders).drop("commit")
 
     def begin(self, source: str | None = None, batch: int | None = None) -> Commit | None:
         """A new commit, or None when this batch of this stream is published already."""

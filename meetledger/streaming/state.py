@@ -27,6 +27,8 @@ from meetledger.session import prepare
 from meetledger.sources.tables import TableStore
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# a batch stores what it changed, and not the whole state again
+STATE_CONF = {"spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 CHANGES = "changes"
 
 
@@ -41,6 +43,8 @@ class StateTable:
     def start(self, checkpoint: str, **trigger) -> StreamingQuery:
         """Follow the partials, e.g. with ``availableNow=True`` or ``processingTime="1 minute"``."""
         self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+        for key, value in STATE_CONF.items():
+            self.spark.conf.set(key, value)
         schema = T.StructType.fromJson(self.partials.manifest()["tables"][self.name]["schema"])
         arriving = (
             self.spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.partials.root}/{self.name}")
