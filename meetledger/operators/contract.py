@@ -4,6 +4,7 @@ A rule names the short event type it belongs to, a shape of that type, a dotted
 kind of its value, whether it may be absent or null, the allowed texts, and whether it
 tells its shape from the others. The rules of a type meet its events by a join with the
 rule table, one row per type; the payload is walked along paths that are data, not code.
+Its outermost fields are read once for all rules.
 """
 
 from __future__ import annotations
@@ -61,10 +62,16 @@ def default_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
-def value_at(doc: Column, path: Column) -> Column:
-    """The value at a dotted path that is a column; NULL where something on the way is no object."""
-    below = lambda at, name: F.try_element_at(F.when(J.is_object(at), F.try_variant_get(at, "$", "map<string,variant>")), name)
-    return F.aggregate(F.split(path, r"\."), doc, below)
+def fields_of(value: Column) -> Column:
+    """The fields of a JSON object by name; NULL for anything else. Asking for its type first would print all its fields."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def value_at(top: Column, names: Column) -> Column:
+    """The value under the names of a path, from the fields of the whole document; NULL where something on the way is no object."""
+    below = lambda at, name: F.try_element_at(fields_of(at), name)
+    first = F.try_element_at(top, F.get(names, F.lit(0)))
+    return F.when(F.size(names) == 1, first).otherwise(F.aggregate(F.slice(names, F.lit(2), F.size(names)), first, below))
 
 
 def _is_of_kind(read: Column) -> Column:
@@ -91,15 +98,16 @@ def _problem(read: Column) -> Column:
     return F.struct(read["path"].alias("field"), problem.alias("problem"), read["tells"].alias("tells"))
 
 
-def _found(doc: Column, rules: Column) -> Column:
-    """Problem of each rule, in steps, so that a payload is walked once for a rule."""
-    valued = F.transform(rules, lambda r: F.struct(r.alias("rule"), value_at(doc, r["path"]).alias("value")))
+def _found(top: Column, rules: Column) -> Column:
+    """Problem of each rule, in steps, so that a path is walked and a value looked at once for a rule."""
+    valued = F.transform(rules, lambda r: F.struct(r.alias("rule"), value_at(top, r["names"]).alias("value")))
+    typed = F.transform(valued, lambda v: F.struct(v["rule"].alias("rule"), v["value"].alias("value"), F.schema_of_variant(v["value"]).alias("type")))
     read = F.transform(
-        valued,
+        typed,
         lambda v: F.struct(
             *[v["rule"][c].alias(c) for c in ("path", "kind", "optional", "allowed", "tells")],
-            F.schema_of_variant(v["value"]).alias("type"),
-            J.text(v["value"], "$").alias("text"),
+            v["type"].alias("type"),
+            F.when(v["type"] == "STRING", F.try_variant_get(v["value"], "$", "string")).alias("text"),
             F.when(v["rule"]["kind"].endswith("s"), F.transform(J.elements(v["value"], "$"), lambda e: J.text(e, "$"))).alias("texts"),
         ),
     )
@@ -120,13 +128,13 @@ def contract_problems(log: DataFrame, rules: DataFrame) -> DataFrame:
     """
     size = rules.agg(F.sum(F.length(F.to_json(F.struct(*rules.columns))))).first()[0] or 0
     shapes = rules.groupBy(F.col("event_type").alias("_short"), "shape").agg(
-        F.sort_array(F.collect_list(F.struct("path", "kind", "optional", "allowed", "tells"))).alias("rules")
+        F.sort_array(F.collect_list(F.struct("path", "kind", "optional", "allowed", "tells", F.split("path", r"\.").alias("names")))).alias("rules")
     )
     types = shapes.groupBy("_short").agg(F.sort_array(F.collect_list(F.struct("shape", "rules"))).alias("_shapes"))
     short = F.coalesce(classify.type_action(F.col("event_type")), F.col("event_type"))
-    rows = log.select("event_id", "event_type", short.alias("_short"), J.parse("payload_json").alias("_doc"))
+    rows = log.select("event_id", "event_type", short.alias("_short"), fields_of(J.parse("payload_json")).alias("_top"))
 
-    found = F.transform("_shapes", lambda s: F.struct(s["shape"].alias("shape"), _found(F.col("_doc"), s["rules"]).alias("found")))
+    found = F.transform("_shapes", lambda s: F.struct(s["shape"].alias("shape"), _found(F.col("_top"), s["rules"]).alias("found")))
     split = F.transform(
         found,
         lambda s: F.struct(

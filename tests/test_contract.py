@@ -62,3 +62,19 @@ def test_the_log_is_not_shuffled(spark):
     log = spark.range(1000).selectExpr("cast(id as string) event_id", "concat('t', id) event_type", "'{}' payload_json")
     plan = contract_problems(log, default_rules(spark))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, plan
+
+
+def test_the_fields_of_a_payload_are_read_once_for_all_rules(spark):
+    paths = ["a", "a.b", "a.b.c", "a.", ".a", "", "x", "x.y", "l.0", "v.a"]
+    table = spark.createDataFrame([("t", "one", p, "text", False, None, False) for p in paths], RULE_SCHEMA)
+    doc = {"a": {"b": {"c": "deep"}, "": "under no name"}, "": {"a": "below no name"}, "x": "text", "l": ["0"], "v": None}
+    log = spark.createDataFrame([("1", "t", json.dumps(doc)), ("2", "t", "[1]"), ("3", "t", '"x"')], "event_id string, event_type string, payload_json string")
+    problems = contract_problems(log, table)
+    got = {}
+    for r in problems.collect():
+        got.setdefault(r["event_id"], set()).add((r["field"], r["problem"]))
+    wrong = {(p, "wrong_type") for p in ("a", "a.b", "")}
+    assert got == {"1": wrong | {(p, "missing") for p in ("x.y", "l.0", "v.a")}, **{i: {(p, "missing") for p in paths} for i in "23"}}
+    # what meets the rules is the map of the outermost fields, made below the join
+    above, below = problems._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")
+    assert "parseJson" not in above and below.count("MapType(StringType,VariantType") == 1
