@@ -28,10 +28,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,7 @@ from meetledger.llm.common import bitmap_of, in_bitmap, narrow, row_key, small_b
 
 WINDOW, LEAST_WORDS, COVERAGE = 8, 5, 0.3
 FILTER_BITS = (20, 25)
+BLOCK_CHARS = 1 << 18  # of text at once
 # Units that may follow a number.
 UNITS = frozenset(
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers mg g kg t oz lb lbs "
@@ -61,18 +64,24 @@ _ENDS = 8
 class Vocabulary(dict):
     """Words as 60 bits of a hash of their small letters, a bit for the end of a sentence, and their kind."""
 
-    MOST = 500_000
+    MOST, LASTING = 500_000, 250_000
 
     def __missing__(self, word: str) -> int:
-        import xxhash
-
         if len(self) > self.MOST:
-            self.clear()
-        self[word] = value = self._number(_TOKEN.findall(word), xxhash.xxh64_intdigest)
+            # the words met first are the frequent ones
+            for late in list(self)[self.LASTING :]:
+                del self[late]
+        small = word.lower()
+        if word.isalpha() and word == small and word not in UNITS:
+            # most words: one token of small letters
+            value = xxhash.xxh64_intdigest(small.encode("utf-8", "surrogatepass")) & ~15 | _PLAIN
+        else:
+            value = self._number(_TOKEN.findall(word))
+        self[word] = value
         return value
 
     @staticmethod
-    def _number(tokens: list[str], digest) -> int:
+    def _number(tokens: list[str]) -> int:
         if not tokens:
             return _NOTHING
         token, marks = tokens[0], tokens[1:]
@@ -89,74 +98,130 @@ class Vocabulary(dict):
             kind = _UNIT_WORD
         else:
             kind = _CAPITAL if token[0] != small[0] and token[1:] == small[1:] else _PLAIN
-        return digest(small.encode("utf-8", "surrogatepass")) & ~15 | (_ENDS if marks else 0) | kind
+        return xxhash.xxh64_intdigest(small.encode("utf-8", "surrogatepass")) & ~15 | (_ENDS if marks else 0) | kind
 
 
-_PLACES = {kind: np.uint64(zlib.crc32(name.encode()) + (1 << 40)) for kind, name in ((NUMBER, "num"), (NAME, "name"), (UNIT, "unit"))}
+_KNOWN = Vocabulary()
 
 
-def canonical(text: str, known: Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of a text and which of them count; of those, numbers, template, and placeholders.
+def vocabulary() -> Vocabulary:
+    """What the Python worker has met, kept from task to task."""
+    return _KNOWN
 
-    A number is a placeholder; so is a unit word after a number or a currency sign, and a
-    capitalised word that does not begin a sentence.
-    """
-    words = text.split()
+
+_PLACES = np.array([0, *(zlib.crc32(name) + (1 << 40) for name in (b"num", b"name", b"unit"))], np.uint64)
+
+
+def _blocks(texts: Iterable[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """Texts in turn, as many as ``BLOCK_CHARS`` hold, and the place of the first; a longer text is a block of its own."""
+    start, block, size = 0, [], 0
+    for text in texts:
+        text = text or ""
+        if block and size + len(text) > BLOCK_CHARS:
+            yield start, block
+            start, block, size = start + len(block), [], 0
+        block.append(text)
+        size += len(text)
+    if block:
+        yield start, block
+
+
+def _split(texts: list[str], known: Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of texts, their numbers and which text they are of; a word of several tokens gives its tokens."""
+    each = [text.split() for text in texts]
+    words = list(chain.from_iterable(each))
+    of = np.repeat(np.arange(len(texts)), [len(w) for w in each])
     numbers = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    several = np.flatnonzero(numbers & np.uint64(7) == _SEVERAL)
+    if not len(several):
+        return words, numbers, of
+    tokens = [_TOKEN.findall(words[k]) for k in several.tolist()]
+    whole, at = [], 0
+    for k, parts in zip(several.tolist(), tokens, strict=True):
+        whole += words[at:k]
+        whole += parts
+        at = k + 1
+    whole += words[at:]
+    times = np.ones(len(words), np.int64)
+    times[several] = [len(parts) for parts in tokens]
+    cut = np.repeat(numbers & np.uint64(7) == _SEVERAL, times)
+    numbers = np.repeat(numbers, times)
+    numbers[cut] = np.fromiter(map(known.__getitem__, chain.from_iterable(tokens)), np.uint64, int(cut.sum()))
+    return whole, numbers, np.repeat(of, times)
+
+
+def _canonical(texts: list[str], known: Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``canonical`` gives of each text, one after another, and which text it is of."""
+    words, numbers, of = _split(texts, known)
     kinds = (numbers & np.uint64(7)).astype(np.int8)
-    if (kinds == _SEVERAL).any():
-        words = _TOKEN.findall(text)
-        numbers = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        kinds = (numbers & np.uint64(7)).astype(np.int8)
     seen = np.flatnonzero(kinds != _NOTHING)
-    numbers, kinds = numbers[seen], kinds[seen]
-    ends = (kinds == _MARK) | (numbers & np.uint64(_ENDS) > 0)
-    first = np.concatenate((np.array([True]), ends[:-1]))[: len(kinds)]
-    after_number = np.concatenate((np.array([False]), (kinds == _DIGITS)[:-1]))[: len(kinds)] & ~first
+    numbers, kinds, of = numbers[seen], kinds[seen], of[seen]
+    first = np.ones(len(kinds), bool)
+    first[1:] = (of[1:] != of[:-1]) | (kinds[:-1] == _MARK) | (numbers[:-1] & np.uint64(_ENDS) > 0)
+    after_number = np.zeros(len(kinds), bool)
+    after_number[1:] = (kinds[:-1] == _DIGITS) & ~first[1:]
     held = np.zeros(len(kinds), np.int8)
     held[kinds == _DIGITS] = NUMBER
     held[(kinds == _SIGN) | ((kinds == _UNIT_WORD) & after_number)] = UNIT
     held[(kinds == _CAPITAL) & ~first] = NAME
-    plain = numbers >> np.uint64(4)
-    template = plain.copy()
-    for kind, value in _PLACES.items():
-        template[held == kind] = value
-    count = kinds != _MARK
-    return words, seen[count], plain[count], template[count], held[count]
+    count = np.flatnonzero(kinds != _MARK)
+    plain, held = numbers[count] >> np.uint64(4), held[count]
+    return words, seen[count], plain, np.where(held > 0, _PLACES[held], plain), held, of[count]
+
 
+def canonical(text: str, known: Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a text and which of them count; of those, numbers, template, and placeholders.
 
-def _rolled(ids: np.ndarray, width: int) -> np.ndarray:
-    total = np.zeros(len(ids) - width + 1, np.uint64)
+    A number is a placeholder; so is a unit word after a number or a currency sign, and a
+    capitalised word that does not begin a sentence.
+    """
+    return _canonical([text], known)[:5]
+
+
+def _rolled(ids: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
+    """The hash of every window, or of those at the given places."""
+    total = np.zeros(len(ids) - width + 1 if at is None else len(at), np.uint64)
     for k in range(width):
-        total = total * np.uint64(_MIX[1] | 1) + ids[k : len(ids) - width + 1 + k]
+        total *= np.uint64(_MIX[1] | 1)
+        total += ids[k : len(ids) - width + 1 + k] if at is None else ids[at + k]
     total ^= total >> np.uint64(31)
     total *= np.uint64(_MIX[2])
     return total ^ (total >> np.uint64(29))
 
 
-def windows(text: str | None, widths: list[int], known: Vocabulary) -> Iterator[tuple[int, np.ndarray, Slots]]:
-    """For each width: the hash of every window of the text, and what makes a window's slots."""
-    words, at, plain, template, held = canonical(text or "", known)
-    n = len(plain)
+def windows(texts: list[str], widths: list[int], known: Vocabulary) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, Slots]]:
+    """For each width: of every window, the text it is of, its place there and its hash; and what makes its slots.
+
+    The texts are laid out one after another; a window lies within one of them.
+    """
+    words, at, plain, template, held, of = _canonical(texts, known)
+    sizes = np.bincount(of, minlength=len(texts))
+    begins = np.cumsum(sizes) - sizes
     counted = np.concatenate(([0], np.cumsum(held > 0)))
     for width in widths:
-        if not width or n < width or (width < LEAST_WORDS and n != width):
+        if not width or len(plain) < width:
             continue
-        mostly = 2 * (counted[width:] - counted[:-width]) > width
+        inside = of[width - 1 :] == of[: len(of) - width + 1]
+        if width < LEAST_WORDS:
+            inside &= sizes[of[: len(inside)]] == width
         hashes = _rolled(template, width)
-        if mostly.any():
-            hashes = np.where(mostly, _rolled(plain, width), hashes)
-        yield width, hashes ^ np.uint64(width), Slots(words, at, held, width)
+        mostly = np.flatnonzero(2 * (counted[width:] - counted[:-width]) > width)
+        hashes[mostly] = _rolled(plain, width, mostly)
+        hashes ^= np.uint64(width)
+        starts = np.flatnonzero(inside)
+        text = of[starts]
+        yield width, text, starts - begins[text], hashes[starts], Slots(words, at, held, width, begins)
 
 
 class Slots:
-    """The values behind the placeholders of a window, by its place."""
+    """The values behind the placeholders of a window, by its text and place."""
 
-    def __init__(self, words: list[str], at: np.ndarray, held: np.ndarray, width: int) -> None:
-        self.words, self.at, self.held, self.width = words, at, held, width
+    def __init__(self, words: list[str], at: np.ndarray, held: np.ndarray, width: int, begins: np.ndarray) -> None:
+        self.words, self.at, self.held, self.width, self.begins = words, at, held, width, begins
 
-    def __call__(self, place: int) -> list[str]:
-        inside = [k for k in range(place, place + self.width) if self.held[k]]
+    def __call__(self, text: int, place: int) -> list[str]:
+        start = int(self.begins[text]) + place
+        inside = [k for k in range(start, start + self.width) if self.held[k]]
         return [f"{self.held[k]}{next(t for t in _TOKEN.findall(self.words[self.at[k]])).lower()}" for k in inside]
 
 
@@ -165,14 +230,14 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     items = narrow(benchmark, item_id="long", text="string")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Vocabulary()
+        known = vocabulary()
         for batch in batches:
             rows = []
             for item, text in zip(batch["item_id"].astype("object"), batch["text"], strict=True):
                 n = len(canonical(text or "", known)[1])
-                for width, hashes, slots in windows(text, [min(n, window)], known):
+                for width, _, _, hashes, slots in windows([text or ""], [min(n, window)], known):
                     for at, h in enumerate(hashes.view(np.int64)):
-                        rows.append((None if pd.isna(item) else int(item), width, at, int(h), slots(int(at)), len(hashes)))
+                        rows.append((None if pd.isna(item) else int(item), width, at, int(h), slots(0, at), len(hashes)))
             yield pd.DataFrame(rows, columns=["item_id", "width", "place", "hash", "slots", "item_windows"]).astype({"item_id": "Int64"})
 
     schema = "item_id long, width int, place int, hash long, slots array<string>, item_windows int"
@@ -187,15 +252,17 @@ def document_windows(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap, bits = shared.value
-        known = Vocabulary()
+        known = vocabulary()
         names = ["doc_id", "a", "b", "width", "place", "hash", "slots"]
         for batch in batches:
             rows = []
-            for doc, a, b, text in zip(batch["doc_id"].astype("object"), batch["a"], batch["b"], batch["text"], strict=True):
-                for width, hashes, slots in windows(text, widths, known):
-                    for at in np.flatnonzero(in_bitmap(hashes, bitmap, bits)):
-                        h = int(hashes[at : at + 1].view(np.int64)[0])
-                        rows.append((None if pd.isna(doc) else int(doc), a, b, width, int(at), h, slots(int(at))))
+            docs, a, b = batch["doc_id"].astype("object").tolist(), batch["a"].tolist(), batch["b"].tolist()
+            for start, block in _blocks(batch["text"]):
+                for width, texts, places, hashes, slots in windows(block, widths, known):
+                    may = np.flatnonzero(in_bitmap(hashes, bitmap, bits))
+                    for text, at, h in zip(texts[may].tolist(), places[may].tolist(), hashes[may].view(np.int64).tolist(), strict=True):
+                        row = start + text
+                        rows.append((None if pd.isna(docs[row]) else int(docs[row]), a[row], b[row], width, at, h, slots(text, at)))
                         if len(rows) >= 20_000:
                             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
                             rows = []

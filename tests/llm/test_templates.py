@@ -1,6 +1,6 @@
 import random
 
-from meetledger.llm.templates import NAME, NUMBER, UNIT, Vocabulary, canonical, contaminated, decontaminate
+from meetledger.llm.templates import NAME, NUMBER, UNIT, Vocabulary, canonical, contaminated, decontaminate, windows
 from tests.llm.cases import awkward_rows, empty_frame, frame, sentence
 
 ITEMS = [
@@ -105,3 +105,22 @@ def test_every_shared_window_is_found(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows = [(d, t, "en", "s", 0) for d, t in enumerate(texts)]
     assert {(r["doc_id"], r["item_id"]): r["windows"] for r in contaminated(frame(spark, rows), bench).collect()} == want
+
+
+def test_texts_worked_on_together_give_what_each_gives_alone():
+    rng = random.Random(4)
+    parts = ["don't", "It's", "3", "kg", "km.", "Maria", "Bob!", "$5", "...", "|", "½", "Été", "word", "the", ".", "a.b", "5."]
+    texts = ["", *(" ".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(300)), "four words are here", ""]
+
+    def listed(block, first):
+        for width, of, places, hashes, slots in windows(block, [4, 5, 8], known):
+            for text, place, h in zip(of.tolist(), places.tolist(), hashes.tolist(), strict=True):
+                yield first + text, width, place, h, tuple(slots(text, place))
+
+    known = Vocabulary()
+    together = sorted(listed(texts, 0))
+    known = Vocabulary()
+    known.MOST = known.LASTING = 3  # what is forgotten is found again
+    assert together == sorted(row for i, text in enumerate(texts) for row in listed([text], i))
+    sizes = [len(canonical(text, known)[1]) for text in texts]
+    assert len(together) == sum((n == 4) + max(n - 4, 0) + max(n - 7, 0) for n in sizes)
