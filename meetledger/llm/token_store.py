@@ -27,6 +27,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,9 @@ DICTIONARY_BYTES = 64 * 1024
 SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 8_000
 BLOCK_DOCS, BLOCK_BYTES = 64, 1 << 20
 DOCS_PER_SHARD = 8_192
-KNOWN_WORDS, LASTING_WORDS = 600_000, 300_000
+KNOWN_WORDS, LASTING_WORDS = 600_000, 450_000
+LEARN_WORDS = 200  # in a text that is encoded; the library takes more time for a word of a longer one
+ENCODE_CHARS = 1 << 18  # of texts encoded at once
 
 # Between two characters that are not white space, the tokenizer always splits before a
 # single blank and around a single line feed; so words can be encoded once and reused.
@@ -75,6 +78,11 @@ class Encoder:
         self.end = np.array([END_ID], f"<u{self.width}").tobytes()
         self.line = self._whole("\n")
         # An added token with white space in it could arise between words that are learned together.
+        # The ids that begin with a blank, where blanks and bytes are written as characters of their own.
+        self.blanks = None
+        if type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None:
+            self.blanks = np.zeros(1 << 8 * self.width if self.width == 2 else self.tokenizer.get_vocab_size(), bool)
+            self.blanks[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
         self.splits = len(self.line) == self.width and not any(c.isspace() for token in self.added for c in token)
 
     def _ids(self, text: str) -> np.ndarray:
@@ -84,16 +92,21 @@ class Encoder:
         return self._ids(text).tobytes()
 
     def _learn(self, words: list[str], after_blank: int) -> None:
-        """Encode new words all at once, one on each line, and cut the ids at the line feeds."""
+        """Encode new words, many after one another, and cut the ids where a word begins."""
         known = self.known[after_blank]
         if len(known) + len(words) > KNOWN_WORDS:
             self.trim()
-        ids = self._ids(("\n " if after_blank else "\n").join(["", *words])[1:])
-        cuts = np.flatnonzero(ids == np.frombuffer(self.line, ids.dtype)[0]) * self.width
-        content, at = ids.tobytes(), 0
-        for word, cut in zip(words, [*cuts.tolist(), len(content)], strict=True):
-            known[word] = content[at:cut]
-            at = cut + self.width
+        blanks = bool(after_blank) and self.blanks is not None
+        lead = " " if blanks else "\n " if after_blank else "\n"
+        texts = ["".join([lead + word for word in words[k : k + LEARN_WORDS]]) for k in range(0, len(words), LEARN_WORDS)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), f"<u{self.width}")
+        starts = np.flatnonzero(self.blanks[ids] if blanks else ids == np.frombuffer(self.line, ids.dtype)[0])
+        # a blank belongs to its word, a line feed does not
+        begins, ends = (starts + (not blanks)) * self.width, np.append(starts[1:], len(ids)) * self.width
+        content = ids.tobytes()
+        for word, begin, end in zip(words, begins.tolist(), ends.tolist(), strict=True):
+            known[word] = content[begin:end]
 
     def trim(self) -> None:
         """Keep the words met first, which are the frequent ones."""
@@ -157,6 +170,19 @@ def encoder(tokenizer_file: str) -> Encoder:
     return _ENCODERS[tokenizer_file]
 
 
+def _slices(texts: pd.Series) -> Iterator[slice]:
+    """Texts that are encoded together: ``ENCODE_CHARS``, or a longer one alone."""
+    start, size = 0, 0
+    for k, text in enumerate(texts):
+        n = len(text or "")
+        if k > start and size + n > ENCODE_CHARS:
+            yield slice(start, k)
+            start, size = k, 0
+        size += n
+    if len(texts):
+        yield slice(start, len(texts))
+
+
 def train_dictionary(docs: DataFrame, tokenizer_file: str) -> bytes:
     """The dictionary of the sampled documents; empty when they are too few to train on."""
     read = narrow(docs, doc_id="long", text="string").where(F.col("doc_id").isNotNull())
@@ -207,8 +233,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str) -> None:
         for batch in batches:
             ids = batch["doc_id"]
             shard = np.where(ids.isna(), len(bounds) + 1, np.searchsorted(bounds, ids.fillna(0).astype("int64"), side="right"))
-            for start in range(0, len(batch), 64):
-                some = slice(start, start + 64)
+            for some in _slices(batch["text"]):
                 arrays = encode(batch["text"].iloc[some].tolist())
                 yield pd.DataFrame(
                     {
@@ -219,7 +244,6 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str) -> None:
                         "width": np.int32(encode.width),
                     }
                 )
-        encode.trim()
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []

@@ -80,3 +80,35 @@ def test_added_tokens_in_texts_have_their_own_ids(spark):
     assert 50256 in want[0]
     got = {r["doc_id"]: r for r in token_store.round_trip(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), tokenizer_file()).collect()}
     assert {i: (r["n_tokens"], r["ids_crc32"]) for i, r in got.items()} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+
+
+def test_new_words_are_encoded_in_short_texts(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_store, "KNOWN_WORDS", 3_000)
+    monkeypatch.setattr(token_store, "LASTING_WORDS", 1_000)
+    rng = random.Random(8)
+    ends = ["", "!", "'s", "Ġ", "é", "Ġa", "12", "-ß", "¿", "日本"]
+    words = ["".join(rng.choice("abcdeXYZ") for _ in range(rng.randint(1, 7))) + rng.choice(ends) for _ in range(2_500)]
+    texts = ["".join(rng.choice(words) + rng.choice("  \n ") for _ in range(400)) + "end" for _ in range(40)]
+    texts = [" ".join(line for line in t.split(" ") if line).replace(" \n", "\n") for t in texts]
+    encode = token_store.Encoder(tokenizer_file())
+    library, seen = encode.tokenizer, []
+
+    class Watched:
+        def encode_batch_fast(self, some, **options):
+            seen.extend(some)
+            return library.encode_batch_fast(some, **options)
+
+    encode.tokenizer = Watched()
+    for start in range(0, 40, 10):
+        some = texts[start : start + 10]
+        for text, content in zip(some, encode(some), strict=True):
+            assert np.array_equal(np.frombuffer(content, "<u2"), ids_of(tokenizer, text)), repr(text)
+    learned = [t for t in seen if t not in texts]
+    assert learned and max(len(t.split()) for t in learned) <= token_store.LEARN_WORDS
+
+
+def test_texts_encoded_together_are_bounded(monkeypatch):
+    monkeypatch.setattr(token_store, "ENCODE_CHARS", 10)
+    cut = lambda texts: [(s.start, s.stop) for s in token_store._slices(texts)]
+    assert cut([]) == [] and cut([None, "", "x" * 50]) == [(0, 2), (2, 3)]
+    assert cut(["x" * 50, "abcde", "fghij", "k", None]) == [(0, 1), (1, 3), (3, 5)]
