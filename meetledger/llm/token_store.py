@@ -27,15 +27,18 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress, count, islice
+from operator import not_
 
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
-from meetledger.llm.common import narrow, small_batches
+from meetledger.llm.common import kept, narrow, small_batches
 from meetledger.session import fresh_path
 
 END_ID = 0
@@ -45,6 +48,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 8_000
 BLOCK_DOCS, BLOCK_BYTES = 64, 1 << 20
 DOCS_PER_SHARD = 8_192
 KNOWN_WORDS, LASTING_WORDS = 600_000, 450_000
+SEEN_PLACES = 1 << 23
 LEARN_WORDS = 200  # in a text that is encoded; the library takes more time for a word of a longer one
 ENCODE_CHARS = 1 << 18  # of texts encoded at once
 
@@ -54,6 +58,18 @@ ENCODE_CHARS = 1 << 18  # of texts encoded at once
 _OTHER_WHITE = re.compile("[\\t\\r\\x0b\\f\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
 _RUNS = ("  ", "\n\n", " \n", "\n ")
 
+# Characters that words encoded in one piece may not have: all but ASCII without the apostrophe, and the letters from
+# \u00c0 to \u00ff. The bytes of such words as ByteLevel writes them: letters (\u00c3 is the first byte of those beyond ASCII,
+# the next ones are their second bytes), digits, signs, line feed and blank.
+_NOT_QUICK = re.compile("[^\n !-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
+_LETTERS, _DIGITS, _SIGNS, _LINE, _BLANK = "A-Za-z\u00c3\u00a1-\u00ac\u00ae-\u00bf\u0122-\u0143", "0-9", "!-&(-/:-@\\[-`{-~", "\u010a", "\u0120"
+_ANY = f"[{_LETTERS}{_DIGITS}{_SIGNS}{_LINE}{_BLANK}]*"
+# A token that could arise over a cut of such words.
+_SPANS = re.compile(
+    f"{_ANY}(?:[{_LETTERS}][{_DIGITS}{_SIGNS}]|[{_DIGITS}][{_LETTERS}{_SIGNS}]|[{_SIGNS}][{_LETTERS}{_DIGITS}]"
+    f"|[{_LETTERS}{_DIGITS}{_SIGNS}][{_LINE}{_BLANK}]|{_LINE}[{_LETTERS}{_DIGITS}{_SIGNS}]){_ANY}"
+)
+
 _FRAMES = "shard int, doc_id long, n_tokens long, frame binary, width int"
 _BLOCKS = (
     "shard int, block int, dictionary string, width int, doc_ids array<long>, n_tokens array<long>, "
@@ -65,25 +81,39 @@ class Encoder:
     """Ids of whole texts by the tokenizers library, remembering the words it has met."""
 
     def __init__(self, tokenizer_file: str, special_as_text: bool = True) -> None:
-        from tokenizers import Tokenizer
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = special_as_text
         # Texts that hold one of these are encoded whole.
         self.added = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # Words at the start of a line, and words after a blank.
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.known: dict[str, bytes] = {}  # by word after a blank, or by line feed and word
+        self.seen, self.n_seen = np.zeros(SEEN_PLACES, bool), 0  # by hash of a word that was learned
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.end = np.array([END_ID], f"<u{self.width}").tobytes()
         self.line = self._whole("\n")
         # An added token with white space in it could arise between words that are learned together.
-        # The ids that begin with a blank, where blanks and bytes are written as characters of their own.
-        self.blanks = None
-        if type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None:
-            self.blanks = np.zeros(1 << 8 * self.width if self.width == 2 else self.tokenizer.get_vocab_size(), bool)
-            self.blanks[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
         self.splits = len(self.line) == self.width and not any(c.isspace() for token in self.added for c in token)
+        # The ids that begin with a blank or a line feed, where blanks and bytes are written as characters of their own.
+        self.begins = None
+        if self.splits and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None:
+            self.begins = np.zeros(1 << 8 * self.width if self.width == 2 else self.tokenizer.get_vocab_size(), bool)
+            self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+            self.begins[np.frombuffer(self.line, f"<u{self.width}")] = True
+        self.quick = self._in_one_piece() if self.begins is not None else None
+
+    def _in_one_piece(self) -> Tokenizer | None:
+        """The tokenizer that leaves out the cutting of a text before its ids are made, if no id can span a cut.
+
+        Without apostrophes (\u2018's\u2019 is a piece, whatever follows) a text is cut where letters, digits
+        and signs meet and in front of white space. In words without ``_NOT_QUICK`` each byte tells which it is.
+        """
+        model, cutter = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        plain = type(model).__name__ == "BPE" and not (model.dropout or model.ignore_merges or model.continuing_subword_prefix or model.end_of_word_suffix)
+        if not plain or not cutter.use_regex or cutter.add_prefix_space or any(map(_SPANS.fullmatch, self.tokenizer.get_vocab(with_added_tokens=False))):
+            return None
+        quick = Tokenizer(model)
+        quick.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        return quick
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}")
@@ -91,67 +121,70 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return self._ids(text).tobytes()
 
-    def _learn(self, words: list[str], after_blank: int) -> None:
-        """Encode new words, many after one another, and cut the ids where a word begins."""
-        known = self.known[after_blank]
-        if len(known) + len(words) > KNOWN_WORDS:
-            self.trim()
-        blanks = bool(after_blank) and self.blanks is not None
-        lead = " " if blanks else "\n " if after_blank else "\n"
-        texts = ["".join([lead + word for word in words[k : k + LEARN_WORDS]]) for k in range(0, len(words), LEARN_WORDS)]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of new words."""
+        if self.quick is None:
+            return self._encode_words(words, self.tokenizer)
+        odd = dict.fromkeys(filter(_NOT_QUICK.search, words))
+        learned = self._encode_words([word for word in words if word not in odd] if odd else words, self.quick)
+        return learned | self._encode_words(list(odd), self.tokenizer)
+
+    def _encode_words(self, words: list[str], tokenizer: Tokenizer) -> dict[str, bytes]:
+        """Many words encoded after one another, the ids cut where a word begins."""
+        if not words:
+            return {}
+        lead = "\n " if self.begins is None else " "
+        leads = ["" if word[0] == "\n" else lead for word in words]
+        texts = ["".join(chain.from_iterable(zip(leads[k : k + LEARN_WORDS], words[k : k + LEARN_WORDS], strict=True))) for k in range(0, len(words), LEARN_WORDS)]
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ids = np.fromiter(chain.from_iterable(e.ids for e in found), f"<u{self.width}")
-        starts = np.flatnonzero(self.blanks[ids] if blanks else ids == np.frombuffer(self.line, ids.dtype)[0])
-        # a blank belongs to its word, a line feed does not
-        begins, ends = (starts + (not blanks)) * self.width, np.append(starts[1:], len(ids)) * self.width
+        starts = np.flatnonzero(ids == np.frombuffer(self.line, ids.dtype)[0] if self.begins is None else self.begins[ids])
+        ends = np.append(starts[1:], len(ids)) * self.width
+        # a blank belongs to its word, a line feed in front of it does not
+        extra = np.array([len(x) > 1 for x in leads]) if self.begins is None else 0
         content = ids.tobytes()
-        for word, begin, end in zip(words, begins.tolist(), ends.tolist(), strict=True):
-            known[word] = content[begin:end]
+        cut = map(slice, ((starts + extra) * self.width).tolist(), ends.tolist())
+        return dict(zip(words, map(content.__getitem__, cut), strict=True))
+
+    def _keep(self, learned: dict[str, bytes]) -> None:
+        """Words are kept when they are learned again: most of them are met once."""
+        hashes = np.fromiter(map(hash, learned), np.int64, len(learned)) & (SEEN_PLACES - 1)
+        self.known.update(compress(learned.items(), self.seen[hashes].tolist()))
+        self.seen[hashes] = True
+        self.n_seen += len(hashes)
+        if self.n_seen > SEEN_PLACES // 2:
+            self.seen[:], self.n_seen = False, 0
+        if len(self.known) > KNOWN_WORDS:
+            self.trim()
 
     def trim(self) -> None:
         """Keep the words met first, which are the frequent ones."""
-        for table in self.known:
-            for word in list(table)[LASTING_WORDS:]:
-                del table[word]
+        for word in list(islice(self.known, LASTING_WORDS, None)):
+            del self.known[word]
 
     def _regular(self, text: str) -> bool:
         if not text or not self.splits or text[0] in " \n" or text[-1] in " \n":
             return False
-        return not any(run in text for run in _RUNS) and not any(token in text for token in self.added) and not _OTHER_WHITE.search(text)
-
-    def _lookup(self, words: list[str], after_blank: int) -> list[bytes]:
-        known = self.known[after_blank]
-        found = list(map(known.get, words))
-        if None in found:
-            new = [k for k, ids in enumerate(found) if ids is None]
-            self._learn(list({words[k] for k in new}), after_blank)
-            for k in new:
-                found[k] = known[words[k]]
-        return found
+        if any(run in text for run in _RUNS) or any(token in text for token in self.added):
+            return False
+        # other white space does not count as printable
+        return text.replace("\n", "").isprintable() or not _OTHER_WHITE.search(text)
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         """Serialized ids of regular texts: all words are looked up together."""
-        lines = [t.split("\n") for t in texts]
-        first, later, counts = [], [], []
-        for text in lines:
-            for line in text:
-                words = line.split(" ")
-                first.append(words[0])
-                later += words[1:]
-                counts.append(len(words) - 1)
-        starts, rest = self._lookup(first, 0), self._lookup(later, 1)
-        out, at, k = [], 0, 0
-        for text in lines:
-            parts = []
-            for _ in text:
-                parts.append(starts[k])
-                parts += rest[at : at + counts[k]]
-                parts.append(self.line)
-                at += counts[k]
-                k += 1
-            parts[-1] = self.end
-            out.append(b"".join(parts))
-        return out
+        if not texts:
+            return []
+        # A text counts as a line of its own; its line feed's id is cut off.
+        words = "\n".join(["", *texts]).replace("\n", " \n")[1:].split(" ")
+        found = list(map(self.known.get, words))
+        new = list(compress(count(), map(not_, found)))
+        if new:
+            learned = self._learn(list(dict.fromkeys(map(words.__getitem__, new))))
+            for k in new:
+                found[k] = learned[words[k]]
+            self._keep(learned)
+        rest = iter(found)
+        return [b"".join(islice(rest, t.count(" ") + t.count("\n") + 1))[self.width :] + self.end for t in texts]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The serialized ids of each text, end id included."""
@@ -160,14 +193,9 @@ class Encoder:
         return [next(quick) if ok else self._whole(t or "") + self.end for t, ok in zip(texts, regular, strict=True)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(tokenizer_file: str) -> Encoder:
     """The Python worker's encoder, which keeps its words from task to task; added tokens have their own ids."""
-    if tokenizer_file not in _ENCODERS:
-        _ENCODERS[tokenizer_file] = Encoder(tokenizer_file, special_as_text=False)
-    return _ENCODERS[tokenizer_file]
+    return kept(("encoder", tokenizer_file), lambda: Encoder(tokenizer_file, special_as_text=False))
 
 
 def _slices(texts: pd.Series) -> Iterator[slice]:

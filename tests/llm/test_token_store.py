@@ -112,3 +112,39 @@ def test_texts_encoded_together_are_bounded(monkeypatch):
     cut = lambda texts: [(s.start, s.stop) for s in token_store._slices(texts)]
     assert cut([]) == [] and cut([None, "", "x" * 50]) == [(0, 2), (2, 3)]
     assert cut(["x" * 50, "abcde", "fghij", "k", None]) == [(0, 1), (1, 3), (3, 5)]
+
+
+def test_words_in_one_piece_have_the_ids_of_the_library(tokenizer):
+    """Letters, digits and signs of any order and alphabet; words of other characters go the long way."""
+    rng = random.Random(9)
+    signs = [*"abzAZéßöÇÿ019.,;:-_(&#*\"'", "'s", "'ll", "n't", "×", "÷", "²", "ª", "œ", "ı", "—", "’s", "漢", "é", "😀", "...", "***", "12.5"]
+    words = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 9))) for _ in range(6_000)]
+    texts = ["".join(rng.choice(words) + rng.choice("   \n") for _ in range(60)) + "end" for _ in range(200)]
+    encode = token_store.Encoder(tokenizer_file())
+    assert encode.quick is not None
+    for _ in range(2):  # learned, then partly known
+        for text, content in zip(texts, encode(texts), strict=True):
+            assert np.array_equal(np.frombuffer(content, "<u2"), ids_of(tokenizer, text)), repr(text)
+
+
+def test_ids_over_a_cut_forbid_one_piece(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    letters = sorted(pre_tokenizers.ByteLevel.alphabet())
+    for merge in [("e", ","), ("Ċ", "e"), ("e", "Ġ"), ("1", "a"), ("e", "d")]:
+        made = Tokenizer(models.BPE({c: i for i, c in enumerate([*letters, "".join(merge)])}, [merge]))
+        made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+        made.save(path := f"{tmp_path}/tokenizer.json")
+        encode = token_store.Encoder(path)
+        assert (encode.quick is not None) == (merge == ("e", "d"))
+        for text in ["he, she\nend 1a", "e", "re, ed\nre,"]:
+            assert np.array_equal(np.frombuffer(encode([text])[0], "<u2"), ids_of(made, text)), (merge, text)
+
+
+def test_words_met_once_are_not_kept():
+    encode = token_store.Encoder(tokenizer_file())
+    encode(["one two", "three\nfour"])
+    assert not encode.known
+    encode(["two one", "six two"])
+    assert set(encode.known) == {"two"}  # the others are new, or stand elsewhere in a line
+    assert encode(["one two"]) == encode(["one two"]) and set(encode.known) == {"two", "\none"}
