@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meetledger.llm.common import bitmap_of, in_bitmap, narrow, row_key, small_batches, store
+from meetledger.llm.common import bitmap_of, in_bitmap, kept, narrow, row_key, small_batches, store
 
 WINDOW, LEAST_WORDS, COVERAGE = 8, 5, 0.3
 FILTER_BITS = (20, 25)
@@ -64,9 +64,14 @@ _ENDS = 8
 class Vocabulary(dict):
     """Words as 60 bits of a hash of their small letters, a bit for the end of a sentence, and their kind."""
 
-    MOST, LASTING = 500_000, 250_000
+    MOST, LASTING = 200_000, 100_000
+    PLACES = 1 << 22
+
+    def __init__(self) -> None:
+        self.seen, self.n_seen = bytearray(self.PLACES), 0  # by hash of a word
 
     def __missing__(self, word: str) -> int:
+        """A word is kept when it is missed again: most of them are met once."""
         if len(self) > self.MOST:
             # the words met first are the frequent ones
             for late in list(self)[self.LASTING :]:
@@ -77,7 +82,14 @@ class Vocabulary(dict):
             value = xxhash.xxh64_intdigest(small.encode("utf-8", "surrogatepass")) & ~15 | _PLAIN
         else:
             value = self._number(_TOKEN.findall(word))
-        self[word] = value
+        place = hash(word) & (self.PLACES - 1)
+        if self.seen[place]:
+            self[word] = value
+            return value
+        self.seen[place] = 1
+        self.n_seen += 1
+        if self.n_seen > self.PLACES // 2:
+            self.seen, self.n_seen = bytearray(self.PLACES), 0
         return value
 
     @staticmethod
@@ -101,12 +113,9 @@ class Vocabulary(dict):
         return xxhash.xxh64_intdigest(small.encode("utf-8", "surrogatepass")) & ~15 | (_ENDS if marks else 0) | kind
 
 
-_KNOWN = Vocabulary()
-
-
 def vocabulary() -> Vocabulary:
     """What the Python worker has met, kept from task to task."""
-    return _KNOWN
+    return kept("vocabulary", Vocabulary)
 
 
 _PLACES = np.array([0, *(zlib.crc32(name) + (1 << 40) for name in (b"num", b"name", b"unit"))], np.uint64)
@@ -329,4 +338,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     bad = store(contaminated(docs, benchmark, **options).select(F.struct("a", "b").alias("key_")).distinct(), "contaminated")
     names = [F.col(f"`{n}`") for n in docs.columns]
     keyed = docs.withColumn("key_", row_key("doc_id", "text"))
-    return keyed.join(bad.hint("merge"), "key_", "left_anti").select(*names)
+    return keyed.join(bad, "key_", "left_anti").select(*names)

@@ -124,3 +124,30 @@ def test_texts_worked_on_together_give_what_each_gives_alone():
     assert together == sorted(row for i, text in enumerate(texts) for row in listed([text], i))
     sizes = [len(canonical(text, known)[1]) for text in texts]
     assert len(together) == sum((n == 4) + max(n - 4, 0) + max(n - 7, 0) for n in sizes)
+
+
+def test_words_met_once_are_not_kept():
+    known = Vocabulary()
+    first = known["Quartz"]
+    assert not known and known["Quartz"] == first and list(known) == ["Quartz"]
+    known.PLACES, known.seen = 4, bytearray(4)
+    numbers = {f"w{i}": known[f"w{i}"] for i in range(50)}  # forgets what it has seen, again and again
+    assert {word: known[word] for word in numbers} == numbers and len(known.seen) == 4
+
+
+def test_a_worker_keeps_the_words_of_one_operator():
+    from meetledger.llm import common, templates, token_store
+    from meetledger.llm.queries import tokenizer_file
+
+    known = templates.vocabulary()
+    assert templates.vocabulary() is known
+    encode = token_store.encoder(tokenizer_file())
+    assert token_store.encoder(tokenizer_file()) is encode and list(common._KEPT.values()) == [encode]
+    assert templates.vocabulary() is not known and len(common._KEPT) == 1
+
+
+def test_documents_stay_where_they_are_when_few_are_contaminated(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"word{chr(97 + i)}x" for i in range(20))), (2, "other"), (3, None)], "doc_id long, text string")
+    left = decontaminate(docs, docs.where("doc_id = 1").withColumnRenamed("doc_id", "item_id"))
+    assert sorted(r["doc_id"] for r in left.collect()) == [2, 3]
+    assert "SortMergeJoin" not in left._jdf.queryExecution().toString()
