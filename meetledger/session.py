@@ -25,6 +25,12 @@ RUNTIME_CONF = {
 TASK_BYTES = 32 << 20
 TASK_CONF = ["spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
 
+# What a stream does to need little disk: a shuffle is of no use once its write is done, and
+# else stays until the driver collects its garbage.
+STREAM_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+# Write options: most of a log is ids and hashes in hexadecimal, which zstd halves.
+PACKED = {"compression": "zstd"}
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
@@ -38,6 +44,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def prepare_stream(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings and those of a stream to an existing session."""
+    prepare(spark)
+    for key, value in STREAM_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def _bytes(setting: str) -> int:
     """A size as Spark writes it: a number with b, k, m, g, t or p (and b) behind it."""
     number, unit = re.fullmatch(r"\s*(\d+)\s*([bkmgtp]?)b?\s*", setting.lower()).groups()
@@ -79,6 +93,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage, survives lost executors, and keeps column pruning and filter
     pushdown for the readers, which a row-based checkpoint would not.
     """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    return _written(df, fresh_path(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str, **options: str) -> DataFrame:
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Frames that are needed for a while: kept as by :func:`materialize`, and deleted together at the end."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(fresh_path(df.sparkSession, name))
+        return _written(df, self.paths[-1], **PACKED)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        conf = self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)

@@ -1,7 +1,7 @@
 """What a stored log claims: idempotency keys, contents and event ids, found by bucket.
 
 Each stored row is filed under its claims in a bucketed table. A claim is 128 bits of a
-hash, so that an entry is a few numbers and sorts as such. A few claims are looked up in
+hash, so that an entry is a few numbers and sorts as such; beside a stored log it is nothing else. A few claims are looked up in
 their buckets, so a small batch does not read what it does not touch, however long the
 log has become; the claims of a large batch meet all stored ones in one aggregate.
 """
@@ -45,11 +45,18 @@ def claims(rows: DataFrame, *others: Column, kinds: str = _ID + _KEY + _CONTENT)
 
 
 class KeyIndex:
-    def __init__(self, store: TableStore, table: str = TABLE) -> None:
-        self.store, self.table = store, table
+    def __init__(self, store: TableStore, table: str = TABLE, log: str | None = None) -> None:
+        """``log`` names the table of the same store that holds the filed rows, if one does.
+
+        The index is then claims alone, and what the rules need of a row is not kept twice.
+        """
+        self.store, self.table, self.log = store, table, log
 
     def add(self, commit: Commit, log: DataFrame) -> None:
-        """File the rows; what the rules need of a row lies with its id, which its other claims name."""
+        """File the rows; what the rules need of a row lies in the log, or with its id, which its other claims name."""
+        if self.log:
+            commit.append(self.table, claims(log).select("kind", *_CLAIM), bucket_by=["claim"])
+            return
         filed = claims(log, *[F.col(c) for c in KEY_COLUMNS])
         entry = filed.select(
             "kind",
@@ -66,6 +73,9 @@ class KeyIndex:
         found = self.store.lookup(self.table, asked)
         if found is None:
             return None
+        if self.log:
+            held = claims(self.store.read(self.log), F.struct(*KEY_COLUMNS).alias("columns"))
+            return held.join(asked, _CLAIM, "left_semi").select("columns.*").distinct()
         hits = found.join(asked, _CLAIM, "left_semi").select(F.col("id_claim").alias("claim"), "row")
         by_id = self.store.lookup(self.table, hits).filter(F.col("kind") == _ID)
         return by_id.join(hits, ["claim", "row"], "left_semi").select("columns.*").distinct()

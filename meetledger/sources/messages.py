@@ -28,8 +28,12 @@ def stream_messages(
     fmt: str = "parquet",
     queues: list[str] | None = None,
     max_files_per_trigger: int | None = None,
+    consume: bool = False,
 ) -> DataFrame:
+    """With ``consume`` a file is deleted once a later batch follows the one that read it."""
     reader = spark.readStream.schema(MESSAGE_SCHEMA).format(fmt)
+    if consume:
+        reader = reader.option("cleanSource", "delete")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return select_queues(reader.load(path), queues)

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meetledger.session import PACKED
+
 MANIFEST = "_manifest.json"
 BUCKETS = 64
 # so many keys at most are looked up by value, which lets Bloom filters of the files decide
@@ -68,9 +70,11 @@ class Commit:
             layout = {"keys": list(bucket_by), "buckets": self.store.buckets}
         if layout:
             dealt = frame.withColumn(_BUCKET, bucket_of(layout["keys"], layout["buckets"])).repartition(_BUCKET)
-            dealt.write.mode("overwrite").options(**bloom_filters(layout["keys"])).partitionBy(_BUCKET).parquet(folder)
+            # in order of the key, which the writer's own sort by bucket then has done: like rows lie together
+            dealt = dealt.sortWithinPartitions(_BUCKET, *layout["keys"])
+            dealt.write.mode("overwrite").options(**PACKED, **bloom_filters(layout["keys"])).partitionBy(_BUCKET).parquet(folder)
         else:
-            frame.write.mode("overwrite").parquet(folder)
+            frame.write.mode("overwrite").options(**PACKED).parquet(folder)
         before = entry["commits"] if entry and keep else []
         self._manifest["tables"][table] = {"commits": [*before, self.number], "schema": json.loads(frame.schema.json()), "layout": layout}
         return self.store.spark.read.schema(frame.schema).option("recursiveFileLookup", "true").parquet(folder)

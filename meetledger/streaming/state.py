@@ -23,12 +23,16 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from meetledger.operators.folds import Fold
-from meetledger.session import prepare
+from meetledger.session import prepare_stream
 from meetledger.sources.tables import TableStore
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # a batch stores what it changed, and not the whole state again
-STATE_CONF = {"spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.compression.codec": "zstd",
+    "spark.sql.streaming.stateStore.rocksdb.compression": "zstd",
+}
 CHANGES = "changes"
 
 
@@ -36,7 +40,7 @@ class StateTable:
     """One folded table as state; ``partials`` names where its partial folds are appended."""
 
     def __init__(self, spark: SparkSession, fold: Fold, partials: TableStore, name: str) -> None:
-        self.spark, self.fold, self.partials, self.name = prepare(spark), fold, partials, name
+        self.spark, self.fold, self.partials, self.name = prepare_stream(spark), fold, partials, name
         # a manifest of its own: the ingest and this stream publish independently
         self.store = TableStore(spark, f"{partials.root}/_state/{name}")
 
@@ -94,6 +98,7 @@ class StateTable:
         return self.fold.result(self._last(self.store.lookup(CHANGES, keys)))
 
     def _last(self, changes: DataFrame) -> DataFrame:
-        state = F.struct("change", *self.fold.columns)
+        # a result needs the values alone, so when they arrived does not move
+        state = F.struct(*[F.struct(F.col(n)["value"].alias("value")).alias(n) for n in self.fold.columns])
         last = changes.groupBy(*self.fold.keys).agg(F.max_by(state, "change").alias("_last"))
         return last.select(*self.fold.keys, *[F.col(f"_last.{n}").alias(n) for n in self.fold.columns])

@@ -18,7 +18,7 @@ from meetledger.plans import normalize as N
 from meetledger.plans import pipeline
 from meetledger.plans.registry import FoldedProjection, Projection, Registry
 from meetledger.schemas import MESSAGE_SCHEMA
-from meetledger.session import fresh_path, materialize
+from meetledger.session import PACKED, fresh_path, materialize
 from meetledger.sources import messages as M
 from meetledger.sources.key_index import KeyIndex
 from meetledger.sources.publish import outgoing_messages
@@ -885,8 +885,8 @@ def _streamed(
     ingest = StreamIngest(spark, fresh_path(spark, "store"), hash_mode="text", registry=registry)
     state = StateTable(spark, registry.folded[name].fold if registry else FOLDS[name](), ingest.store, name)
     for part in arrivals:
-        _messages(log.filter(part)).write.mode("append").parquet(inbox)
-        ingest.start(M.stream_messages(spark, inbox), checkpoint, availableNow=True).awaitTermination()
+        _messages(log.filter(part)).write.mode("append").options(**PACKED).parquet(inbox)
+        ingest.start(M.stream_messages(spark, inbox, consume=True), checkpoint, availableNow=True).awaitTermination()
         state.start(state_checkpoint, availableNow=True).awaitTermination()
     return state
 
@@ -917,7 +917,7 @@ def stream_emails(spark, sf_dir):
     Sent mails come first, as they name the participants that a status is looked up among.
     """
     late = (F.col("event_type") == S.MAIL_STATUS) & (F.pmod(F.xxhash64("event_id"), F.lit(7)) == 3)
-    return _streamed(spark, materialize(mail_log(spark, sf_dir), "mail_log"), late, "email_notifications", F.col("event_type") == S.EMAIL_SENT).table()
+    return _streamed(spark, mail_log(spark, sf_dir), late, "email_notifications", F.col("event_type") == S.EMAIL_SENT).table()
 
 
 @query
