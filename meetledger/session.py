@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +27,9 @@ RUNTIME_CONF = {
 TASK_BYTES = 32 << 20
 TASK_CONF = ["spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
 
-# What a stream does to need little disk: a shuffle is of no use once its write is done, and
-# else stays until the driver collects its garbage.
+# Settings of a running stream: a shuffle is of no use once its write is done, and else stays
+# until the driver collects its garbage. A frame that is collected twice is computed twice
+# under them, so they do not stay in a session that others use.
 STREAM_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 # Write options: most of a log is ids and hashes in hexadecimal, which zstd halves.
 PACKED = {"compression": "zstd"}
@@ -44,12 +47,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def prepare_stream(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings and those of a stream to an existing session."""
-    prepare(spark)
-    for key, value in STREAM_CONF.items():
-        spark.conf.set(key, value)
-    return spark
+@contextmanager
+def as_stream(*sessions: SparkSession) -> Iterator[None]:
+    """The settings of a stream for a while; a query that is started meanwhile keeps them."""
+    before = [(s, key, s.conf.get(key, None)) for s in sessions for key in STREAM_CONF]
+    for session, key, _ in before:
+        session.conf.set(key, STREAM_CONF[key])
+    try:
+        yield
+    finally:
+        for session, key, value in before:
+            if value is None:
+                session.conf.unset(key)
+            else:
+                session.conf.set(key, value)
 
 
 def _bytes(setting: str) -> int:

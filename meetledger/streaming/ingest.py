@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from meetledger.operators import classify, dedup, entities, extract, projections
 from meetledger.operators.folds import Fold
 from meetledger.plans.registry import Context, Registry
-from meetledger.session import Scratch, materialize, prepare_stream
+from meetledger.session import Scratch, as_stream, materialize, prepare
 from meetledger.sources.key_index import TABLE as CLAIMS
 from meetledger.sources.key_index import KeyIndex
 from meetledger.sources.messages import decode_messages, rejected_messages, valid_envelopes
@@ -51,7 +51,7 @@ class StreamIngest:
         """The folded projections of ``registry`` are kept beside the built-in tables."""
         self.registry = registry or Registry()
         self.classifier, self.decoder = classifier, decoder
-        self.spark = prepare_stream(spark)
+        self.spark = prepare(spark)
         self.store = TableStore(spark, root)
         self.index = KeyIndex(self.store, log="events")
         self.secret = secret
@@ -63,11 +63,12 @@ class StreamIngest:
     def start(self, messages: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Run on a message stream, e.g. with ``availableNow=True`` or ``processingTime="1 minute"``."""
         writer = messages.writeStream.foreachBatch(self._on_batch).option("checkpointLocation", checkpoint)
-        return writer.trigger(**(trigger or {"availableNow": True})).start()
+        with as_stream(self.spark):
+            return writer.trigger(**(trigger or {"availableNow": True})).start()
 
     def _on_batch(self, messages: DataFrame, batch: int) -> None:
         session = messages.sparkSession
-        prepare_stream(session)
+        prepare(session)
         # the id of the query outlives restarts from its checkpoint
         source = session.sparkContext.getLocalProperty("sql.streaming.queryId")
         self.ingest(messages, source, batch)
@@ -77,6 +78,10 @@ class StreamIngest:
         commit = self.store.begin(source, batch)
         if commit is None:
             return None
+        with as_stream(self.spark, messages.sparkSession):
+            return self._store(commit, messages)
+
+    def _store(self, commit: Commit, messages: DataFrame) -> int:
         with Scratch(self.spark) as scratch:
             decoded = decode_messages(messages, self.hash_mode)
             # read once for all that follows; the body beside its payload is kept for messages that are rejected

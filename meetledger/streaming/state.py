@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from meetledger.operators.folds import Fold
-from meetledger.session import prepare_stream
+from meetledger.session import as_stream, prepare
 from meetledger.sources.tables import TableStore
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -40,7 +40,7 @@ class StateTable:
     """One folded table as state; ``partials`` names where its partial folds are appended."""
 
     def __init__(self, spark: SparkSession, fold: Fold, partials: TableStore, name: str) -> None:
-        self.spark, self.fold, self.partials, self.name = prepare_stream(spark), fold, partials, name
+        self.spark, self.fold, self.partials, self.name = prepare(spark), fold, partials, name
         # a manifest of its own: the ingest and this stream publish independently
         self.store = TableStore(spark, f"{partials.root}/_state/{name}")
 
@@ -54,7 +54,8 @@ class StateTable:
             self.spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.partials.root}/{self.name}")
         )
         writer = self.merged(arriving).writeStream.outputMode("update").foreachBatch(self._on_batch)
-        return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        with as_stream(self.spark):
+            return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
     def merged(self, partials: DataFrame) -> DataFrame:
         """Merged state per key; each winner is stamped with the batch that brought it first."""
